@@ -44,15 +44,14 @@ def to_re2(pattern: str) -> str:
     return "(?im)" + pattern
 
 
-def rules_sql(keep=lambda rule: True) -> str:
-    """The rules' own columns as a table expression."""
+def rules_sql(rules) -> str:
+    """The rules' own columns as a table expression, from (position, rule) pairs."""
     rows = [
         f"({position}, {quote(rule.rule_id)}, {quote(rule.title)}, {quote(rule.severity)}, "
         f"{schema.SEVERITIES.index(rule.severity)}, {quote(rule.category)}, "
         f"{quote(rule.description)}, {quote(rule.suggestion)}, {quote(rule.cwe_id)}, "
         f"{quote(rule.confidence)})"
-        for position, rule in enumerate(RULES)
-        if keep(rule)
+        for position, rule in rules
     ]
     return (
         "(SELECT * FROM (VALUES " + ",\n".join(rows) + ") AS t(rule_ord, rule_id, title, severity, "
@@ -100,15 +99,14 @@ def scannable_sql(files: str) -> str:
 _UNIFIED = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 
 
-def findings_ctes(files: str, keep=lambda rule: True) -> str:
+def findings_ctes(files: str, keep=lambda rule: True, catalog=RULES) -> str:
     """`files`, `rules` and `findings` as common table expressions."""
-    matched = "\nUNION ALL ".join(
-        _matched_sql(position, rule) for position, rule in enumerate(RULES) if keep(rule)
-    )
+    rules = [(position, rule) for position, rule in enumerate(catalog) if keep(rule)]
+    matched = "\nUNION ALL ".join(_matched_sql(position, rule) for position, rule in rules)
     return f"""files AS MATERIALIZED (
   SELECT path, language, size, {_UNIFIED} AS text FROM {files}
 ),
-rules AS (SELECT * FROM {rules_sql(keep)}),
+rules AS (SELECT * FROM {rules_sql(rules)}),
 matched AS ({matched}),
 placed AS (
   SELECT *, unnest(generate_series(1, len(found))) AS nth FROM matched
