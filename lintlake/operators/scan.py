@@ -63,18 +63,22 @@ def scan_files(
     )
 
 
-def hit_rows(scanned: DataFrame, rules: RuleSet) -> DataFrame:
-    """One slim row per match: place and rule position, no rule text."""
+def hit_rows(scanned: DataFrame) -> DataFrame:
+    """One slim row per file, rule and line with matches: no rule text, and the line only
+    once however many matches start on it."""
     return (
         # Spark infers size(hits) > 0 for an inner explode and would scan twice for it.
         scanned.select(F.col("path").alias("file_path"), F.inline_outer("hits"))
         .where("ord IS NOT NULL")
-        .withColumn("match_ord", F.explode(F.sequence(F.lit(1), F.col("matches"))))
         .withColumnRenamed("ord", "rule_ord")
-        .drop("matches")
     )
 
 
+def each_match(hits: DataFrame) -> DataFrame:
+    """One row per match instead, `match_ord` counting those on one line."""
+    return hits.withColumn("match_ord", F.explode(F.sequence(F.lit(1), "matches"))).drop("matches")
+
+
 def rank(hits: DataFrame, rules: RuleSet) -> DataFrame:
     """Add `severity_rank`, the first sort key."""
     ranks = rules.table(hits.sparkSession).select(
@@ -84,31 +88,38 @@ def rank(hits: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 def describe(hits: DataFrame, rules: RuleSet) -> DataFrame:
-    """Join the rules' own columns to slim, ranked rows."""
+    """Join the rules' own columns to slim rows."""
     table = rules.table(hits.sparkSession).drop("pattern", "needs", "languages")
-    inner = [c for c in schema.ORDER_COLUMNS if c not in schema.FINDING_COLUMNS]
-    return hits.join(F.broadcast(table), hits["rule_ord"] == table["ord"]).select(
-        *schema.FINDING_COLUMNS, *inner
-    )
+    return hits.join(F.broadcast(table), hits["rule_ord"] == table["ord"]).drop("ord")
+
+
+_FINDING = [
+    *schema.FINDING_COLUMNS,
+    *[c for c in schema.ORDER_COLUMNS if c not in schema.FINDING_COLUMNS],
+]
 
 
 def findings(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     """One row per match, with the rule's columns, in no particular order."""
     rules = builtin_rules() if rules is None else rules
-    return describe(rank(hit_rows(scanned, rules), rules), rules)
+    ranks = sev.severity_rank(F.col("severity"))
+    described = describe(each_match(hit_rows(scanned)), rules)
+    return described.withColumn("severity_rank", ranks).select(_FINDING)
 
 
 def ordered_findings(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     """Findings by severity, path and line; ties in rule order, then match order.
 
-    Slim rows are range-partitioned on the order, described there, and sorted in place, so
-    no rule text is shuffled (a join above a global sort would drop the sort). The
-    rebalance keeps the range sampling from running the scan a second time.
+    Slim rows are range-partitioned on the order, described there, sorted in place and
+    only then repeated for each match, so neither rule text nor copies of a line are
+    shuffled. (A join above a global sort would drop the sort.) The rebalance keeps the
+    range sampling from running the scan a second time.
     """
     rules = builtin_rules() if rules is None else rules
-    slim = rank(hit_rows(scanned, rules).hint("rebalance"), rules)
-    placed = slim.repartitionByRange(*schema.ORDER_COLUMNS)
-    return describe(placed, rules).sortWithinPartitions(*schema.ORDER_COLUMNS)
+    order = [c for c in schema.ORDER_COLUMNS if c != "match_ord"]
+    slim = rank(hit_rows(scanned).hint("rebalance"), rules)
+    placed = describe(slim.repartitionByRange(*order), rules).sortWithinPartitions(*order)
+    return each_match(placed).select(_FINDING)
 
 
 def scan(

@@ -23,7 +23,7 @@ from lintlake.rules import RuleSet, builtin_rules
 
 TOOL = "lintlake"
 
-_FINDING_KEYS = ["severity_rank", "file_path", "line_number", "rule_ord", "match_ord"]
+_FINDING_KEYS = [c for c in schema.ORDER_COLUMNS if c != "match_ord"]
 _HEAD, _BODY, _FOOT = 0, 1, 2
 
 # The reports' rule lines, marks and schema address.
@@ -46,7 +46,7 @@ _ROW = {
     "severity_rank": "int",
     "line_number": "int",
     "rule_ord": "int",
-    "match_ord": "int",
+    "matches": "int",
     "seq": "int",
     "line": "string",
     "line_content": "string",
@@ -69,21 +69,25 @@ def _lines(source: DataFrame, section: int, lines: Column) -> DataFrame:
     return _rows(numbered, section=section, seq=F.col("seq"), line=F.col("line"))
 
 
-def _findings(ranked: DataFrame) -> DataFrame:
-    keys = {name: F.col(name) for name in _FINDING_KEYS}
-    return _rows(ranked, section=_BODY, part=1, line_content=F.col("line_content"), **keys)
+def _findings(ranked: DataFrame, part: Column | int = 1) -> DataFrame:
+    """One row per line with matches; `_lay_out` repeats it for each of them."""
+    columns = [*_FINDING_KEYS, "matches", "line_content"]
+    return _rows(ranked, section=_BODY, part=part, **{name: F.col(name) for name in columns})
 
 
 def _lay_out(parts: list[DataFrame], order: list[str], rules: RuleSet, render: Column) -> DataFrame:
-    """Put rows in order and render those that have no line yet."""
+    """Put rows in order, repeat them for each match, and render those without a line."""
     placed = reduce(DataFrame.unionByName, parts).repartitionByRange(*order)
     table = rules.table(placed.sparkSession).drop("pattern", "needs", "languages")
     table = table.withColumnRenamed("ord", "table_ord")
+    each = F.explode(F.sequence(F.lit(1), F.coalesce("matches", F.lit(1))))
     return (
         placed.join(F.broadcast(table), F.col("rule_ord") == F.col("table_ord"), "left")
-        .withColumn("line", F.coalesce("line", render))
-        .select(*[c for c in _ROW if c != "line_content"])
         .sortWithinPartitions(*order)
+        .withColumn("nth", each)
+        .withColumn("match_ord", F.when(F.col("matches").isNotNull(), F.col("nth")))
+        .withColumn("line", F.coalesce("line", render))
+        .select(*[c for c in _ROW if c not in ("line_content", "matches", "line")], "match_ord", "line")
     )
 
 
@@ -96,36 +100,26 @@ def _parts(
 ) -> tuple[RuleSet, DataFrame, DataFrame]:
     """The rules, the ranked matches and the summary row of a scan."""
     rules = builtin_rules() if rules is None else rules
-    ranked = rank(hit_rows(scanned, rules), rules)
+    ranked = rank(hit_rows(scanned), rules)
     summary = metrics.summary(metrics.tally(scanned, rules), path, scan_duration_ms)
     return rules, ranked, summary
 
 
-def _with_separator(ranked: DataFrame) -> DataFrame:
-    """Mark all but the very first finding, whose line gets no comma in front.
+def _separated(ranked: DataFrame) -> DataFrame:
+    """Finding rows with `part` 1 for the first of all, 2 for the others.
 
-    `part` is 1 for the first and 2 for the others; the first is found as a minimum.
+    The first is found as a minimum, so no task sees all findings.
     """
     first = ranked.agg(F.min(F.struct(_FINDING_KEYS)).alias("first")).select("first.*")
     first = first.withColumn("is_first", F.lit(True))
-    return ranked.join(F.broadcast(first), _FINDING_KEYS, "left").select(
-        *ranked.columns, F.when(F.col("is_first"), 1).otherwise(2).alias("part")
-    )
-
-
-def _separated(ranked: DataFrame) -> DataFrame:
-    keys = {name: F.col(name) for name in _FINDING_KEYS}
-    return _rows(
-        _with_separator(ranked),
-        section=_BODY,
-        part=F.col("part"),
-        line_content=F.col("line_content"),
-        **keys,
-    )
+    marked = ranked.join(F.broadcast(first), _FINDING_KEYS, "left")
+    return _findings(marked, F.when(F.col("is_first"), 1).otherwise(2))
 
 
 def _comma(rendered: Column) -> Column:
-    return F.concat(F.when(F.col("part") == 2, ",").otherwise(""), rendered)
+    """A comma before every finding but the very first."""
+    opening = (F.col("part") == 1) & (F.col("nth") == 1)
+    return F.concat(F.when(opening, "").otherwise(","), rendered)
 
 
 def finding_json() -> Column:

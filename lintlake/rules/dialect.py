@@ -7,7 +7,11 @@ same constructs but disagree on what some of them cover, so those are written ou
 * `^` also matches after a final newline, `$` only at a newline (never at CR or U+2028);
 * ignoring case, `[A-Z]` also takes what `[a-z]` takes (the Kelvin sign, dotted I);
 * in a class, `[` and `&&` are plain characters;
+* looking behind, Python sees a character beyond the basic plane whole;
 * `{` that opens no repeat count is a plain character, and `{,n}` means `{0,n}`.
+
+One difference stays: where a pattern prefers an empty match to a longer one at the same
+place (`|a`), Python reports both and Java only the first. No rule matches the empty text.
 """
 
 from __future__ import annotations
@@ -17,6 +21,10 @@ import re
 # Ignore case (also beyond ASCII); only \n ends a line.
 FLAGS = "(?iud)"
 
+# Java looks behind by whole characters only if a character beyond the basic plane stands
+# later in the pattern; this one matches nothing.
+_WHOLE_CHARACTERS = "(?:\U0001d7d8){0}"
+
 # What Python's classes hold, in Java's notation.
 _CLASSES = {
     "s": r"\p{IsWhite_Space}\x1c-\x1f",
@@ -85,7 +93,8 @@ def to_java(pattern: str) -> str:
         else:
             out.append({"^": r"(?<![^\n])", "$": r"(?![^\n])", "{": r"\{"}.get(text, text))
         pos += len(text)
-    return "".join(out)
+    java = "".join(out)
+    return java + _WHOLE_CHARACTERS if "(?<=" in java or "(?<!" in java else java
 
 
 def _escape(char: str, in_class: bool) -> str:

@@ -826,7 +826,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY rule_ord ORDER BY file_path, lin
       AS place FROM findings) WHERE place = 1"""))
 def sarif_rules(spark, sf):
     rules = builtin_rules()
-    ranked = rank(hit_rows(rendered_scan(spark, sf), rules), rules)
+    ranked = rank(hit_rows(rendered_scan(spark, sf)), rules)
     return reports.sarif_rules(ranked, rules).select(
         "first.severity_rank", "first.file_path", "first.line_number", F.to_json("rule").alias("rule")
     )
