@@ -19,7 +19,9 @@ from lintlake.rules.dialect import to_java
 # set, and is refused rather than cut.
 MAX_RULES = 10_000
 
+# Keys of files whose language no rule names, and of files that could not be read.
 ANY_LANGUAGE = "*"
+NO_TEXT = "-"
 
 _CHECKS = (
     "check_key string, "
@@ -116,7 +118,7 @@ class RuleSet:
 
         The row `*` serves every language that no rule names.
         """
-        rows = []
+        rows = [(NO_TEXT, [])]
         for language in [*self.languages(), ANY_LANGUAGE]:
             checks = [
                 {
@@ -131,10 +133,13 @@ class RuleSet:
         return _local_table(spark, rows, _CHECKS)
 
     def check_key(self, language: Column, text: Column) -> Column:
-        """The key in `by_language` for a file. (A text that could not be read needs no
-        rule of its own; saying so keeps a join on one constant language a hash join.)"""
-        named = text.isNotNull() & language.isin(self.languages())
-        return F.when(named, language).otherwise(F.lit(ANY_LANGUAGE))
+        """The key in `by_language` for a file."""
+        # Always a column, never a constant, so that the join on it is a hash join.
+        return (
+            F.when(text.isNull(), NO_TEXT)
+            .when(language.isin(self.languages()), language)
+            .otherwise(ANY_LANGUAGE)
+        )
 
 
 def _local_table(spark: SparkSession, rows: list[tuple], layout: str) -> DataFrame:

@@ -92,7 +92,7 @@ def test_one_read_of_the_texts(spark, tmp_path):
     """Text is scanned once, by a hash join with the rules, without a shuffle or Python."""
     files_table(spark, MIXED).write.parquet(str(tmp_path / "files"))
     files = spark.read.parquet(str(tmp_path / "files"))
-    for language in (None, "python"):
+    for language in (None, "python", "shell"):
         corpus = from_table(files, "path", "text", language)
         physical = plan(findings(scan_files(corpus))).split("== Physical Plan ==")[1]
         assert physical.count("regexp_replace") == 1
@@ -130,5 +130,5 @@ def test_lost_findings_of_a_hot_file(spark):
 
 def test_rules_only_travel_once(spark):
     table = builtin_rules().by_language(spark)
-    assert table.count() == len(builtin_rules().languages()) + 1
+    assert table.count() == len(builtin_rules().languages()) + 2
     assert "LocalTableScan" in plan(table)
