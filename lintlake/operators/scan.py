@@ -19,12 +19,23 @@ from lintlake.functions import text as txt
 from lintlake.rules import RuleSet, builtin_rules
 
 # The rules of a file's language whose needed strings all occur.
+_OPEN_GROUPS = (
+    "filter(groups, g -> cardinality(g.gate) = 0 OR exists(g.gate, s -> contains(folded, s)))"
+)
 _CANDIDATES = (
-    "filter(checks, c -> forall(c.needs, group -> exists(group, s -> contains(folded, s))))"
+    f"filter(flatten(transform({_OPEN_GROUPS}, g -> g.checks)), "
+    "c -> forall(c.needs, need -> exists(need, s -> contains(folded, s))))"
+)
+# The text with every match marked. Where a rule says what its matches end with, the text
+# after the last such place is put back without being searched.
+_SEARCHED = "regexp_replace({0}, c.pattern, '\\r$0')"
+_UP_TO_END = (
+    f"transform(array(regexp_extract(text, c.until, 0)), head -> concat({_SEARCHED.format('head')}, "
+    "substr(text, length(head) + 1)))[0]"
 )
 _MARKED = (
-    f"filter(transform({_CANDIDATES}, "
-    r"c -> struct(c.ord AS ord, regexp_replace(text, c.pattern, '\r$0') AS marked)), "
+    f"filter(transform({_CANDIDATES}, c -> struct(c.ord AS ord, if(c.until IS NULL, "
+    f"{_SEARCHED.format('text')}, {_UP_TO_END}) AS marked)), "
     r"m -> contains(m.marked, '\r'))"
 )
 _HITS = (
@@ -89,7 +100,7 @@ def rank(hits: DataFrame, rules: RuleSet) -> DataFrame:
 
 def describe(hits: DataFrame, rules: RuleSet) -> DataFrame:
     """Join the rules' own columns to slim rows."""
-    table = rules.table(hits.sparkSession).drop("pattern", "needs", "languages")
+    table = rules.table(hits.sparkSession).drop(*schema.RULE_INTERNALS)
     return hits.join(F.broadcast(table), hits["rule_ord"] == table["ord"]).drop("ord")
 
 

@@ -78,7 +78,7 @@ def _findings(ranked: DataFrame, part: Column | int = 1) -> DataFrame:
 def _lay_out(parts: list[DataFrame], order: list[str], rules: RuleSet, render: Column) -> DataFrame:
     """Put rows in order, repeat them for each match, and render those without a line."""
     placed = reduce(DataFrame.unionByName, parts).repartitionByRange(*order)
-    table = rules.table(placed.sparkSession).drop("pattern", "needs", "languages")
+    table = rules.table(placed.sparkSession).drop(*schema.RULE_INTERNALS)
     table = table.withColumnRenamed("ord", "table_ord")
     each = F.explode(F.sequence(F.lit(1), F.coalesce("matches", F.lit(1))))
     return (

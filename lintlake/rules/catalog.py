@@ -8,7 +8,12 @@ stated here as they must be, in rule order. The patterns are in Python's `re` di
 `needs` is not part of a rule's meaning. It lists lower-case strings without which the
 pattern cannot match: every entry must occur in the text, where `a|b` means either. The
 scan tests these cheap substrings before it runs the regular expression. An empty list is
-always right, only slower.
+always right, only slower. The first entry is tested once for all rules that share it, so
+it is a character that many rules need where there is one.
+
+`ends_with` is a pattern that every match ends with. Nothing after the last place it is
+found can match, so the search for a tail further down does not run off the end of the text
+again for every head.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ class Rule(NamedTuple):
     needs: list[str]
     description: str
     suggestion: str
+    ends_with: str | None = None
 
 
 _PY = ["python"]
@@ -42,17 +48,17 @@ RULES: list[Rule] = [
     # Secrets written into the source
     Rule("SEC001", "Hardcoded password", "critical", "secret", "CWE-798", None, "high",
          r"""(?:password|passwd|pwd)\s*[=:]\s*['"][^'"]{4,}['"]""",
-         ["password|passwd|pwd"],
+         ["'|\"", "password|passwd|pwd"],
          "Hardcoded password detected. Credentials should never be stored in source code.",
          "Use environment variables or a secrets manager (e.g., AWS Secrets Manager, HashiCorp Vault)."),
     Rule("SEC002", "Hardcoded API key", "critical", "secret", "CWE-798", None, "high",
          r"""(?:api[_-]?key|apikey|api[_-]?secret|api[_-]?token)\s*[=:]\s*['"][^'"]{8,}['"]""",
-         ["api", "key|secret|token"],
+         ["'|\"", "api", "key|secret|token"],
          "Hardcoded API key or token detected.",
          "Use environment variables or a secrets manager."),
     Rule("SEC003", "Hardcoded secret/token", "critical", "secret", "CWE-798", None, "high",
          r"""(?:secret|token|auth[_-]?token|access[_-]?token|bearer)\s*[=:]\s*['"][^'"]{8,}['"]""",
-         ["secret|token|bearer"],
+         ["'|\"", "secret|token|bearer"],
          "Hardcoded secret or authentication token detected.",
          "Rotate this secret immediately and use a secrets manager."),
     Rule("SEC004", "AWS access key", "critical", "secret", "CWE-798", None, "high",
@@ -67,40 +73,40 @@ RULES: list[Rule] = [
          "Remove the private key and store it in a secure key management system."),
     Rule("SEC006", "Generic high-entropy secret", "high", "secret", "CWE-798", None, "medium",
          r"""(?:SECRET|PRIVATE|CREDENTIAL)[_A-Z]*\s*[=:]\s*['"][A-Za-z0-9+/=]{20,}['"]""",
-         ["secret|private|credential"],
+         ["'|\"", "secret|private|credential"],
          "High-entropy string assigned to a secret-looking variable.",
          "Verify this isn't a real credential. Use environment variables for secrets."),
 
     # Injection
     Rule("INJ001", "SQL injection risk", "high", "injection", "CWE-89", _PY, "high",
          r"""(?:execute|cursor\.execute|query)\s*\(\s*(?:f['"]|['"].*%s|['"].*\+\s*\w+|['"].*\.format\()""",
-         ["execute|query"],
+         ["(", "execute|query"],
          "Potential SQL injection via string formatting in query.",
          "Use parameterized queries: cursor.execute('SELECT * FROM t WHERE id = ?', (id,))"),
     Rule("INJ002", "Shell injection risk", "high", "injection", "CWE-78", _PY, "high",
          r"""(?:subprocess\.(?:call|run|Popen)|os\.(?:system|popen))\s*\(.*shell\s*=\s*True""",
-         ["shell", "true", "subprocess.|os."],
+         ["(", "shell", "true", "subprocess.|os."],
          "Shell command execution with shell=True enables injection attacks.",
          "Use subprocess with shell=False and pass arguments as a list."),
     Rule("INJ003", "Command injection via template", "critical", "injection", "CWE-78", _PY, "high",
          r"""os\.system\s*\(\s*(?:f['"]|['"].*%|['"].*\+|['"].*\.format)""",
-         ["os.system"],
+         ["(", "os.system"],
          "OS command constructed from user-controlled input.",
          "Use subprocess.run() with shell=False and argument lists."),
     Rule("INJ004", "eval() usage", "high", "injection", "CWE-95",
          ["python", "javascript", "typescript"], "medium",
          r"""\beval\s*\(""",
-         ["eval"],
+         ["(", "eval"],
          "eval() executes arbitrary code and is a major security risk.",
          "Use ast.literal_eval() for safe evaluation, or redesign to avoid eval entirely."),
     Rule("INJ005", "Unsafe deserialization", "high", "injection", "CWE-502", _PY, "high",
          r"""(?:pickle\.loads?|yaml\.(?:load|unsafe_load))\s*\(""",
-         ["pickle.load|yaml.load|yaml.unsafe_load"],
+         ["(", "pickle.load|yaml.load|yaml.unsafe_load"],
          "Unsafe deserialization can execute arbitrary code.",
          "Use yaml.safe_load() or json.loads() instead."),
     Rule("INJ006", "innerHTML assignment", "medium", "injection", "CWE-79", _WEB, "medium",
          r"""\.innerHTML\s*=(?!=)""",
-         [".innerhtml"],
+         ["=", ".innerhtml"],
          "Direct innerHTML assignment can lead to XSS.",
          "Use textContent for text, or sanitize HTML with DOMPurify."),
     Rule("INJ007", "SQL string concatenation", "high", "injection", "CWE-89", _WEB, "high",
@@ -110,12 +116,12 @@ RULES: list[Rule] = [
          "Use parameterized queries or an ORM."),
     Rule("INJ008", "Exec/Function constructor", "high", "injection", "CWE-95", _WEB, "high",
          r"""new\s+Function\s*\(""",
-         ["new", "function"],
+         ["(", "new", "function"],
          "Function constructor creates code from strings, similar to eval().",
          "Refactor to use standard function definitions."),
     Rule("INJ009", "Go SQL injection", "high", "injection", "CWE-89", _GO, "high",
          r"""(?:db\.(?:Query|Exec|QueryRow))\s*\(\s*(?:fmt\.Sprintf|.*\+)""",
-         ["db.query|db.exec"],
+         ["(", "db.query|db.exec"],
          "SQL query built with string formatting in Go.",
          "Use parameterized queries: db.Query(\"SELECT * FROM t WHERE id = $1\", id)"),
 
@@ -127,32 +133,32 @@ RULES: list[Rule] = [
          "Ensure debug mode is disabled in production."),
     Rule("CFG002", "CORS wildcard", "medium", "configuration", "CWE-942", None, "medium",
          r"""(?:Access-Control-Allow-Origin|cors(?:_allow)?_origin[s]?)\s*[=:]\s*['"]\*['"]""",
-         ["access-control-allow-origin|cors_origin|cors_allow_origin"],
+         ["'|\"", "access-control-allow-origin|cors_origin|cors_allow_origin"],
          "CORS configured to allow all origins. This may expose APIs to unauthorized access.",
          "Restrict CORS to specific trusted domains."),
     Rule("CFG003", "Insecure HTTP URL", "info", "configuration", None, None, "low",
          r"""https?://(?!localhost|127\.0\.0\.1|0\.0\.0\.0|::1|example\.com|example\.org)[a-zA-Z0-9.-]+\.[a-z]{2,}""",
-         ["http", "://"],
+         [":", "http", "://"],
          "HTTP URLs detected. Consider using HTTPS.",
          "Use HTTPS for all external communications."),
     Rule("CFG004", "Disabled SSL verification", "high", "security", "CWE-295", _PY, "high",
          r"""verify\s*=\s*False""",
-         ["verify", "false"],
+         ["=", "verify", "false"],
          "SSL certificate verification is disabled, enabling man-in-the-middle attacks.",
          "Enable SSL verification (verify=True) and use proper certificate management."),
     Rule("CFG005", "Insecure random for security", "medium", "security", "CWE-338", _PY, "low",
          r"""(?:random\.(?:random|randint|choice|randrange))\s*\(""",
-         ["random."],
+         ["(", "random."],
          "Standard random module is not cryptographically secure.",
          "Use secrets module for security-sensitive randomness: secrets.token_hex(), secrets.randbelow()."),
     Rule("CFG006", "Weak hash algorithm", "medium", "security", "CWE-328", None, "medium",
          r"""(?:hashlib\.(?:md5|sha1)|MD5|SHA1)\s*\(""",
-         ["md5|sha1"],
+         ["(", "md5|sha1"],
          "Weak hash algorithm (MD5/SHA1) detected. These are vulnerable to collisions.",
          "Use SHA-256 or stronger: hashlib.sha256()."),
     Rule("CFG007", "Permissive file permissions", "high", "configuration", "CWE-732", None, "high",
          r"""(?:chmod|os\.chmod)\s*\(.*0o?777""",
-         ["chmod", "777"],
+         ["(", "chmod", "777"],
          "File permissions set to 777 (world-readable/writable/executable).",
          "Use more restrictive permissions (e.g., 0o644 for files, 0o755 for directories)."),
 
@@ -169,17 +175,17 @@ RULES: list[Rule] = [
          "Catch specific exceptions (e.g., ValueError, KeyError)."),
     Rule("QUA003", "Mutable default argument", "medium", "quality", "CWE-665", _PY, "high",
          r"""def\s+\w+\(.*=\s*(?:\[\]|\{\}|set\(\))""",
-         ["def", "=", "[]|{}|set()"],
+         ["(", "def", "[]|{}|set()"],
          "Mutable default argument in function definition. This is a common Python bug.",
          "Use None as default and initialize inside the function: def f(x=None): x = x or []"),
     Rule("QUA004", "Loose equality (==) in JS", "low", "quality", None, _JS, "low",
          r"""[^=!<>]==[^=]""",
-         ["=="],
+         ["=", "=="],
          "Loose equality (==) can lead to unexpected type coercion.",
          "Use strict equality (===) instead."),
     Rule("QUA005", "Console.log in production code", "info", "quality", None, _WEB, "medium",
          r"""console\.log\s*\(""",
-         ["console.log"],
+         ["(", "console.log"],
          "console.log() found. Remove before production deployment.",
          "Use a proper logging library or remove debug logging."),
     Rule("QUA006", "Empty catch block", "medium", "quality", "CWE-390", None, "medium",
@@ -195,22 +201,24 @@ RULES: list[Rule] = [
          r"""(?:async\s+def\s+.*\n(?s:.*?)(?:open\(|os\.path|shutil\.)(?:.*(?:open\(|os\.path|shutil\.))?)|(?:await.*(?:open\(|os\.path))""",
          ["async|await", "open(|os.path|shutil."],
          "Synchronous file I/O in an async function blocks the event loop.",
-         "Use aiofiles or run_in_executor for file I/O in async code."),
+         "Use aiofiles or run_in_executor for file I/O in async code.",
+         r"(?:open\(|os\.path|shutil\.)"),
     Rule("PRF002", "N+1 query pattern", "medium", "performance", None, None, "low",
          r"""for\s+\w+\s+in\s+.*:\s*\n\s*.*(?:\.query|\.execute|\.find|\.get|SELECT)""",
-         [".query|.execute|.find|.get|select", "for", "in", ":"],
+         [":", ".query|.execute|.find|.get|select", "for"],
          "Potential N+1 query pattern: database query inside a loop.",
          "Use batch queries, JOINs, or prefetch_related/select_related."),
     Rule("PRF003", "Regex in loop without compilation", "low", "performance", None, _PY, "low",
          r"""for\s+.*:\s*\n(?s:.*?)(?<=\n)\s*re\.(?:search|match|findall|sub)\s*\(""",
-         ["re.search|re.match|re.findall|re.sub", "for"],
+         ["(", "re.search|re.match|re.findall|re.sub", "for"],
          "Regex used inside a loop without pre-compilation.",
-         "Compile the regex before the loop: pattern = re.compile(r'...'); pattern.search(text)"),
+         "Compile the regex before the loop: pattern = re.compile(r'...'); pattern.search(text)",
+         r"re\.(?:search|match|findall|sub)\s*\("),
 
     # Supply chain
     Rule("SUP001", "Unpinned dependency", "low", "supply-chain", "CWE-1104", None, "low",
          r"""(?:pip install|gem install|npm install)\s+[a-zA-Z][\w-]*\s*$""",
-         ["pip install|gem install|npm install"],
+         ["install", "pip install|gem install|npm install"],
          "Installing package without version pinning.",
          "Pin dependencies to specific versions for reproducible builds."),
 
@@ -229,24 +237,24 @@ RULES: list[Rule] = [
     # Infrastructure as code
     Rule("IAC001", "Public S3 bucket", "high", "configuration", "CWE-284", _TF, "high",
          r"""acl\s*=\s*['"]public-read['"]""",
-         ["public-read"],
+         ["'|\"", "public-read"],
          "S3 bucket configured with public read access.",
          "Use 'private' ACL unless public access is explicitly required."),
     Rule("IAC002", "Open security group", "medium", "configuration", "CWE-284", _TF, "medium",
          r"""cidr_blocks\s*=\s*\[['"]0\.0\.0\.0/0['"]\]""",
-         ["cidr_blocks"],
+         ["'|\"", "cidr_blocks"],
          "Security group open to all IPs (0.0.0.0/0).",
          "Restrict to specific IP ranges or use a VPN."),
 
     # More secrets
     Rule("SEC007", "GitHub personal access token", "critical", "secret", "CWE-798", None, "high",
          r"""ghp_[A-Za-z0-9_]{36}""",
-         ["ghp_"],
+         ["_", "ghp_"],
          "GitHub personal access token detected in source code.",
          "Revoke this token at github.com/settings/tokens and use environment variables."),
     Rule("SEC008", "Slack webhook URL", "high", "secret", "CWE-798", None, "high",
          r"""https://hooks\.slack\.com/services/T[A-Z0-9]+/B[A-Z0-9]+/[A-Za-z0-9]+""",
-         ["hooks.slack.com/services/t"],
+         [":", "hooks.slack.com/services/t"],
          "Slack webhook URL detected in source code.",
          "Store webhook URLs in environment variables or a secrets manager."),
     Rule("SEC009", "Google API key", "high", "secret", "CWE-798", None, "high",
@@ -256,53 +264,53 @@ RULES: list[Rule] = [
          "Restrict the API key in Google Cloud Console and load from environment variables."),
     Rule("SEC010", "Stripe secret key", "critical", "secret", "CWE-798", None, "high",
          r"""(?:sk_live|rk_live)_[0-9a-zA-Z]{24,}""",
-         ["sk_live_|rk_live_"],
+         ["_", "sk_live_|rk_live_"],
          "Stripe live secret key detected. This grants full access to payment processing.",
          "Revoke this key in the Stripe dashboard immediately and use environment variables."),
     Rule("SEC011", "Database connection string with credentials", "high", "secret", "CWE-798", None, "high",
          r"""(?:mysql|postgres(?:ql)?|mongodb(?:\+srv)?|redis|amqp)://\w+:[^@\s'"]{3,}@""",
-         ["://", "@", "mysql|postgres|mongodb|redis|amqp"],
+         [":", "://", "@", "mysql|postgres|mongodb|redis|amqp"],
          "Database connection string with embedded credentials found in source code.",
          "Use environment variables for connection strings: os.environ['DATABASE_URL']."),
     Rule("SEC012", "Hardcoded Bearer/Authorization token", "high", "secret", "CWE-798", None, "medium",
          r"""['"](Bearer\s+[A-Za-z0-9\-_.]{20,})['"]""",
-         ["bearer"],
+         ["'|\"", "bearer"],
          "Hardcoded Bearer token in source code.",
          "Load authentication tokens from environment variables or a secrets manager."),
 
     # Server-side request forgery
     Rule("SSRF001", "Potential SSRF via requests library", "high", "security", "CWE-918", _PY, "medium",
          r"""requests\.(?:get|post|put|delete|patch|head)\s*\(\s*(?:f['"]|.*\+\s*(?:request|req|params|args)|.*\.format\()""",
-         ["requests."],
+         ["(", "requests."],
          "HTTP request with user-controlled URL may enable Server-Side Request Forgery (SSRF).",
          "Validate and allowlist target URLs/hosts. Use a URL parser to verify the scheme and host."),
     Rule("SSRF002", "Potential SSRF via fetch/axios", "high", "security", "CWE-918", _WEB, "medium",
          r"""(?:fetch|axios\.(?:get|post|put|delete|patch))\s*\(\s*(?:`.*\$\{|.*\+\s*(?:req\.|request\.|params\.|query\.|body\.))""",
-         ["fetch|axios.", "${|+"],
+         ["(", "fetch|axios.", "${|+"],
          "HTTP request constructed from user input may enable SSRF attacks.",
          "Validate URLs against an allowlist of permitted hosts before making requests."),
 
     # Path traversal
     Rule("PATH001", "Path traversal via user input", "high", "security", "CWE-22", _PY, "medium",
          r"""(?:open|Path)\s*\(\s*(?:os\.path\.join\s*\(.*(?:request|req|params|args)|f['"].*(?:request|req|params|args))""",
-         ["req|params|args", "open|path"],
+         ["(", "req|params|args", "open|path"],
          "File operation with user-controlled path may allow directory traversal attacks.",
          "Use os.path.realpath() and verify the resolved path is within the expected base directory."),
     Rule("PATH002", "Path traversal in Node.js", "high", "security", "CWE-22", _WEB, "medium",
          r"""fs\.(?:readFile|writeFile|readdir|unlink|createReadStream|access)(?:Sync)?\s*\(\s*(?:req\.|request\.|params\.)""",
-         ["fs.", "req.|request.|params."],
+         ["(", "fs.", "req.|request.|params."],
          "File system operation with user-controlled path enables path traversal.",
          "Use path.resolve() and verify the result starts with the intended base directory."),
 
     # Open redirects
     Rule("REDIR001", "Open redirect in Python web framework", "medium", "security", "CWE-601", _PY, "medium",
          r"""(?:redirect|HttpResponseRedirect|RedirectResponse)\s*\(\s*(?:request\.|req\.|params\[|args\.)""",
-         ["redirect", "request.|req.|params[|args."],
+         ["(", "redirect", "request.|req.|params[|args."],
          "Redirect using user-controlled input may allow open redirect attacks.",
          "Validate redirect targets against an allowlist of permitted URLs."),
     Rule("REDIR002", "Open redirect in Express", "medium", "security", "CWE-601", _WEB, "medium",
          r"""res\.redirect\s*\(\s*(?:req\.(?:query|params|body)\[|req\.(?:query|params|body)\.)""",
-         ["res.redirect"],
+         ["(", "res.redirect"],
          "Express redirect using user-supplied input enables open redirect.",
          "Validate redirect URLs against an allowlist of permitted paths or hosts."),
 
@@ -314,7 +322,7 @@ RULES: list[Rule] = [
          "Always verify JWT signatures. Explicitly specify allowed algorithms: algorithms=['HS256']."),
     Rule("AUTH002", "Hardcoded JWT secret", "high", "secret", "CWE-798", None, "medium",
          r"""jwt\.(?:encode|sign)\s*\(.*['"][^'"]{8,}['"]""",
-         ["jwt.encode|jwt.sign"],
+         ["(", "jwt.encode|jwt.sign"],
          "JWT signed with a hardcoded secret key.",
          "Load the JWT secret from environment variables or a secrets manager."),
 
@@ -326,14 +334,14 @@ RULES: list[Rule] = [
          "Use AES-256-GCM or AES-256-CBC with proper IV. Never use DES, RC4, or ECB mode."),
     Rule("CRYPTO002", "Hardcoded initialization vector", "high", "security", "CWE-329", None, "medium",
          r"""(?:iv|nonce|IV|NONCE)\s*=\s*(?:b['"][^'"]{8,}['"]|bytes\(|b'\\x)""",
-         ["b'|b\"|bytes(", "iv|nonce"],
+         ["=", "b'|b\"|bytes(", "iv|nonce"],
          "Hardcoded initialization vector (IV) makes encryption predictable.",
          "Generate a random IV for each encryption operation using os.urandom() or crypto.randomBytes()."),
 
     # Template injection
     Rule("SSTI001", "Server-side template injection", "high", "injection", "CWE-1336", _PY, "medium",
          r"""render_template_string\s*\(""",
-         ["render_template_string"],
+         ["(", "render_template_string"],
          "render_template_string() renders templates from strings, enabling server-side template injection if user input is included.",
          "Use render_template() with static template files instead of render_template_string()."),
 
@@ -345,43 +353,43 @@ RULES: list[Rule] = [
          "Sanitize HTML with DOMPurify before using dangerouslySetInnerHTML."),
     Rule("REACT002", "javascript: URI in href", "high", "injection", "CWE-79", _WEB, "high",
          r"""href\s*=\s*['"]javascript:""",
-         ["javascript:", "href"],
+         ["=", "javascript:", "href"],
          "javascript: URIs in href attributes execute arbitrary code (XSS).",
          "Validate URLs and reject javascript: protocol. Allow only http: and https: schemes."),
     Rule("JS001", "document.write() usage", "medium", "injection", "CWE-79", _WEB, "medium",
          r"""document\.write\s*\(""",
-         ["document.write"],
+         ["(", "document.write"],
          "document.write() can introduce XSS vulnerabilities and blocks page rendering.",
          "Use DOM APIs (createElement, textContent) instead of document.write()."),
 
     # Django
     Rule("DJANGO001", "Django mark_safe with variable input", "high", "injection", "CWE-79", _PY, "high",
          r"""mark_safe\s*\(\s*(?:f['"]|.*\+|.*\.format\(|.*%)""",
-         ["mark_safe"],
+         ["(", "mark_safe"],
          "mark_safe() with dynamic content bypasses Django's auto-escaping, enabling XSS.",
          "Use format_html() instead of mark_safe() with string formatting."),
     Rule("DJANGO002", "Django raw SQL query", "high", "injection", "CWE-89", _PY, "high",
          r"""(?:\.raw|\.extra|RawSQL)\s*\(\s*(?:f['"]|['"].*\.format\()""",
-         [".raw|.extra|rawsql"],
+         ["(", ".raw|.extra|rawsql"],
          "Django raw SQL query with string formatting enables SQL injection.",
          "Use Django ORM or pass parameters: Model.objects.raw('SELECT ... WHERE id = %s', [id])."),
 
     # Flask
     Rule("FLASK001", "Flask SECRET_KEY hardcoded", "critical", "secret", "CWE-798", _PY, "high",
          r"""(?:app\.secret_key|config\s*\[\s*['"]SECRET_KEY['"]\s*\])\s*=\s*['"][^'"]+['"]""",
-         ["secret_key"],
+         ["'|\"", "secret_key"],
          "Flask SECRET_KEY is hardcoded. This compromises session security.",
          "Load SECRET_KEY from environment variable: app.secret_key = os.environ['SECRET_KEY']."),
     Rule("FLASK002", "Flask send_file path traversal", "high", "security", "CWE-22", _PY, "high",
          r"""send_file\s*\(\s*(?:request\.|os\.path\.join\s*\(.*request\.)""",
-         ["send_file", "request."],
+         ["(", "send_file", "request."],
          "send_file() with user-controlled path enables arbitrary file read.",
          "Use send_from_directory() with a fixed base directory instead."),
 
     # Node.js
     Rule("JS002", "Command injection via child_process", "critical", "injection", "CWE-78", _WEB, "high",
          r"""child_process\.(?:exec|execSync)\s*\(\s*(?:`.*\$\{|.*\+\s*(?:req|request|params|query|body))""",
-         ["child_process.exec"],
+         ["(", "child_process.exec"],
          "Command executed with user-controlled input enables remote code execution.",
          "Use execFile/execFileSync with arguments as an array. Never concatenate user input into commands."),
     Rule("JS003", "Node.js TLS verification disabled", "high", "security", "CWE-295", _WEB, "high",
@@ -391,41 +399,41 @@ RULES: list[Rule] = [
          "Enable TLS verification. Use proper CA certificates for self-signed certs."),
     Rule("JS004", "Math.random() for security", "medium", "security", "CWE-338", _WEB, "low",
          r"""Math\.random\s*\(\s*\)""",
-         ["math.random"],
+         ["(", "math.random"],
          "Math.random() is not cryptographically secure and should not be used for security.",
          "Use crypto.randomUUID(), crypto.getRandomValues(), or crypto.randomBytes()."),
 
     # Python
     Rule("PY001", "Insecure temporary file creation", "medium", "security", "CWE-377", _PY, "high",
          r"""(?:tempfile\.mktemp|os\.tempnam|os\.tmpnam)\s*\(""",
-         ["tempfile.mktemp|os.tempnam|os.tmpnam"],
+         ["(", "tempfile.mktemp|os.tempnam|os.tmpnam"],
          "Insecure temporary file creation is vulnerable to race condition attacks.",
          "Use tempfile.mkstemp() or tempfile.NamedTemporaryFile() instead."),
     Rule("PY002", "Assert used for security validation", "high", "security", "CWE-617", _PY, "medium",
          r"""assert\s+.*(?:is_authenticated|is_staff|is_superuser|has_perm|is_admin)""",
-         ["assert", "is_authenticated|is_staff|is_superuser|has_perm|is_admin"],
+         ["_", "assert", "is_authenticated|is_staff|is_superuser|has_perm|is_admin"],
          "assert statements are removed when Python runs with -O flag. Never use for security checks.",
          "Use if/raise for security: if not user.is_authenticated: raise PermissionError()."),
     Rule("PY003", "Unsafe marshal/shelve deserialization", "high", "injection", "CWE-502", _PY, "medium",
          r"""(?:marshal\.loads?|shelve\.open)\s*\(""",
-         ["marshal.load|shelve.open"],
+         ["(", "marshal.load|shelve.open"],
          "marshal and shelve can execute arbitrary code during deserialization.",
          "Use json.loads() for untrusted data. Only use marshal/shelve with trusted sources."),
 
     # Kubernetes
     Rule("K8S001", "Privileged Kubernetes container", "critical", "configuration", "CWE-250", _YAML, "high",
          r"""privileged\s*:\s*true""",
-         ["privileged"],
+         [":", "privileged"],
          "Container running in privileged mode has full host access.",
          "Remove privileged: true. Use specific capabilities if needed."),
     Rule("K8S002", "Container running as root in Kubernetes", "high", "configuration", "CWE-250", _YAML, "high",
          r"""runAsUser\s*:\s*0\b""",
-         ["runasuser"],
+         [":", "runasuser"],
          "Kubernetes pod configured to run as root user.",
          "Set runAsNonRoot: true and specify a non-zero runAsUser in securityContext."),
     Rule("K8S003", "Kubernetes host namespace sharing", "high", "configuration", "CWE-250", _YAML, "high",
          r"""(?:hostNetwork|hostPID|hostIPC)\s*:\s*true""",
-         ["hostnetwork|hostpid|hostipc"],
+         [":", "hostnetwork|hostpid|hostipc"],
          "Pod shares the host's network/PID/IPC namespace, breaking container isolation.",
          "Remove hostNetwork/hostPID/hostIPC unless absolutely required."),
 
@@ -449,14 +457,14 @@ RULES: list[Rule] = [
     # More infrastructure rules
     Rule("IAC003", "Publicly accessible RDS instance", "high", "configuration", "CWE-284", _TF, "high",
          r"""publicly_accessible\s*=\s*true""",
-         ["publicly_accessible"],
+         ["=", "publicly_accessible"],
          "RDS database instance is publicly accessible from the internet.",
          "Set publicly_accessible = false and use private subnets with VPN/bastion access."),
 
     # Environment and logging
     Rule("ENV001", "Environment variable leaked in logs", "medium", "secret", "CWE-532", None, "low",
          r"""(?:console\.log|print|logger?\.(?:info|debug|warn|error)|logging\.)\s*\(.*(?:os\.environ|process\.env)""",
-         ["os.environ|process.env"],
+         ["(", "os.environ|process.env"],
          "Environment variable value written to logs may leak secrets.",
          "Never log raw environment variable values. Mask sensitive values before logging."),
 
@@ -464,7 +472,7 @@ RULES: list[Rule] = [
     Rule("API001", "Potential mass assignment", "medium", "security", "CWE-915",
          ["javascript", "typescript", "python"], "medium",
          r"""(?:\.create|\.update|\.findOneAndUpdate|\.updateOne)\s*\(\s*(?:req\.body|request\.(?:data|json))""",
-         ["req.body|request.data|request.json"],
+         ["(", "req.body|request.data|request.json"],
          "Directly passing request body to database operations may allow mass assignment.",
          "Explicitly pick allowed fields. Use serializer validation or an allowlist."),
 ]

@@ -24,8 +24,8 @@ ANY_LANGUAGE = "*"
 NO_TEXT = "-"
 
 _CHECKS = (
-    "check_key string, "
-    "checks array<struct<ord:int, pattern:string, needs:array<array<string>>>>"
+    "check_key string, groups array<struct<gate:array<string>, "
+    "checks:array<struct<ord:int, pattern:string, until:string, needs:array<array<string>>>>>>"
 )
 
 
@@ -49,8 +49,10 @@ class RuleSet:
         for position, rule in enumerate(rules):
             try:
                 pattern = to_java(rule.pattern)
+                tail = to_java(rule.ends_with or "")
                 if spark is not None:
-                    spark._jvm.java.util.regex.Pattern.compile(pattern)
+                    for java in (pattern, tail):
+                        spark._jvm.java.util.regex.Pattern.compile(java)
             except Exception as error:  # re.error, or PatternSyntaxException by way of py4j
                 reason = str(getattr(error, "java_exception", None) or error)
                 rejected.append((rule.rule_id, rule.pattern, reason.splitlines()[0]))
@@ -102,7 +104,7 @@ class RuleSet:
         """The rules as a DataFrame."""
         rows = [
             (position, r.rule_id, r.title, r.pattern, r.severity, r.category, r.description,
-             r.suggestion, r.cwe_id, r.languages, r.confidence, r.needs)
+             r.suggestion, r.cwe_id, r.languages, r.confidence, r.needs, r.ends_with)
             for position, r, _ in self._rules
         ]
         return _local_table(spark, rows, schema.RULES)
@@ -114,22 +116,24 @@ class RuleSet:
         return sorted({language for rule in self for language in rule.languages or ()})
 
     def by_language(self, spark: SparkSession) -> DataFrame:
-        """One row per language with all the checks that apply to it, in rule order.
+        """One row per language with all the checks that apply to it.
 
+        Rules that need the same string first form a group with that string as its gate.
         The row `*` serves every language that no rule names.
         """
         rows = [(NO_TEXT, [])]
         for language in [*self.languages(), ANY_LANGUAGE]:
-            checks = [
-                {
-                    "ord": position,
-                    "pattern": pattern,
-                    "needs": [group.split("|") for group in rule.needs],
-                }
-                for position, rule, pattern in self._rules
-                if rule.languages is None or language in rule.languages
-            ]
-            rows.append((language, checks))
+            groups = {}
+            for position, rule, pattern in self._rules:
+                if rule.languages is None or language in rule.languages:
+                    gate, *needs = [entry.split("|") for entry in rule.needs] or [[]]
+                    until = None
+                    if rule.ends_with is not None:
+                        until = to_java(r"\A(?s:.*)" + rule.ends_with)
+                    check = {"ord": position, "pattern": pattern, "until": until, "needs": needs}
+                    groups.setdefault(tuple(gate), []).append(check)
+            made = [{"gate": list(gate), "checks": checks} for gate, checks in groups.items()]
+            rows.append((language, made))
         return _local_table(spark, rows, _CHECKS)
 
     def check_key(self, language: Column, text: Column) -> Column:

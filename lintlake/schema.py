@@ -7,8 +7,10 @@ FILES = "path string, language string, size bigint, text string"
 RULES = (
     "ord int, rule_id string, title string, pattern string, severity string, "
     "category string, description string, suggestion string, cwe_id string, "
-    "languages array<string>, confidence string, needs array<string>"
+    "languages array<string>, confidence string, needs array<string>, ends_with string"
 )
+# Columns that say how a rule is run, not what it reports.
+RULE_INTERNALS = ["pattern", "languages", "needs", "ends_with"]
 
 # One row per scanned file; `hits` holds one entry per line a rule matched on, with the
 # number of matches that start there.

@@ -170,7 +170,7 @@ def scan_custom_rules(spark, sf):
         rows,
         "ord int, rule_id string, title string, severity string, category string, cwe_id string, "
         "languages array<string>, confidence string, pattern string, needs array<string>, "
-        "description string, suggestion string",
+        "description string, suggestion string, ends_with string",
     )
     return scan(corpora.pages(spark, sf), RuleSet.from_table(table)).select(PLACE)
 
