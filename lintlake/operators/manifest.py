@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake import schema
-from lintlake.sources.tree import list_tree, read_bytes
+from lintlake.sources.tree import hash_files, list_tree
 
 
 def is_excluded(path: Column) -> Column:
@@ -17,13 +17,18 @@ def is_excluded(path: Column) -> Column:
 
 def manifest(contents: DataFrame) -> DataFrame:
     """(path, sha256) in path order, from a table with path and content."""
-    return (
-        contents.where(~is_excluded(F.col("path")))
-        .select("path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))
-        .orderBy("path")
+    hashed = contents.where(~is_excluded(F.col("path"))).select(
+        "path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256")
     )
+    return _by_path(hashed)
+
+
+def _by_path(hashed: DataFrame) -> DataFrame:
+    # The rebalance keeps the sort's sampling from reading and hashing a second time.
+    return hashed.hint("rebalance").orderBy("path")
 
 
 def tree_manifest(spark: SparkSession, root: str) -> DataFrame:
     """The manifest of a directory tree, whatever the files' language or size."""
-    return manifest(read_bytes(list_tree(spark, root, skipped=is_excluded), root))
+    listing = list_tree(spark, root, skipped=is_excluded).where(~is_excluded(F.col("path")))
+    return _by_path(hash_files(listing, root))

@@ -40,6 +40,28 @@ def tally(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     )
 
 
+def rule_counts(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """For each rule with findings: how many, and in how many files.
+
+    A file's matches are summed within its row, so one row per rule leaves each task.
+    """
+    rules = builtin_rules() if rules is None else rules
+    per_file = F.expr(
+        "transform(array_distinct(hits.ord), o -> named_struct('ord', o, 'findings', "
+        "aggregate(filter(hits, h -> h.ord = o), 0L, (n, h) -> n + h.matches)))"
+    )
+    counted = (
+        scanned.select(F.inline_outer(per_file))
+        .where("ord IS NOT NULL")
+        .groupBy("ord")
+        .agg(F.sum("findings").alias("findings"), F.count("*").alias("files"))
+    )
+    table = rules.table(scanned.sparkSession)
+    return counted.join(F.broadcast(table), "ord").select(
+        "rule_id", "title", "severity", "category", "findings", "files"
+    )
+
+
 def severity_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("findings"))
 

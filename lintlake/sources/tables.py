@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from lintlake import schema
 from lintlake.functions import paths
+from lintlake.functions.text import decode_text
 
 
 def from_table(
@@ -19,10 +21,13 @@ def from_table(
     """Files from a table.
 
     `language` is one language for all rows, a column, or (None) taken from the path.
-    `size` is in bytes; by default that of the text.
+    `size` is in bytes; by default that of the text. A binary text column is decoded.
     """
     path = F.col(path) if isinstance(path, str) else path
     text = F.col(text) if isinstance(text, str) else text
+    content = text
+    if isinstance(table.select(text).schema[0].dataType, BinaryType):
+        content = decode_text(text)
     if language is None:
         language = paths.detect_language(path.cast("string"))
     elif isinstance(language, str):
@@ -35,7 +40,7 @@ def from_table(
         path.cast("string").alias("path"),
         language.alias("language"),
         size.cast("bigint").alias("size"),
-        text.alias("text"),
+        content.alias("text"),
     )
 
 

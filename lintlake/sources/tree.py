@@ -8,9 +8,11 @@ every executor: a shared mount, or any URI that pyarrow's file systems open.
 
 from __future__ import annotations
 
+import hashlib
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
@@ -36,7 +38,9 @@ def _is_uri(path: str) -> bool:
 
 
 def _absolute(path: str) -> str:
-    return path.rstrip("/") if _is_uri(path) else os.path.abspath(path)
+    if _is_uri(path):
+        return path.rstrip("/")
+    return os.path.abspath(path.removeprefix("file:"))
 
 
 def _entries(root: str, directory: str) -> Iterator[tuple[str, bool, int | None]]:
@@ -99,29 +103,40 @@ def list_tree(spark: SparkSession, root: str, skipped=paths.is_skipped) -> DataF
         # A directory is skipped by its own name, so ask for a file inside it.
         inside = F.concat("path", F.lit("/."))
         directories = entries.where("is_dir").where(~skipped(inside)).select("path")
-        if directories.isEmpty():
+        count = directories.count()
+        if count == 0:
             break
-        directories = directories.repartition(4 * cores)
+        directories = directories.repartition(min(count, 4 * cores))
     return reduce(DataFrame.unionByName, levels)
 
 
+def _opener(root: str) -> Callable[[str], BinaryIO]:
+    """How to open a path below the root for reading, on an executor."""
+    if _is_uri(root):
+        system, base = fs.FileSystem.from_uri(root)
+        return lambda path: system.open_input_stream(f"{base}/{path}" if path else base)
+    return lambda path: open(f"{root}/{path}" if path else root, "rb")
+
+
+def _spread_by_size(listing: DataFrame) -> DataFrame:
+    """Paths over so many tasks that each has about `_BYTES_PER_TASK` to read."""
+    total = listing.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    cores = listing.sparkSession.sparkContext.defaultParallelism
+    return listing.repartition(max(4 * cores, -(-total // _BYTES_PER_TASK)))
+
+
 def read_bytes(listing: DataFrame, root: str) -> DataFrame:
     """The listed files' contents: (path, size, content), content NULL where unreadable."""
     root = _absolute(root)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(root) if _is_uri(root) else (None, root)
+        opened = _opener(root)
         rows, held = [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                place = f"{base}/{row['path']}" if row["path"] else base
                 try:
-                    if system is None:
-                        with open(place, "rb") as file:
-                            row["content"] = file.read()
-                    else:
-                        with system.open_input_stream(place) as file:
-                            row["content"] = file.read()
+                    with opened(row["path"]) as file:
+                        row["content"] = file.read()
                 except OSError:
                     row["content"] = None
                 rows.append(row)
@@ -132,20 +147,40 @@ def read_bytes(listing: DataFrame, root: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _CONTENT)
 
-    total = listing.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    cores = listing.sparkSession.sparkContext.defaultParallelism
-    tasks = max(4 * cores, -(-total // _BYTES_PER_TASK))
-    return listing.repartition(tasks).mapInArrow(read, "path string, size bigint, content binary")
+    return _spread_by_size(listing).mapInArrow(read, "path string, size bigint, content binary")
 
 
 _CONTENT = pa.schema([("path", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
 
 
+def hash_files(listing: DataFrame, root: str) -> DataFrame:
+    """(path, sha256) of the listed files, read in pieces: a file may exceed what a row
+    can hold. A file that cannot be read fails the job."""
+    root = _absolute(root)
+
+    def digest(opened, path: str) -> str:
+        made = hashlib.sha256()
+        with opened(path) as file:
+            while piece := file.read(_BYTES_PER_BATCH):
+                made.update(piece)
+        return made.hexdigest()
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened = _opener(root)
+        for frame in frames:
+            yield pd.DataFrame(
+                {"path": frame["path"], "sha256": [digest(opened, p) for p in frame["path"]]}
+            )
+
+    return _spread_by_size(listing).mapInPandas(hashed, "path string, sha256 string")
+
+
 def read_tree(
     spark: SparkSession, root: str, max_size: int = schema.MAX_FILE_SIZE
 ) -> DataFrame:
     """Files below a directory: known language, at most `max_size` bytes, no skipped
     directory on the way. A file as root is read alone, see `read_file`."""
+    root = _absolute(root)
     if not _is_uri(root) and not os.path.isdir(root):
         return read_file(spark, root)
     listing = list_tree(spark, root).withColumn("language", paths.detect_language(F.col("path")))

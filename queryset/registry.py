@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,18 +97,15 @@ SELECT_ALL = f"SELECT {', '.join(ORDERED)} FROM findings"
     "count(DISTINCT file_path) AS files FROM findings GROUP BY ALL"))
 def findings_by_rule(spark, sf):
     """The flagship: all rules over all documents, counted by rule."""
-    hits = documents_scan(spark, sf)
-    # One row per file and rule first, so that no file is counted by its name.
-    per_file = hits.select(F.inline_outer("hits"), "path").groupBy("ord", "path").agg(
-        F.sum("matches").alias("matches")
-    )
-    table = builtin_rules().table(spark)
-    counted = per_file.groupBy("ord").agg(
-        F.sum("matches").alias("findings"), F.count("*").alias("files")
-    )
-    return counted.join(F.broadcast(table), "ord").select(
-        "rule_id", "title", "severity", "category", "findings", "files"
-    )
+    return metrics.rule_counts(documents_scan(spark, sf))
+
+
+@query("rule_counts", found(
+    TREE,
+    "SELECT rule_id, title, severity, category, count(*) AS findings, "
+    "count(DISTINCT file_path) AS files FROM findings GROUP BY ALL"))
+def rule_counts(spark, sf):
+    return metrics.rule_counts(rendered_scan(spark, sf))
 
 
 @query("scan_rendered", found(TREE, SELECT_ALL))
@@ -268,20 +266,19 @@ def decode_text(spark, sf):
     SELECT_PLACE))
 def tree_scan(spark, sf):
     """Write the rendered corpus out as files, then list, read and scan the tree."""
-    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}".removeprefix("file:")
+    uri = root if "://" in root else f"file://{root}"
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
+        system, base = fs.FileSystem.from_uri(uri)
         for frame in frames:
             for path, content in zip(frame["path"], frame["text"]):
-                place = os.path.join(root, path)
-                os.makedirs(os.path.dirname(place), exist_ok=True)
-                with open(place, "wb") as file:
+                place = f"{base}/{path}"
+                system.create_dir(place.rpartition("/")[0])
+                with system.open_output_stream(place) as file:
                     file.write(content.encode())
             yield frame[["path"]]
 
-    root = root.removeprefix("file:")
     files = corpora.rendered(spark, sf).select("path", "text")
     files.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
     return scan(read_tree(spark, root)).select(PLACE)

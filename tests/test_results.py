@@ -345,3 +345,12 @@ def test_custom_rules(spark):
     assert [name for name, _, _ in rules.rejected] == ["A2"]
     rows = scan(files_table(spark, [("a", "python", "foo1 FOO22"), ("b", "go", "foo3")]), rules).collect()
     assert [(r["rule_id"], r["file_path"], r["match_ord"]) for r in rows] == [("A1", "a", 1), ("A1", "a", 2)]
+
+
+def test_rule_counts(scanned):
+    rows = brute_force(MIXED)
+    got = {r["rule_id"]: (r["findings"], r["files"]) for r in metrics.rule_counts(scanned).collect()}
+    assert got == {
+        name: (sum(r[5] == name for r in rows), len({r[1] for r in rows if r[5] == name}))
+        for name in {r[5] for r in rows}
+    }

@@ -123,6 +123,8 @@ def test_from_table(spark):
     assert [tuple(f) for f in files] == [
         ("Dockerfile", "dockerfile", 2, "é"), ("a/b.PY", "python", 1, "x"),
     ]
+    raw = table.withColumn("t", F.unhex(F.lit("61FF0D0A62")))
+    assert from_table(raw, "p", "t").first()["text"] == "a\ufffd\nb"
     given = from_table(table, "id", "t", F.lit("go"), size=F.lit(5)).first()
     assert tuple(given) == ("1", "go", 5, "x")
 
