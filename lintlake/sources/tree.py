@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import sys
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from typing import BinaryIO
@@ -17,6 +18,7 @@ from typing import BinaryIO
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,9 @@ from lintlake.functions import paths, text
 from lintlake.sources.store import keep
 from lintlake.sources.tables import scannable
 
+# What runs on the executors travels with the job, so they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A read task is given about this many bytes of files, and hands them on in batches.
 _BYTES_PER_TASK = 128 * 1024 * 1024
 _BYTES_PER_BATCH = 16 * 1024 * 1024
