@@ -30,6 +30,7 @@ from lintlake.sources.tables import from_table, scannable, skip_reason, spread
 from lintlake.sources.tree import list_tree, read_tree
 from lintlake.streaming.scan import scan_available
 from queryset import corpora
+from queryset.corpora import quote
 from queryset.oracle import (
     findings_ctes,
     line_count_sql,
@@ -791,9 +792,43 @@ def json_report_findings(spark, sf):
     return _report_keys(reports.json_report(kept_scan(spark, sf)).where("section = 1"))
 
 
-@query("json_report")
+def _map_sql(key: str, value: str, source: str) -> str:
+    """A JSON object's members, in order of their names."""
+    return f"""(SELECT string_agg('"' || {key} || '":' || {value}, ',' ORDER BY {key}) FROM {source})"""
+
+
+_NULL_KEYS = (
+    "NULL AS file_path, NULL AS severity_rank, NULL AS line_number, NULL AS rule_ord, "
+    "NULL AS match_ord"
+)
+
+
+def _whole_report_sql(head: str, body: str, foot: str) -> str:
+    return f"""WITH {findings_ctes(TREE)}, {TOTALS}
+SELECT 0 AS section, {_NULL_KEYS}, {head} AS line FROM scored
+UNION ALL ({_comma_sql(body)})
+UNION ALL SELECT 2, {_NULL_KEYS}, {quote(foot)}"""
+
+
+_JSON_HEAD = (
+    """'{"version":"0.1.0","path":".","files_scanned":' || files || ',"files_skipped":0,"lines_scanned":'
+    || lines || ',"scan_duration_ms":0.0,"total_findings":' || total || ',"severity_counts":{' || """
+    + _map_sql("severity", "n", "(SELECT severity, count(*) AS n FROM findings GROUP BY 1)")
+    + """ || '},"category_counts":{' || """
+    + _map_sql("category", "n", "(SELECT category, count(*) AS n FROM findings GROUP BY 1)")
+    + """ || '},"language_stats":{' || """
+    + _map_sql(
+        "language",
+        """'{"files":' || n || ',"lines":' || l || '}'""",
+        f"(SELECT language, count(*) AS n, sum({line_count_sql()}) AS l FROM files GROUP BY 1)",
+    )
+    + """ || '},"findings":['"""
+)
+
+
+@query("json_report", _whole_report_sql(_JSON_HEAD, _FINDING_JSON, "]}"))
 def json_report(spark, sf):
-    return reports.json_report(kept_scan(spark, sf))
+    return _report_keys(reports.json_report(kept_scan(spark, sf)))
 
 
 @query("sarif_report_results", found(TREE, _comma_sql(_SARIF_JSON)))
@@ -801,11 +836,6 @@ def sarif_report_results(spark, sf):
     return _report_keys(reports.sarif_report(kept_scan(spark, sf)).where("section = 1"))
 
 
-@query("sarif_report")
-def sarif_report(spark, sf):
-    return reports.sarif_report(kept_scan(spark, sf))
-
-
 _SARIF_RULE = _json(
     ("id", _text_json("rule_id")), ("name", _text_json("title")),
     ("shortDescription", _json(("text", _text_json("title")))),
@@ -817,6 +847,20 @@ _SARIF_RULE = _json(
 )
 
 
+_SARIF_HEAD = (
+    """'{"$schema":"https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"lintlake","version":"0.1.0","rules":['
+    || (SELECT string_agg(rule, ',' ORDER BY severity_rank, file_path, line_number, rule_ord) FROM (
+      SELECT *, """ + _SARIF_RULE + """ AS rule, row_number() OVER (
+        PARTITION BY rule_ord ORDER BY file_path, line_number, match_ord) AS place FROM findings)
+      WHERE place = 1) || ']}},"results":['"""
+)
+
+
+@query("sarif_report", _whole_report_sql(_SARIF_HEAD, _SARIF_JSON, "]}]}"))
+def sarif_report(spark, sf):
+    return _report_keys(reports.sarif_report(kept_scan(spark, sf)))
+
+
 @query("sarif_rules", found(TREE, f"""
 SELECT severity_rank, file_path, line_number, {_SARIF_RULE} AS rule
 FROM (SELECT *, row_number() OVER (PARTITION BY rule_ord ORDER BY file_path, line_number, match_ord)
