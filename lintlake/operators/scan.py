@@ -2,49 +2,50 @@
 
 The plan reads each text once and shuffles nothing. Rules are grouped into one array per
 language and joined to the files by a broadcast hash join, so a file stays one row. A rule
-runs only where the strings it needs occur; it then marks the start of each match with a
-carriage return, which cannot occur in text whose newlines are unified. Splitting the
-marked text into lines gives line number, line text and number of matches in one pass of
-the regular expression.
+runs only where the strings it needs occur, and gives its matches with their lines in one
+pass of its regular expression (see `functions.matching`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake import schema
+from lintlake.functions import matching
 from lintlake.functions import severity as sev
 from lintlake.functions import text as txt
 from lintlake.rules import RuleSet, builtin_rules
 
-# The rules of a file's language whose needed strings all occur.
-_OPEN_GROUPS = (
-    "filter(groups, g -> cardinality(g.gate) = 0 OR exists(g.gate, s -> contains(folded, s)))"
-)
-_CANDIDATES = (
-    f"filter(flatten(transform({_OPEN_GROUPS}, g -> g.checks)), "
-    "c -> forall(c.needs, need -> exists(need, s -> contains(folded, s))))"
-)
-# The text with every match marked. Where a rule says what its matches end with, the text
-# after the last such place is put back without being searched.
-_SEARCHED = "regexp_replace({0}, c.pattern, '\\r$0')"
-_UP_TO_END = (
-    f"transform(array(regexp_extract(text, c.until, 0)), head -> concat({_SEARCHED.format('head')}, "
-    "substr(text, length(head) + 1)))[0]"
-)
-_MARKED = (
-    f"filter(transform({_CANDIDATES}, c -> struct(c.ord AS ord, if(c.until IS NULL, "
-    f"{_SEARCHED.format('text')}, {_UP_TO_END}) AS marked)), "
-    r"m -> contains(m.marked, '\r'))"
-)
-_HITS = (
-    f"flatten(transform({_MARKED}, m -> filter(transform(split(m.marked, '\\n', -1), "
-    r"(line, i) -> if(contains(line, '\r'), named_struct("
-    r"'ord', m.ord, 'line_number', i + 1, 'line_content', replace(line, '\r', ''), "
-    r"'matches', octet_length(line) - octet_length(replace(line, '\r', ''))), null)), "
-    "hit -> hit IS NOT NULL)))"
-)
+def _contains_any(strings: Column) -> Column:
+    return F.exists(strings, lambda s: F.contains(F.col("folded"), s))
+
+
+def _candidates() -> Column:
+    """The rules of the file's language whose needed strings all occur."""
+    open_groups = F.filter(
+        "groups", lambda group: (F.size(group["gate"]) == 0) | _contains_any(group["gate"])
+    )
+    checks = F.flatten(F.transform(open_groups, lambda group: group["checks"]))
+    return F.filter(checks, lambda check: F.forall(check["needs"], _contains_any))
+
+
+def _hits() -> Column:
+    """The lines the file's rules match on."""
+    text = F.col("text")
+
+    def searched(check: Column) -> Column:
+        pattern, until = check["pattern"], check["until"]
+        found = F.when(until.isNull(), matching.marked(text, pattern)).otherwise(
+            matching.marked_up_to(text, pattern, until)
+        )
+        return F.struct(check["ord"].alias("ord"), found.alias("marked"))
+
+    found = F.filter(
+        F.transform(_candidates(), searched), lambda rule: matching.has_marks(rule["marked"])
+    )
+    lines = F.transform(found, lambda rule: matching.marked_lines(rule["marked"], ord=rule["ord"]))
+    return F.coalesce(F.flatten(lines), F.array())
 
 
 def scan_files(
@@ -70,7 +71,7 @@ def scan_files(
         "path",
         "language",
         F.coalesce(txt.line_count(text), F.lit(0)).alias("lines"),
-        F.coalesce(F.expr(_HITS), F.expr("array()")).alias("hits"),
+        _hits().alias("hits"),
     )
 
 

@@ -4,10 +4,27 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake import schema
 from lintlake.functions.paths import qualify
+from lintlake.rules import RuleSet
+
+
+def of_rules(spark: SparkSession, rules: RuleSet) -> DataFrame:
+    """The names a caller can observe of a rule set and the reports: (kind, name)."""
+    suffixes = [s for known in schema.LANGUAGE_SUFFIXES.values() for s in known]
+    groups = {
+        "rule": [rule.rule_id for rule in rules],
+        "category": {rule.category for rule in rules},
+        "severity": schema.SEVERITIES,
+        "language": schema.LANGUAGE_SUFFIXES,
+        "ext": suffixes,
+        "format": ["json", "markdown", "sarif", "text"],
+    }
+    rows = [(kind, name) for kind, names in groups.items() for name in names]
+    return spark.createDataFrame(rows, "kind string, name string")
 
 
 def union_names(*groups: DataFrame) -> DataFrame:

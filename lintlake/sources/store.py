@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Tables of short keys up to this many rows are broadcast; that is some ten megabytes.
+_BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +31,9 @@ def keep(table: DataFrame) -> DataFrame:
     """Store the table reliably and go on from there; lost executors cost no recompute."""
     shared_dir(table.sparkSession)
     return table.checkpoint(eager=True)
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """Marked for broadcast if its rows, counted now, are few; else left to a shuffle."""
+    few = table.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS
+    return F.broadcast(table) if few else table

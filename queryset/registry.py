@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake import schema
-from lintlake.functions import paths, severity, text
+from lintlake.functions import matching, paths, severity, text
 from lintlake.operators import compare, manifest, metrics, surface
 from lintlake.operators.scan import (
     findings,
@@ -340,6 +340,29 @@ def matches_per_file(spark, sf):
     )
 
 
+# A pattern that spans lines: a word ending one line and the word that starts the next.
+_SPAN = r"\w+[.,]?\n\w+ "
+_SPAN_RULE = Rule("SPAN", "", "low", "quality", None, None, "high", _SPAN, [], "", "")
+
+
+@query("match_lines", found(
+    DOCUMENTS, "SELECT file_path AS path, line_number, any_value(line_content) AS line_content, "
+    "count(*) AS matches FROM findings GROUP BY 1, 2", catalog=[_SPAN_RULE]))
+def match_lines(spark, sf):
+    lines = matching.match_lines(F.col("text"), _SPAN)
+    found_lines = corpora.documents(spark, sf).select("path", F.inline(lines))
+    return found_lines.withColumn("matches", F.col("matches").cast("bigint"))
+
+
+@query("match_count", found(
+    DOCUMENTS,
+    "SELECT path, count(file_path) AS matches FROM files LEFT JOIN findings ON file_path = path "
+    "GROUP BY path", catalog=[_SPAN_RULE]))
+def match_count(spark, sf):
+    matches = matching.match_count(F.col("text"), _SPAN).cast("bigint")
+    return corpora.documents(spark, sf).select("path", matches.alias("matches"))
+
+
 # Severities as columns.
 
 

@@ -300,6 +300,14 @@ def test_qualified_names(spark):
     assert [r[0] for r in surface.qualified(both).collect()] == ["cli:x", "rule:A", "rule:B"]
 
 
+def test_surface_of_rules(spark):
+    names_now = surface.of_rules(spark, builtin_rules())
+    assert surface.qualified(names_now).count() == 75 + 7 + 5 + 16 + 27 + 4
+    fewer = surface.of_rules(spark, RuleSet.of(RULES[1:]))
+    changed = surface.changes(names_now, fewer)
+    assert [tuple(r) for r in changed.collect()] == [("rule", "SEC001", "removed")]
+
+
 def test_newest_release(spark):
     def newest(*releases):
         table = spark.createDataFrame(releases, "tag string, version string")
