@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lintlake import schema
+from lintlake.functions.text import strip
 
 
 def _lookup(table: dict, key: Column) -> Column:
@@ -54,7 +55,7 @@ def check_severity(name: str) -> str:
 
 def parse_severity(name: Column) -> Column:
     """A severity column, trimmed and lower-cased; the query fails on an unknown one."""
-    cleaned = F.lower(F.trim(name))
+    cleaned = F.lower(strip(name))
     return F.when(cleaned.isin(schema.SEVERITIES), cleaned).when(
         cleaned.isNotNull(),
         F.raise_error(F.concat(F.lit("Invalid severity: "), cleaned)).cast("string"),

@@ -125,11 +125,13 @@ def ordered_findings(scanned: DataFrame, rules: RuleSet | None = None) -> DataFr
     Slim rows are range-partitioned on the order, described there, sorted in place and
     only then repeated for each match, so neither rule text nor copies of a line are
     shuffled. (A join above a global sort would drop the sort.) The rebalance keeps the
-    range sampling from running the scan a second time.
+    range sampling from running the scan a second time; the line's hash spreads the rows of
+    files that share one path.
     """
     rules = builtin_rules() if rules is None else rules
-    order = [c for c in schema.ORDER_COLUMNS if c != "match_ord"]
-    slim = rank(hit_rows(scanned).hint("rebalance"), rules)
+    order = [*[c for c in schema.ORDER_COLUMNS if c != "match_ord"], "line_hash"]
+    hashed = hit_rows(scanned).withColumn("line_hash", F.xxhash64("line_content"))
+    slim = rank(hashed.hint("rebalance"), rules)
     placed = describe(slim.repartitionByRange(*order), rules).sortWithinPartitions(*order)
     return each_match(placed).select(_FINDING)
 

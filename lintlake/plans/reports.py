@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 import lintlake
@@ -23,7 +23,8 @@ from lintlake.rules import RuleSet, builtin_rules
 
 TOOL = "lintlake"
 
-_FINDING_KEYS = [c for c in schema.ORDER_COLUMNS if c != "match_ord"]
+# What findings are ordered by. The line's hash spreads files that share one path.
+_FINDING_KEYS = [*[c for c in schema.ORDER_COLUMNS if c != "match_ord"], "line_hash"]
 _HEAD, _BODY, _FOOT = 0, 1, 2
 
 # The reports' rule lines, marks and schema address.
@@ -46,6 +47,7 @@ _ROW = {
     "severity_rank": "int",
     "line_number": "int",
     "rule_ord": "int",
+    "line_hash": "bigint",
     "matches": "int",
     "seq": "int",
     "line": "string",
@@ -53,6 +55,9 @@ _ROW = {
 }
 
 
+_INTERNAL = ["line_content", "line_hash", "matches", "line"]
+
+
 def _rows(source: DataFrame, **columns: Column | int | str) -> DataFrame:
     """Report rows, NULL in every column not given."""
     made = []
@@ -81,13 +86,17 @@ def _lay_out(parts: list[DataFrame], order: list[str], rules: RuleSet, render: C
     table = rules.table(placed.sparkSession).drop(*schema.RULE_INTERNALS)
     table = table.withColumnRenamed("ord", "table_ord")
     each = F.explode(F.sequence(F.lit(1), F.coalesce("matches", F.lit(1))))
+    # Numbers rows equal in all keys, which are copies of one file under one path. The range
+    # partitioning serves the window, so nothing is shuffled for it.
+    copies = Window.partitionBy(*order).orderBy(order[0])
     return (
         placed.join(F.broadcast(table), F.col("rule_ord") == F.col("table_ord"), "left")
+        .withColumn("copy", F.row_number().over(copies))
         .sortWithinPartitions(*order)
         .withColumn("nth", each)
         .withColumn("match_ord", F.when(F.col("matches").isNotNull(), F.col("nth")))
         .withColumn("line", F.coalesce("line", render))
-        .select(*[c for c in _ROW if c not in ("line_content", "matches", "line")], "match_ord", "line")
+        .select(*[c for c in _ROW if c not in _INTERNAL], "match_ord", "line")
     )
 
 
@@ -100,7 +109,8 @@ def _parts(
 ) -> tuple[RuleSet, DataFrame, DataFrame]:
     """The rules, the ranked matches and the summary row of a scan."""
     rules = builtin_rules() if rules is None else rules
-    ranked = rank(hit_rows(scanned), rules)
+    hashed = hit_rows(scanned).withColumn("line_hash", F.xxhash64("line_content"))
+    ranked = rank(hashed, rules)
     summary = metrics.summary(metrics.tally(scanned, rules), path, scan_duration_ms)
     return rules, ranked, summary
 
@@ -118,7 +128,7 @@ def _separated(ranked: DataFrame) -> DataFrame:
 
 def _comma(rendered: Column) -> Column:
     """A comma before every finding but the very first."""
-    opening = (F.col("part") == 1) & (F.col("nth") == 1)
+    opening = (F.col("part") == 1) & (F.col("copy") == 1) & (F.col("nth") == 1)
     return F.concat(F.when(opening, "").otherwise(","), rendered)
 
 
@@ -207,7 +217,8 @@ def sarif_rule() -> Column:
 
 def sarif_rules(ranked: DataFrame, rules: RuleSet) -> DataFrame:
     """The rules with findings as (first place, SARIF rule), in order of first finding."""
-    first = ranked.groupBy("rule_ord").agg(F.min(F.struct(_FINDING_KEYS)).alias("first"))
+    keys = [c for c in _FINDING_KEYS if c in ranked.columns]
+    first = ranked.groupBy("rule_ord").agg(F.min(F.struct(keys)).alias("first"))
     table = rules.table(ranked.sparkSession)
     return first.join(F.broadcast(table), F.col("rule_ord") == F.col("ord")).select(
         "first", sarif_rule().alias("rule")

@@ -94,7 +94,7 @@ def test_grades(spark):
 
 
 def test_parse_severity(spark):
-    table = spark.createDataFrame([(" High ",), ("INFO",), (None,)], "s string")
+    table = spark.createDataFrame([(" High\n",), ("INFO",), (None,)], "s string")
     parsed = [r[0] for r in table.select(sev.parse_severity(F.col("s"))).collect()]
     assert parsed == ["high", "info", None]
     bad = spark.createDataFrame([("worst",)], "s string")
@@ -214,6 +214,14 @@ def test_text_report(scanned):
     assert report.startswith(f"\nlintlake v{__version__} — Code Security Scanner\n{bar}\n  Path:    /src\n")
 
 
+def test_report_layout(spark, scanned):
+    """The rules' text and the lines are added after the one range shuffle."""
+    plan = reports.json_report(scanned)._jdf.queryExecution().toString().split("Physical Plan")[1]
+    top = plan.split("Exchange rangepartitioning")[0]
+    assert plan.count("Exchange rangepartitioning") == 1 and "Exchange" not in top.split("Broadcast")[0]
+    assert "Window" in top and "hashpartitioning(section" not in plan
+
+
 def test_step_summary(scanned):
     lines = text_of(reports.step_summary(metrics.summary(metrics.tally(scanned)))).split("\n")
     assert lines[:4] == ["## lintlake Security Scan Results", "", "| Metric | Value |", "|--------|-------|"]
@@ -233,6 +241,17 @@ def test_write_report(spark, scanned, tmp_path):
         reports.write_report(report, str(tmp_path / "x"), "xml")
 
 
+def test_reports_of_files_that_share_a_path(spark):
+    """Copies and different texts under one path: valid JSON, every finding, path once."""
+    rows = [("same", "python", text) for text in ["eval(x)\neval(y)"] * 40 + ["eval(z)", "eval(z) "]]
+    scanned = keep(scan_files(files_table(spark, rows)))
+    report = json.loads(text_of(reports.json_report(scanned)))
+    assert len(report["findings"]) == 82 == report["total_findings"]
+    assert len(json.loads(text_of(reports.sarif_report(scanned)))["runs"][0]["results"]) == 82
+    assert text_of(reports.markdown_report(scanned)).count("### `same`") == 1
+    assert ordered_findings(scanned).count() == 82
+
+
 def test_report_with_few_rules(spark):
     """Positions in a filtered rule set stay those of the full one."""
     rules = builtin_rules().only(rule_ids=["QUA001", "SEC003"])
