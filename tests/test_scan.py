@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lintlake import from_table, findings, ordered_findings, scan, scan_files, schema
 from lintlake.operators.metrics import tally
@@ -25,6 +26,13 @@ def plan(frame):
     return frame._jdf.queryExecution().toString()
 
 
+def test_layouts(spark):
+    scanned = scan_files(files_table(spark, MIXED))
+    assert scanned.schema.simpleString() == StructType.fromDDL(schema.SCANNED).simpleString()
+    assert findings(scanned).columns[:11] == schema.FINDING_COLUMNS
+    assert findings(scanned).columns == ordered_findings(scanned).columns
+
+
 def test_lines_and_order(spark):
     scanned = scan_files(files_table(spark, MIXED))
     assert spark_rows(ordered_findings(scanned)) == brute_force(MIXED)
