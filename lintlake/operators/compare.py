@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions import text
-from lintlake.sources.store import broadcast_if_small
 
 _KEY = ["rule_id", "file_path", "line_hash"]
 
@@ -41,8 +40,8 @@ def mark_suppressed(findings: DataFrame, suppressions: DataFrame, as_of: str) ->
 
     `suppressions` has rule_id, file_path (NULL: every file), expires (NULL: never) and
     reason; an entry holds through its expiry date. Where several hold, one for the very
-    file goes before one for every file, then the first reason by name. A list of ordinary
-    length is broadcast, so findings are not shuffled on a rule that has most of them.
+    file goes before one for every file, then the first reason by name. Spark's own estimate
+    of the list's size picks the join; adaptive execution splits a rule that has most findings.
     """
     active = suppressions.where(
         F.col("expires").isNull() | (F.to_date("expires") >= F.to_date(F.lit(as_of)))
@@ -56,8 +55,8 @@ def mark_suppressed(findings: DataFrame, suppressions: DataFrame, as_of: str) ->
         active.where("file_path IS NULL").groupBy("rule_id").agg(F.min("reason").alias("rule_reason"))
     )
     return (
-        findings.join(broadcast_if_small(by_file), ["rule_id", "file_path"], "left")
-        .join(broadcast_if_small(by_rule), "rule_id", "left")
+        findings.join(by_file, ["rule_id", "file_path"], "left")
+        .join(by_rule, "rule_id", "left")
         .withColumn("suppressed_by", F.coalesce("file_reason", "rule_reason"))
         .drop("file_reason", "rule_reason")
     )

@@ -2,38 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Tables of short keys up to this many rows are broadcast; that is some ten megabytes.
-_BROADCAST_ROWS = 100_000
+_PREFIX = "kept-"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir.
+    """The shared folder for intermediate tables: spark.checkpoint.dir, else the warehouse's.
 
-    A local session without one gets a temporary folder; a cluster must name its own.
+    Both are settings of the session and name a place that all executors share.
     """
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lintlake-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def keep(table: DataFrame) -> DataFrame:
-    """Store the table reliably and go on from there; lost executors cost no recompute."""
-    shared_dir(table.sparkSession)
-    return table.checkpoint(eager=True)
-
-
-def broadcast_if_small(table: DataFrame) -> DataFrame:
-    """Marked for broadcast if its rows, counted now, are few; else left to a shuffle."""
-    few = table.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS
-    return F.broadcast(table) if few else table
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
+
+
+def keep(table: DataFrame, folder: str | None = None) -> DataFrame:
+    """Store the table as Parquet and go on from there; lost executors cost no recompute.
+
+    It goes to `folder`, by default to one of its own below `shared_dir`. Later reads take
+    the columns they need. `release` removes it.
+    """
+    spark = table.sparkSession
+    path = f"{(folder or shared_dir(spark)).rstrip('/')}/{_PREFIX}{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove what `keep` stored for these tables, or for what they were made from."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            if path.rpartition("/")[2].startswith(_PREFIX):
+                place = context._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

@@ -60,16 +60,3 @@ def scannable(files: DataFrame, max_size: int = schema.MAX_FILE_SIZE) -> DataFra
     Paths are below the scan root.
     """
     return files.where(skip_reason(max_size).isNull())
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """A freshly read table over all cores, if it came in fewer partitions than cores.
-
-    A table with enough partitions is returned as it is, so large ones are not shuffled.
-    """
-    if table.isStreaming:
-        return table
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= cores:
-        return table
-    return table.repartition(4 * cores)

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake import schema
-from lintlake.sources.tables import from_table, spread
+from lintlake.sources.tables import from_table
+
+# The test tables lie in one file each; their corpora are dealt over this many tasks.
+TASKS = 32
 
 # Snippets for every language. {n} is the customer key, {p16} and {p36} the key padded
 # with zeros, {w} the market segment in lower case, {N} the customer's name.
@@ -182,7 +185,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kind bigint, snippets array<string>, name string",
     )
     key = F.col("c_custkey")
-    joined = spread(customers).withColumn("kind", key % _KINDS).join(
+    joined = customers.repartition(TASKS).withColumn("kind", key % _KINDS).join(
         F.broadcast(templates), "kind"
     )
     start = F.floor(key / _KINDS) * 5
@@ -217,18 +220,18 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, language: str = "python") -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return from_table(spread(table), "doc_id", "text", language)
+    return from_table(table.repartition(TASKS), "doc_id", "text", language)
 
 
 def pages(spark: SparkSession, sf_dir: str, language: str = "javascript") -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "page_id", "html")
-    return from_table(spread(table), F.concat_ws("#", "url", "page_id"), "html", language)
+    return from_table(table.repartition(TASKS), F.concat_ws("#", "url", "page_id"), "html", language)
 
 
 def conversations(spark: SparkSession, sf_dir: str, language: str = "shell") -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     path = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    return from_table(spread(table), path, "text", language)
+    return from_table(table.repartition(TASKS), path, "text", language)
 
 
 # The same corpora in SQL. Each is a table expression `files(path, language, size, text)`,

@@ -26,7 +26,7 @@ from lintlake.plans import reports
 from lintlake.rules import RULES, Rule, RuleSet, builtin_rules
 from lintlake.rules.ruleset import categories_in_use, duplicate_ids
 from lintlake.sources.store import keep, shared_dir
-from lintlake.sources.tables import from_table, scannable, skip_reason, spread
+from lintlake.sources.tables import from_table, scannable, skip_reason
 from lintlake.sources.tree import list_tree, read_tree
 from lintlake.streaming.scan import scan_available
 from queryset import corpora
@@ -427,7 +427,7 @@ SELECT source, files, lines, deduction, score, {GRADE} AS grade
 FROM (SELECT *, {SCORE} AS score FROM sources)""")
 def score_by_source(spark, sf):
     """Score and grade of each document source, as if each were one scan."""
-    docs = spread(read(spark, sf, "documents").select("doc_id", "text", "source"))
+    docs = read(spark, sf, "documents").select("doc_id", "text", "source").repartition(corpora.TASKS)
     path = F.concat_ws("/", F.col("doc_id").cast("string"), "source")
     scanned = scan_files(from_table(docs, path, "text", "python"))
     ranks = [rule.severity for rule in builtin_rules()]

@@ -8,7 +8,6 @@ from lintlake import from_table, findings, ordered_findings, scan, scan_files, s
 from lintlake.operators.metrics import tally
 from lintlake.operators.scan import hit_rows
 from lintlake.rules import RuleSet, builtin_rules
-from lintlake.sources.tables import spread
 from tests.helpers import brute_force, files_table, spark_rows
 
 MIXED = [
@@ -118,13 +117,6 @@ def test_one_read_of_the_texts(spark, tmp_path):
         assert "ReadSchema: struct<path:string,text:string>" in physical
 
 
-def test_spread_only_where_needed(spark):
-    few = spark.range(100).coalesce(2)
-    assert spread(few).rdd.getNumPartitions() == 32
-    enough = spark.range(100).repartition(64)
-    assert spread(enough) is enough
-
-
 def test_from_table(spark):
     table = spark.createDataFrame([(1, "a/b.PY", "x"), (2, "Dockerfile", "é")], "id int, p string, t string")
     files = from_table(table, "p", "t").orderBy("path").collect()

@@ -200,7 +200,18 @@ def test_stored_in_the_shared_folder(spark):
     folder = store.shared_dir(spark)
     assert spark.conf.get("spark.checkpoint.dir") in folder
     kept = store.keep(spark.range(5))
-    assert kept.count() == 5 and "ExistingRDD" in kept._jdf.queryExecution().toString()
+    assert kept.count() == 5 and all(f.startswith("file:") for f in kept.inputFiles())
+    store.release(kept.where("id > 1"))
+    with pytest.raises(Exception, match="not exist"):
+        kept.count()
+
+
+def test_no_machine_local_folder_without_a_setting(spark):
+    class Session:
+        sparkContext = type("C", (), {"getCheckpointDir": staticmethod(lambda: None)})
+        conf = {"spark.sql.warehouse.dir": "hdfs://x/wh/"}
+
+    assert store.shared_dir(Session) == "hdfs://x/wh/intermediate"
 
 
 def test_findings_of_the_fixtures(spark, tmp_path):
