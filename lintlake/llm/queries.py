@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import quality_rules
+from lintlake.llm import mixing, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,3 +33,15 @@ def op1(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "host_rate",
     )
+
+
+@query("op4_url_filters", url_filter.SQL)
+def op4(spark, sf):
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    judged = url_filter.judge(read(spark, sf, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_mixing", mixing.sql())
+def op9(spark, sf):
+    return mixing.taken(read(spark, sf, "documents"))
