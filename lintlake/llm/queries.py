@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import mixing, quality_rules, url_filter
+from lintlake.llm import mixing, pii, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,3 +45,8 @@ def op4(spark, sf):
 @query("op9_mixing", mixing.sql())
 def op9(spark, sf):
     return mixing.taken(read(spark, sf, "documents"))
+
+
+@query("op2_pii", pii.SQL)
+def op2(spark, sf):
+    return pii.digest(read(spark, sf, "documents"))
