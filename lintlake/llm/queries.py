@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lintlake.llm import mixing, pii, quality_rules, url_filter
+from lintlake.llm import decontaminate, mixing, pii, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,3 +51,12 @@ def op9(spark, sf):
 @query("op2_pii", pii.SQL)
 def op2(spark, sf):
     return pii.digest(read(spark, sf, "documents"))
+
+
+@query("op7_decontamination", decontaminate.sql())
+def op7(spark, sf):
+    found = decontaminate.report(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
