@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACE = r"[ \t-\r]+"
@@ -43,3 +43,24 @@ def held_out(doc_id: str | Column) -> Column:
     """Whether a document belongs to the fold that no model is trained on."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def running(table: DataFrame, keys: list[str], part: str, order: list, amount: Column, name: str):
+    """Add `name`: the sum of the amounts before each row in its line (`keys`, by part, order).
+
+    A line that holds most rows is spread over its parts; one row per part is gathered.
+    """
+    sums = table.groupBy(*keys, part).agg(F.sum(amount).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        *[F.col(k).alias(f"_{k}") for k in (*keys, part)],
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, part)]
+    within = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = table.withColumn("_within", F.coalesce(F.sum(amount).over(within), F.lit(0)))
+    return (
+        inner.join(sums, same, "left")
+        .withColumn(name, F.col("_before") + F.col("_within"))
+        .drop("_before", "_within", *[f"_{k}" for k in (*keys, part)])
+    )

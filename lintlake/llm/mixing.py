@@ -9,10 +9,10 @@ n-th block. Long lines are numbered in parts: a part's sums first, then the rows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.columns import words_of
+from lintlake.llm.columns import running, words_of
 from lintlake.sources.store import keep, release
 
 WEIGHTS = (5, 2, 1)
@@ -52,27 +52,6 @@ def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS) -
     return settled.select("source", F.col("source_size").cast("bigint"), target.alias("target"))
 
 
-def _running(table: DataFrame, keys: list[str], part: str, order: list, amount: Column, name: str):
-    """Add `name`: the sum of the amounts before each row in its line (`keys`, by part, order).
-
-    A line that holds most rows is spread over its parts; one row per part is gathered.
-    """
-    sums = table.groupBy(*keys, part).agg(F.sum(amount).alias("_sum"))
-    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        *[F.col(k).alias(f"_{k}") for k in (*keys, part)],
-        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, part)]
-    within = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = table.withColumn("_within", F.coalesce(F.sum(amount).over(within), F.lit(0)))
-    return (
-        inner.join(sums, same, "left")
-        .withColumn(name, F.col("_before") + F.col("_within"))
-        .drop("_before", "_within", *[f"_{k}" for k in (*keys, part)])
-    )
-
-
 def schedule(wanted: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
     """(position, source, block): which block of which source each slot of the mix takes.
 
@@ -99,7 +78,7 @@ def schedule(wanted: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
         .where("point >= from AND point < upto")
         .select("id", "source", "blocks", F.floor(F.col("id") / _RUN).alias("run"))
     )
-    ranked = _running(dealt, ["source"], "run", ["id"], F.lit(1), "block").where("block < blocks")
+    ranked = running(dealt, ["source"], "run", ["id"], F.lit(1), "block").where("block < blocks")
     ranked = ranked.select(F.col("id").alias("position"), "source", F.col("block").cast("bigint"))
     # Blocks beyond a source's last slot, in a row behind the others.
     had = ranked.groupBy("source").agg((F.max("block") + 1).alias("had"))
@@ -138,7 +117,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     )
     order = ["mark", "doc_id", "size"]
     place = F.row_number().over(Window.partitionBy("source", "part").orderBy(*order))
-    laid = _running(lined.withColumn("place", place), ["source"], "part", ["place"], F.col("size"), "start")
+    laid = running(lined.withColumn("place", place), ["source"], "part", ["place"], F.col("size"), "start")
     goal = wanted.withColumnRenamed("source", "_source")
     sized = keep(
         laid.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "mark")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import decontaminate, mixing, pii, quality_rules, url_filter
+from lintlake.llm import decontaminate, jaccard_join, mixing, pii, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,3 +60,9 @@ def op7(spark, sf):
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op8_jaccard_join", jaccard_join.sql())
+def op8(spark, sf):
+    joined = jaccard_join.join(read(spark, sf, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id")
