@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm import tokens
+from lintlake.llm import bits, tokens
 from lintlake.llm.columns import boxed
 from lintlake.sources.store import keep
 
@@ -28,8 +28,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 10
 GRAM = 5
-#: Size of the bit table sent to every executor, as a power of two: one megabyte.
-FILTER_BITS = 23
 
 _WINDOWS = "item string, at int, n int, print bigint, whole bigint"
 _FOUND = "doc_id bigint, tag bigint, n_words bigint, windows array<struct<at:int,n:int,print:bigint,whole:bigint>>"
@@ -79,33 +77,6 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text")
     return chosen.mapInArrow(_item_windows, _WINDOWS)
 
 
-def _bits(print_: Column) -> list[Column]:
-    mask = (1 << FILTER_BITS) - 1
-    return [print_.bitwiseAND(mask), F.shiftrightunsigned(print_, FILTER_BITS).bitwiseAND(mask)]
-
-
-def _bit_table(windows: DataFrame) -> np.ndarray:
-    """Two bits set for each fingerprint. At most 2 ** (FILTER_BITS - 6) rows come back."""
-    bit = windows.select(F.explode(F.array(*_bits(F.col("print")))).alias("bit"))
-    cells = (
-        bit.select(F.shiftright("bit", 6).alias("cell"), (F.col("bit") % 64).cast("int").alias("at"))
-        .groupBy("cell")
-        .agg(F.expr("bit_or(shiftleft(1L, at))").alias("set"))
-    )
-    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    rows = cells.toArrow()
-    table[rows["cell"].to_numpy()] = rows["set"].to_numpy().view(np.uint64)
-    return table
-
-
-def _passes(table: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    mask, made = np.uint64((1 << FILTER_BITS) - 1), None
-    for bit in (prints & mask, (prints >> np.uint64(FILTER_BITS)) & mask):
-        is_set = (table[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)
-        made = is_set if made is None else made & is_set
-    return made.astype(bool)
-
-
 def _document_windows(table: np.ndarray, lengths: list[int]):
     """Windows of documents whose fingerprint may be an item's; a row for each document."""
 
@@ -117,7 +88,7 @@ def _document_windows(table: np.ndarray, lengths: list[int]):
             for n in lengths:
                 whole = tokens.grams(hashes, n)
                 prints = whole if n < WINDOW else _fingerprints(hashes)[0]
-                at = np.flatnonzero(_passes(table, prints))
+                at = np.flatnonzero(bits.passes(table, prints))
                 at = at[tokens.starts(bounds, n, len(whole))[at]]
                 found.append((at, np.full(len(at), n, np.int32), prints[at], whole[at]))
             at, n, prints, whole = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 4
@@ -174,7 +145,7 @@ def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         F.xxhash64(F.col(text)).alias("tag"),
         F.col(text).alias("text"),
     )
-    found = keep(chosen.mapInArrow(_document_windows(_bit_table(windows), lengths), _FOUND))
+    found = keep(chosen.mapInArrow(_document_windows(bits.table(windows.select("print")), lengths), _FOUND))
     keys = ["print", "whole", "n"]
     hits = found.where(F.size("windows") > 0).select("doc_id", "tag", F.inline("windows"))
     hits = hits.join(windows.select(keys).distinct(), keys, "left_semi")

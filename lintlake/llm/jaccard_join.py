@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +32,15 @@ PERCENT = 75
 #: Shingles that one task counts, and that one block of a group holds, about.
 BUCKET = 2_000_000
 BLOCK = 2_000_000
-
-_CLASSES = "doc_id bigint, tag bigint, n bigint, class bigint"
-_PACKED = "bucket bigint, tokens binary, classes binary, sizes binary, counts binary"
-_SHARED = "bucket bigint, tokens binary, uses binary, classes binary, sizes binary, counts binary"
+#: A batch reports shingles that so many of its classes have. Shingles that make more than one
+#: in MOST_COMMON of all are known to every task, eight megabytes at most.
+FREQUENT = 4
+MOST_COMMON = 1_000_000
+#: Of a group of several blocks one class in so many is compared across blocks first.
+SAMPLE = 32
+
+_CLASSES = "doc_id bigint, tag bigint, n bigint, class bigint, frequent array<struct<token:bigint,uses:bigint>>"
+_PACKED = "bucket bigint, tokens binary, uses binary, classes binary, sizes binary, counts binary"
 _SETS = "class bigint, n bigint, tokens array<bigint>, prefix array<bigint>"
 _LINKS = "u bigint, v bigint"
 U8, U4 = np.uint64, np.uint32
@@ -78,45 +84,93 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 
 def _document_classes(shingle: int):
+    """Size and class of every document; with the first of a batch the batch's frequent shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.small_batches(batches, "text"):
             made, bounds = _shingles(batch.column("text"), shingle)
+            classes = _classes(made, bounds)
+            first = np.zeros(len(classes), bool)
+            first[np.unique(classes, return_index=True)[1]] = True
+            values, uses = np.unique(made[np.repeat(first, np.diff(bounds))], return_counts=True)
+            values, uses = values[uses >= FREQUENT], uses[uses >= FREQUENT]
+            ends = np.full(len(classes) + 1, len(values), np.int32)
+            ends[0] = 0
+            entries = pa.StructArray.from_arrays([_signed(values), pa.array(uses)], names=["token", "uses"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tag"), pa.array(np.diff(bounds)), _signed(_classes(made, bounds))],
-                names=["doc_id", "tag", "n", "class"],
+                [batch.column("doc_id"), batch.column("tag"), pa.array(np.diff(bounds)), _signed(classes),
+                 pa.ListArray.from_arrays(pa.array(ends), entries)],
+                names=["doc_id", "tag", "n", "class", "frequent"],
             )
 
     return run
 
 
-def _by_bucket(made: np.ndarray, bounds: np.ndarray, classes: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row per bucket: its shingles by class, the classes, their sizes and how many each has."""
-    sizes = np.diff(bounds)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    bucket = ((made >> U8(32)) * U8(buckets) >> U8(32)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, owner, made = bucket[order], owner[order], made[order]
-    run = np.ones(len(made), bool)
+def _common_tokens(classes: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles so frequent that one task should not count them, with their uses, sorted.
+
+    At most 1 / MOST_COMMON of all each, hence no more than MOST_COMMON of them.
+    """
+    uses = classes.select(F.inline("frequent")).groupBy("token").agg(F.sum("uses").alias("uses"))
+    rows = uses.where(F.col("uses") >= max(total / MOST_COMMON, 64)).toArrow()
+    token, uses = rows["token"].to_numpy().view(U8), rows["uses"].to_numpy()
+    order = np.argsort(token)
+    return token[order], np.minimum(uses[order], np.iinfo(U4).max).astype(U4)
+
+
+def _pack(bucket: np.ndarray, owner: np.ndarray, token: np.ndarray, uses: np.ndarray, key: np.ndarray, size: np.ndarray) -> tuple:
+    """Entries sorted by bucket and owner as one row per bucket. `owner` tells the runs apart
+    that share a class `key` and its `size`, both given per entry."""
+    run = np.ones(len(token), bool)
     run[1:] = (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])
     heads = np.flatnonzero(run)
-    counts = np.diff(np.append(heads, len(made))).astype(U4)
-    head_class, head_size = classes[owner[heads]], sizes[owner[heads]].astype(U4)
+    counts = np.diff(np.append(heads, len(token))).astype(U4)
+    key, size = key[heads], size[heads].astype(U4)
     present, at = np.unique(bucket, return_index=True)
-    ends = np.append(at[1:], len(made))
-    rows = np.searchsorted(heads, np.append(at, len(made)))
+    rows = np.searchsorted(heads, np.append(at, len(token)))
     packed = [
-        (made[a:b].tobytes(), head_class[p:q].tobytes(), head_size[p:q].tobytes(), counts[p:q].tobytes())
-        for a, b, p, q in zip(at, ends, rows[:-1], rows[1:])
+        (token[a:b].tobytes(), uses[a:b].tobytes(), key[p:q].tobytes(), size[p:q].tobytes(), counts[p:q].tobytes())
+        for a, b, p, q in zip(at, np.append(at[1:], len(token)), rows[:-1], rows[1:])
     ]
-    columns = list(zip(*packed)) or [[]] * 4
+    return present, list(zip(*packed)) or [[]] * 5
+
+
+def _packed_batch(*parts: tuple) -> pa.RecordBatch:
+    names = [np.concatenate([present for present, _ in parts])]
+    columns = [[x for _, c in parts for x in c[k]] for k in range(5)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(present, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]],
-        names=["bucket", "tokens", "classes", "sizes", "counts"],
+        [pa.array(names[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns]],
+        names=["bucket", "tokens", "uses", "classes", "sizes", "counts"],
     )
 
 
-def _packed(shingle: int, buckets: int):
-    """Each class that a task meets, once, packed by bucket for about a million shingles."""
+def _part(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> U8(32)) * U8(buckets) >> U8(32)).astype(np.int64)
+
+
+def _packed(shingle: int, buckets: int, common: tuple[np.ndarray, np.ndarray]):
+    """Each class that a task meets, once, packed by bucket for about a million shingles.
+
+    Common shingles go by their class, in buckets below 0, with the uses that are known; the
+    others by their own hash, to be counted.
+    """
+
+    def packed(held: list) -> pa.RecordBatch:
+        made, sizes, classes = (np.concatenate(part) for part in zip(*held))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.searchsorted(common[0], made)
+        known = at < len(common[0])
+        known[known] = common[0][at[known]] == made[known]
+        parts = []
+        for kind in (False, True):
+            token, own = made[known == kind], owner[known == kind]
+            uses = common[1][at[known]] if kind else np.empty(0, U4)
+            bucket = -1 - _part(classes[own], buckets) if kind else _part(token, buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, token, own = bucket[order], token[order], own[order]
+            uses = uses[order] if kind else uses
+            parts.append(_pack(bucket, own, token, uses, classes[own], sizes[own]))
+        return _packed_batch(*parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, total = set(), [], 0
@@ -132,19 +186,14 @@ def _packed(shingle: int, buckets: int):
             held.append((made[np.repeat(new, sizes)], sizes[new], classes[new]))
             total += len(held[-1][0])
             if total >= 1 << 20:
-                yield _joined(held, buckets)
+                yield packed(held)
                 held, total = [], 0
         if total:
-            yield _joined(held, buckets)
+            yield packed(held)
 
     return run
 
 
-def _joined(held: list, buckets: int) -> pa.RecordBatch:
-    made, sizes, classes = (np.concatenate(part) for part in zip(*held))
-    return _by_bucket(made, np.concatenate([[0], np.cumsum(sizes)]), classes, buckets)
-
-
 def _unpacked(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
@@ -163,6 +212,9 @@ def _shared_tokens(buckets: int):
     """Of a bucket the shingles that two classes or more have, packed by bucket of the class."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.num_rows and table.column("bucket")[0].as_py() < 0:
+            of_class = pc.subtract(-1, table.column("bucket"))
+            return table.set_column(0, "bucket", of_class)
         token, owner, size = _expanded(table)
         order = np.argsort(token, kind="stable")
         token, owner, size = token[order], owner[order], size[order]
@@ -177,28 +229,13 @@ def _shared_tokens(buckets: int):
         first[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
         token, owner, size = token[first], owner[first], size[first]
         _, index, uses = np.unique(token, return_inverse=True, return_counts=True)
-        uses = np.minimum(uses[index], np.iinfo(U4).max).astype(U4) if len(token) else np.empty(0, U4)
+        uses = np.minimum(uses, np.iinfo(U4).max).astype(U4)[index]
         shared = uses > 1
         token, owner, size, uses = token[shared], owner[shared], size[shared], uses[shared]
-        bucket = ((owner >> U8(32)) * U8(buckets) >> U8(32)).astype(np.int64)
-        order = np.lexsort((owner, bucket))
-        token, owner, size, uses, bucket = (x[order] for x in (token, owner, size, uses, bucket))
-        run_ = np.ones(len(token), bool)
-        run_[1:] = owner[1:] != owner[:-1]
-        heads = np.flatnonzero(run_)
-        counts = np.diff(np.append(heads, len(token))).astype(U4)
-        present, at = np.unique(bucket, return_index=True)
-        ends, rows = np.append(at[1:], len(token)), np.searchsorted(heads, np.append(at, len(token)))
-        packed = [
-            (token[a:b].tobytes(), uses[a:b].tobytes(), owner[heads[p:q]].tobytes(),
-             size[heads[p:q]].tobytes(), counts[p:q].tobytes())
-            for a, b, p, q in zip(at, ends, rows[:-1], rows[1:])
-        ]
-        columns = list(zip(*packed)) or [[]] * 5
-        return pa.table(
-            [pa.array(present, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]],
-            names=["bucket", "tokens", "uses", "classes", "sizes", "counts"],
-        )
+        # Buckets are ranges of the class's hash, so classes sort the buckets too.
+        order = np.argsort(owner, kind="stable")
+        token, owner, size, uses = token[order], owner[order], size[order], uses[order]
+        return pa.Table.from_batches([_packed_batch(_pack(_part(owner, buckets), owner, token, uses, owner, size))])
 
     return run
 
@@ -216,6 +253,10 @@ def _sets(percent: int):
         uses = _unpacked(table, "uses", U4)
         order = np.lexsort((token, uses, owner))
         token, owner, size = token[order], owner[order], size[order].astype(np.int64)
+        # A common shingle comes from every task that met the class.
+        first = np.ones(len(token), bool)
+        first[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+        token, owner, size = token[first], owner[first], size[first]
         heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(token) else np.empty(0, np.int64)
         counts = np.diff(np.append(heads, len(token)))
         n = size[heads]
@@ -256,28 +297,33 @@ def groups(members: DataFrame, percent: int) -> DataFrame:
     return linked.select(F.col("node").alias("class"), F.col("root").alias("group")).unionByName(roots)
 
 
-def _tree_links(percent: int):
+def _tree_links(percent: int, load=None):
     """Links within the block pairs of a task, which come one after the other."""
 
     def joined(rows: list[tuple]) -> list[tuple[int, int]]:
-        sides, keys, sizes, sets = zip(*rows)
-        pairs = signature_tree.links(
-            np.array(sizes, np.int64), list(sets), np.array(sides, np.int8), percent
-        )
+        sides, keys, sizes, sets = (list(column) for column in zip(*rows))
+        sizes = np.array(sizes, np.int64)
+        if load is not None:
+            sizes, sets = load(sets)
+        pairs = signature_tree.links(sizes, sets, np.array(sides, np.int8), percent)
         return [(keys[a], keys[b]) for a, b in pairs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, rows, found = None, [], []
         for batch in batches:
-            lists = batch.column("tokens")
-            flat, ends = lists.values.to_numpy(zero_copy_only=False).view(U8), lists.offsets.to_numpy()
-            pairs = zip(*(batch.column(c).to_pylist() for c in ("group", "low", "high", "side", "class", "n")))
-            for k, (*pair, side, key, n) in enumerate(pairs):
+            sets = batch.column("tokens")
+            if load is None:
+                flat, ends = sets.values.to_numpy(zero_copy_only=False).view(U8), sets.offsets.to_numpy()
+                sets = [flat[a:b].copy() for a, b in zip(ends[:-1], ends[1:])]
+            else:
+                sets = sets.to_pylist()
+            keys = zip(*(batch.column(c).to_pylist() for c in ("group", "low", "high", "side", "class", "n")))
+            for (*pair, side, key, n), tokens_ in zip(keys, sets):
                 if pair != current:
                     if len(rows) > 1:
                         found += joined(rows)
                     current, rows = pair, []
-                rows.append((side, key, n, flat[ends[k] : ends[k + 1]].copy()))
+                rows.append((side, key, n, tokens_))
             if len(found) >= 10_000:
                 yield _edges(found)
                 found = []
@@ -293,35 +339,78 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def verified_links(sets: DataFrame, grouped: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def _placed(light: DataFrame, block: int) -> DataFrame:
+    """Add to (class, group, n, weight) the block: by size, of about so much weight."""
+    laid = running(light, ["group"], "n", ["class"], F.col("weight"), "before")
+    return laid.select("class", "group", "n", "weight", F.floor(F.col("before") / block).alias("block"))
+
+
+def _block_links(low: DataFrame, high: DataFrame | None, sets: DataFrame, percent: int, load) -> DataFrame:
+    """Links between the blocks of `low` and those of `high` in the same group, where sizes are
+    near enough, or of each block of `low` with itself."""
+    sets = sets.select("class", "tokens")
+    if high is None:
+        pairs = low.select("group", F.col("block").alias("low"), F.col("block").alias("high"), F.lit(0).alias("side"), "class", "n")
+    else:
+        def ends(placed: DataFrame, name: str) -> DataFrame:
+            least, most = F.min("n").alias(f"{name}_least"), F.max("n").alias(f"{name}_most")
+            return placed.groupBy("group", F.col("block").alias(name)).agg(least, most)
+
+        near = (
+            ends(low, "low")
+            .join(ends(high, "high"), "group")
+            .where((100 * F.col("low_most") >= percent * F.col("high_least")) & (100 * F.col("high_most") >= percent * F.col("low_least")))
+            .select("group", "low", "high")
+        )
+        columns = ["group", "low", "high", "side", "class", "n"]
+        left = low.withColumnRenamed("block", "low").join(near, ["group", "low"]).withColumn("side", F.lit(0))
+        right = high.withColumnRenamed("block", "high").join(near, ["group", "high"]).withColumn("side", F.lit(1))
+        pairs = left.select(columns).unionByName(right.select(columns))
+    dealt = pairs.join(sets, "class").repartition("group", "low", "high")
+    return dealt.sortWithinPartitions("group", "low", "high").mapInArrow(_tree_links(percent, load), _LINKS)
+
+
+def _component(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """Add to each class the component that links have put it in so far."""
+    found = components(links).select(F.col("node").alias("class"), "root")
+    return placed.join(found, "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def verified_links(sets: DataFrame, grouped: DataFrame, percent: int, block: int = BLOCK, load=None) -> DataFrame:
     """Links (u, v) that connect all classes which similar pairs within groups connect.
 
-    `sets` has class, n and tokens, `grouped` class and group. A group is laid out by size and
-    cut into blocks of about `block` tokens; every block is joined with itself and with those
-    that hold sets of near enough size.
+    `sets` has class, n and tokens, an array of hashes or what `load` makes them of; `grouped`
+    has class and group. A group is laid out by size in blocks of about `block` tokens.
+
+    Groups of one block are done when that is joined with itself. In larger ones a sample of
+    every block's components is joined next, which connects most of what belongs together;
+    last, all that is not in its group's largest component is joined with the whole group. So
+    every similar pair has been compared or was connected before, and a group of very many
+    near copies costs about its size, not its square.
     """
-    weight = F.size("tokens").cast("bigint")
+    weight = F.col("n") if load else F.size("tokens").cast("bigint")
     light = grouped.join(sets.select("class", "n", weight.alias("weight")), "class")
-    laid = running(light, ["group"], "n", ["class"], F.col("weight"), "before")
-    placed = keep(laid.select("class", "group", "n", F.floor(F.col("before") / block).alias("block")))
-    blocks = placed.groupBy("group", "block").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"))
-    others = blocks.select("group", F.col("block").alias("high"), F.col("low_n").alias("next_n"))
-    pairs = blocks.join(others, "group").where(
-        (F.col("high") >= F.col("block")) & (100 * F.col("high_n") >= percent * F.col("next_n"))
-    ).select("group", F.col("block").alias("low"), "high")
-    whole = placed.join(sets.select("class", "tokens"), "class")
-    low = whole.withColumnRenamed("block", "low").join(pairs, ["group", "low"]).withColumn("side", F.lit(0))
-    high = (
-        whole.withColumnRenamed("block", "high")
-        .join(pairs.where("low < high"), ["group", "high"])
-        .withColumn("side", F.lit(1))
-    )
-    columns = ["group", "low", "high", "side", "class", "n", "tokens"]
-    dealt = low.select(columns).unionByName(high.select(columns)).repartition("group", "low", "high")
-    return dealt.sortWithinPartitions("group", "low", "high").mapInArrow(_tree_links(percent), _LINKS)
-
-
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    placed = keep(_placed(light, block))
+    links = keep(_block_links(placed, None, sets, percent, load))
+    large = placed.where("block > 0").select("group").distinct()
+    if large.isEmpty():
+        return links
+    inside = keep(_component(placed.join(large, "group", "left_semi"), links))
+    first = inside.groupBy("group", "block", "root").agg(F.min("class").alias("class")).select("class", "group")
+    drawn = inside.where(F.xxhash64("class") % SAMPLE == 0).select("class", "group")
+    sample = first.unionByName(drawn).distinct().join(inside.select("class", "group", "n", "weight"), ["class", "group"])
+    sample = keep(_placed(sample, block))
+    links = keep(links.unionByName(_block_links(sample, sample, sets, percent, load)))
+    inside = keep(_component(inside.drop("root"), links))
+    heavy = inside.groupBy("group", "root").agg(F.sum("weight").alias("all")).groupBy("group")
+    heavy = heavy.agg(F.max_by("root", F.struct("all", "root")).alias("main"))
+    strays = inside.join(heavy, "group").where("root <> main").select("class", "group", "n", "weight")
+    strays = keep(_placed(strays, block))
+    rest = _block_links(strays, inside.select("class", "group", "n", "weight", "block"), sets, percent, load)
+    return links.unionByName(rest)
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, tag, n_shingles, component_id.
 
     The component is the smallest doc_id that links reach. Two documents link when percent of
@@ -335,12 +424,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     classes = keep(chosen.mapInArrow(_document_classes(shingle), _CLASSES))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET))
-    packed = chosen.select("text").mapInArrow(_packed(shingle, buckets), _PACKED)
-    shared = packed.groupBy("bucket").applyInArrow(_shared_tokens(buckets), _SHARED)
+    common = _common_tokens(classes, total)
+    packed = chosen.select("text").mapInArrow(_packed(shingle, buckets, common), _PACKED)
+    shared = packed.groupBy("bucket").applyInArrow(_shared_tokens(buckets), _PACKED)
     sets = keep(shared.groupBy("bucket").applyInArrow(_sets(percent), _SETS))
     members = sets.select(F.explode("prefix").alias("mark"), "class", "n")
     grouped = keep(groups(members, percent))
-    found = components(verified_links(sets, grouped, percent))
+    found = components(verified_links(sets, grouped, percent, block))
     release(sets, grouped)
     linked = found.select(F.col("node").alias("class"), "root")
     rooted = classes.join(linked, "class", "left").withColumn("root", F.coalesce("root", "class"))

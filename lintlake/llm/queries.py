@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import decontaminate, jaccard_join, mixing, pii, quality_rules, url_filter
+from lintlake.llm import chat, decontaminate, jaccard_join, line_dedup, mixing, pii, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,3 +66,16 @@ def op7(spark, sf):
 def op8(spark, sf):
     joined = jaccard_join.join(read(spark, sf, "documents"))
     return joined.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op5_line_dedup")
+def op5(spark, sf):
+    found = line_dedup.repeated_lines(read(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed", "copies_of")
+
+
+@query("op3_chat_formatting", chat.SQL)
+def op3(spark, sf):
+    tricky = spark.createDataFrame(chat.TRICKY, "conv_id bigint, turn bigint, role string, text string")
+    logged = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_chats(logged.unionByName(tricky)))
