@@ -30,7 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE = 5
 PERCENT = 75
 #: Shingles that one task counts, and that one block of a group holds, about.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 BLOCK = 2_000_000
 #: A batch reports shingles that so many of its classes have. Shingles that make more than one
 #: in MOST_COMMON of all are known to every task, eight megabytes at most.
@@ -435,7 +435,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     linked = found.select(F.col("node").alias("class"), "root")
     rooted = classes.join(linked, "class", "left").withColumn("root", F.coalesce("root", "class"))
     rooted = rooted.withColumn("root", F.when(F.col("n") > 0, F.col("root")))
-    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # Stored, so that the join below is of two plain tables and a class of very many copies splits.
+    least = keep(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")))
     return rooted.join(least, "root", "left").select(
         "doc_id", "tag", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),

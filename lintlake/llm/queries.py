@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import chat, decontaminate, jaccard_join, line_dedup, mixing, pii, quality_rules, url_filter
+from lintlake.llm import chat, decontaminate, jaccard_join, language_id, line_dedup, mixing, pii, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +79,9 @@ def op3(spark, sf):
     tricky = spark.createDataFrame(chat.TRICKY, "conv_id bigint, turn bigint, role string, text string")
     logged = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digest(chat.format_chats(logged.unionByName(tricky)))
+
+
+@query("op10_language_id")
+def op10(spark, sf):
+    docs = read(spark, sf, "documents")
+    return language_id.predict(docs, language_id.learn(docs))
