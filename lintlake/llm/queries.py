@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import chat, decontaminate, jaccard_join, language_id, line_dedup, mixing, pii, quality_rules, url_filter
+from lintlake.llm import chat, decontaminate, jaccard_join, language_id, line_dedup, mixing, pii, quality_crf, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,3 +85,9 @@ def op3(spark, sf):
 def op10(spark, sf):
     docs = read(spark, sf, "documents")
     return language_id.predict(docs, language_id.learn(docs))
+
+
+@query("op6_quality_classifier")
+def op6(spark, sf):
+    docs = read(spark, sf, "documents")
+    return quality_crf.score(docs, quality_crf.learn(docs, read(spark, sf, "labels")))
