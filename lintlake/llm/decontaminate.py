@@ -183,7 +183,8 @@ def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
 
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without a hit word, with all their columns as they are."""
-    hit = report(docs, items, doc_id, text).where("contaminated").select("doc_id", "tag").distinct()
+    # Stored, so that its size is known before the join and few hits move no text.
+    hit = keep(report(docs, items, doc_id, text).where("contaminated").select("doc_id", "tag").distinct())
     rows = boxed(docs, _id=F.col(doc_id).cast("bigint"), _tag=F.xxhash64(F.col(text)))
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tag") == F.col("tag"))
     return rows.join(hit, same, "left_anti").select("row.*")

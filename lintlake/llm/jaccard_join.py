@@ -451,7 +451,7 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     joined = join(docs, doc_id, text, **limits)
     stays = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Of an id that rows with different texts share, one row; so also of repeated rows.
-    stays = stays.groupBy("doc_id").agg(F.min("tag").alias("tag"))
+    stays = keep(stays.groupBy("doc_id").agg(F.min("tag").alias("tag")))
     rows = boxed(docs, _id=F.col(doc_id).cast("bigint"), _tag=F.xxhash64(F.col(text)))
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tag") == F.col("tag"))
     left = rows.join(stays, same, "left_semi")

@@ -46,8 +46,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS) -
     level = left / F.sum("weight").over(ahead)
     levels = weighed.withColumn("level", level)
     reached = F.when(F.col("level") <= F.col("most") / F.col("weight"), F.col("level"))
-    # Levels do not fall before the first that holds, and none below it holds.
-    settled = levels.withColumn("level", F.min(reached).over(everything))
+    # From the first that holds on levels only fall, so it is the largest of those that hold.
+    settled = levels.withColumn("level", F.max(reached).over(everything))
     target = F.coalesce(F.least("most", F.col("level") * F.col("weight")), F.lit(0.0))
     return settled.select("source", F.col("source_size").cast("bigint"), target.alias("target"))
 
@@ -165,7 +165,7 @@ w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULL
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
       FROM w WINDOW o AS (ORDER BY most / weight, source NULLS LAST)),
-t AS (SELECT source, source_size, coalesce(least(most, weight * min(CASE WHEN level <= most / weight THEN level END) OVER ()), 0) AS target FROM l),
+t AS (SELECT source, source_size, coalesce(least(most, weight * max(CASE WHEN level <= most / weight THEN level END) OVER ()), 0) AS target FROM l),
 p AS (SELECT d.*, source_size, target, round(target)::BIGINT AS goal,
         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.columns import NO_SPACE, SPACE, bind, boxed, text_of, total, words_of
-from lintlake.sources.store import keep, release
+from lintlake.sources.store import keep
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
@@ -54,14 +54,17 @@ def repeated_words(words: Column, width: int = 3) -> Column:
 
         return F.array_sort(F.transform(F.filter(windows, twice), lambda w: w["at"]))
 
-    keyed = F.transform(
-        F.sequence(F.lit(0), F.size(words) - width),
-        lambda i: F.struct(
-            F.xxhash64(*[F.get(words, i + k) for k in range(width)]).alias("key"), i.alias("at")
-        ),
-    )
-    repeated = _covered(bind(F.sort_array(keyed), doubles), width)
-    return F.when(F.size(words) >= width, repeated).otherwise(F.lit(0).cast("bigint"))
+    def repeated(words: Column) -> Column:
+        keyed = F.transform(
+            F.sequence(F.lit(0), F.size(words) - width),
+            lambda i: F.struct(
+                F.xxhash64(*[F.get(words, i + k) for k in range(width)]).alias("key"), i.alias("at")
+            ),
+        )
+        found = _covered(bind(F.sort_array(keyed), doubles), width)
+        return F.when(F.size(words) >= width, found).otherwise(F.lit(0).cast("bigint"))
+
+    return bind(words, repeated)
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -145,13 +148,10 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
 def kept_documents(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The documents that the rules keep, with all their columns as they are.
 
-    Measures twice, once for the hosts and once to filter, which moves no text.
+    Rows are stored with their measures, to be filtered when all hosts are known.
     """
-    measured = measure(boxed(docs, host=host, text=text))
-    slim = keep(measured.select("host", "base_failed", "n_words", "n_symbols", "n_lines", "n_dup_lines"))
-    rates = host_rates(slim)
-    release(slim)
-    return add_verdict(measured, rates).where("kept").select("row.*")
+    measured = keep(measure(boxed(docs, host=host, text=text)).drop("text"))
+    return add_verdict(measured, host_rates(measured)).where("kept").select("row.*")
 
 
 # The same in SQL, for a table `documents`.
