@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PREFIX = "kept-"
+_records: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,13 +30,28 @@ def keep(table: DataFrame, folder: str | None = None) -> DataFrame:
     spark = table.sparkSession
     path = f"{(folder or shared_dir(spark)).rstrip('/')}/{_PREFIX}{uuid.uuid4().hex}"
     table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
+    kept = spark.read.schema(table.schema).parquet(path)
+    for record in _records:
+        record.append(kept)
+    return kept
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """A list of what is kept inside the block, to be released when no result needs it."""
+    record: list[DataFrame] = []
+    _records.append(record)
+    try:
+        yield record
+    finally:
+        _records[:] = [other for other in _records if other is not record]
 
 
 def release(*tables: DataFrame) -> None:
     """Remove what `keep` stored for these tables, or for what they were made from."""
     for table in tables:
         context = table.sparkSession.sparkContext
+        # A table that was released already has no files.
         for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
             if path.rpartition("/")[2].startswith(_PREFIX):
                 place = context._jvm.org.apache.hadoop.fs.Path(path)
