@@ -26,10 +26,11 @@ def marked_up_to(text: Column, java_pattern: Column, until: Column) -> Column:
 
     def searched(head: Column) -> Column:
         rest = text.substr(F.length(head) + 1, F.length(text))
-        return F.concat(marked(head, java_pattern), rest)
+        return F.when(head != "", F.concat(marked(head, java_pattern), rest))
 
-    # An array of one, so that the head is computed once.
-    return F.transform(F.array(F.regexp_substr(text, until)), searched)[0]
+    # An array of one, so that the head, a greedy run over the text, is searched for once.
+    head = F.call_function("regexp_extract", text, until, F.lit(0))
+    return F.transform(F.array(head), searched)[0]
 
 
 def has_marks(marked_text: Column) -> Column:

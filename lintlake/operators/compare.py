@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions import text
+from lintlake.operators.scan import describe, each_match, hit_rows
+from lintlake.rules import RuleSet, builtin_rules
 
-_KEY = ["rule_id", "file_path", "line_hash"]
+_KEY = ["rule_key", "file_path", "line_hash"]
 
 
 def with_fingerprint(findings: DataFrame) -> DataFrame:
@@ -15,24 +17,41 @@ def with_fingerprint(findings: DataFrame) -> DataFrame:
     return findings.withColumn("line_hash", F.sha2(text.strip(F.col("line_content")), 256))
 
 
-def _keys(findings: DataFrame) -> DataFrame:
-    # Unique before the join: however many findings share a key, one row is shuffled on.
-    return with_fingerprint(findings).select(_KEY).distinct()
+def _hits(scanned: DataFrame, rules: RuleSet) -> DataFrame:
+    """A scan's slim rows with their key: the first rule of the id, the path, the line's hash."""
+    first: dict[str, int] = {}
+    for position, rule_id in enumerate(rules.by_position(lambda rule: rule.rule_id)):
+        first.setdefault(rule_id, position)
+    keys = [first[rule_id] for rule_id in rules.by_position(lambda rule: rule.rule_id)]
+    key = F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("rule_ord") + 1)
+    return with_fingerprint(hit_rows(scanned)).withColumn("rule_key", key)
 
 
-def new_findings(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Findings of the current scan whose fingerprint the baseline does not have."""
-    return with_fingerprint(current).join(_keys(baseline), _KEY, "left_anti")
+def _compared(left: DataFrame, right: DataFrame, rules: RuleSet | None, how: str) -> DataFrame:
+    """Findings of one scan that the other has, or has not, by fingerprint.
+
+    Slim rows are joined, a line once for each rule however many matches are on it, against
+    the other scan's distinct keys; rule text and repeated matches come after the join.
+    """
+    rules = builtin_rules() if rules is None else rules
+    keys = _hits(right, rules).select(_KEY).distinct()
+    joined = _hits(left, rules).join(keys, _KEY, how).drop("rule_key")
+    return describe(each_match(joined), rules)
+
+
+def new_findings(current: DataFrame, baseline: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """Findings of the current scan whose fingerprint the baseline scan does not have."""
+    return _compared(current, baseline, rules, "left_anti")
 
 
-def fixed_findings(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Findings of the baseline that are gone from the current scan."""
-    return with_fingerprint(baseline).join(_keys(current), _KEY, "left_anti")
+def fixed_findings(current: DataFrame, baseline: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """Findings of the baseline scan that are gone from the current scan."""
+    return _compared(baseline, current, rules, "left_anti")
 
 
-def kept_findings(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Findings of the current scan that the baseline has too."""
-    return with_fingerprint(current).join(_keys(baseline), _KEY, "left_semi")
+def kept_findings(current: DataFrame, baseline: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """Findings of the current scan that the baseline scan has too."""
+    return _compared(current, baseline, rules, "left_semi")
 
 
 def mark_suppressed(findings: DataFrame, suppressions: DataFrame, as_of: str) -> DataFrame:

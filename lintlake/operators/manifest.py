@@ -29,6 +29,9 @@ def _by_path(hashed: DataFrame) -> DataFrame:
 
 
 def tree_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """The manifest of a directory tree, whatever the files' language or size."""
-    listing = list_tree(spark, root, skipped=is_excluded).where(~is_excluded(F.col("path")))
+    """The manifest of a directory tree, whatever the files' language or size.
+
+    A directory or file that cannot be read is an error: a manifest has no holes.
+    """
+    listing = list_tree(spark, root, skipped=is_excluded, strict=True).where(~is_excluded(F.col("path")))
     return _by_path(hash_files(listing, root))

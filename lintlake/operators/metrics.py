@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lintlake import schema
 from lintlake.functions import severity as sev
+from lintlake.operators.scan import hit_rows
 from lintlake.rules import RuleSet, builtin_rules
 
 GATE_LEVELS = ["critical", "high", "medium", "low", "none"]
@@ -62,18 +63,25 @@ def rule_counts(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     )
 
 
-def severity_counts(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("severity").agg(F.count("*").alias("findings"))
+def severity_counts(tallied: DataFrame) -> DataFrame:
+    """Findings by severity, from a tally."""
+    return _by_rule_column(tallied, "severity")
 
 
-def category_counts(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("category").agg(F.count("*").alias("findings"))
+def category_counts(tallied: DataFrame) -> DataFrame:
+    """Findings by category, from a tally."""
+    return _by_rule_column(tallied, "category")
 
 
-def severity_table(findings: DataFrame) -> DataFrame:
+def _by_rule_column(tallied: DataFrame, column: str) -> DataFrame:
+    of_rules = tallied.where("rule_id IS NOT NULL")
+    return of_rules.groupBy(column).agg(F.sum("findings").alias("findings"))
+
+
+def severity_table(tallied: DataFrame) -> DataFrame:
     """Severities that occur, most severe first."""
     return (
-        severity_counts(findings)
+        severity_counts(tallied)
         .withColumn("severity_rank", sev.severity_rank(F.col("severity")))
         .orderBy("severity_rank")
     )
@@ -93,30 +101,67 @@ def languages_by_lines(files: DataFrame) -> DataFrame:
     return language_stats(files).orderBy(F.desc("lines"), "language")
 
 
-def file_counts(findings: DataFrame) -> DataFrame:
+def file_counts(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     """Findings by file, by path. The findings themselves stay rows, however many one
     file has; order them by path to read them file by file."""
+    rules = builtin_rules() if rules is None else rules
+    blocking = sev.is_blocking(F.element_at(_severities(rules), F.col("rule_ord") + 1))
+    worst = sev.severity_rank(F.element_at(_severities(rules), F.col("rule_ord") + 1))
     return (
-        findings.groupBy("file_path")
+        hit_rows(scanned)
+        .groupBy("file_path")
         .agg(
-            F.count("*").alias("findings"),
-            F.count_if(sev.is_blocking(F.col("severity"))).alias("blocking"),
-            F.min("severity_rank").alias("worst_rank"),
+            F.sum("matches").alias("findings"),
+            F.sum(F.when(blocking, F.col("matches")).otherwise(0)).alias("blocking"),
+            F.min(worst).alias("worst_rank"),
         )
         .orderBy("file_path")
     )
 
 
-def rules_hit(findings: DataFrame) -> DataFrame:
+def _severities(rules: RuleSet) -> Column:
+    """Severities by rule position; positions left out of a set have none."""
+    by_position = rules.by_position(lambda rule: rule.severity)
+    return F.array(*[F.lit(name).cast("string") for name in by_position])
+
+
+def rules_hit(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     """Each rule with findings, by its first finding, which also gives its columns.
 
-    A minimum per rule, not a window, so a rule with most of the rows is no hot partition.
+    A file's matches of a rule are first summed within its row, and only path and line go
+    through the aggregation: rank and text are the same for all findings of a rule and are
+    joined to its one row. A rule with most of the findings is no hot partition.
     """
+    rules = builtin_rules() if rules is None else rules
+    per_file = F.expr(
+        "transform(array_distinct(hits.ord), o -> named_struct('ord', o, "
+        "'line', array_min(transform(filter(hits, h -> h.ord = o), h -> h.line_number)), "
+        "'findings', aggregate(filter(hits, h -> h.ord = o), 0L, (n, h) -> n + h.matches)))"
+    )
+    first = F.min(F.struct(F.col("path").alias("file_path"), F.col("line").alias("line_number")))
+    places = (
+        scanned.select("path", F.inline_outer(per_file))
+        .where("ord IS NOT NULL")
+        .groupBy("ord")
+        .agg(first.alias("first"), F.sum("findings").alias("findings"))
+    )
+    table = rules.table(scanned.sparkSession).select(
+        F.col("ord").alias("rule_ord"), "rule_id", "title", "description", "severity", "cwe_id"
+    )
     columns = ["title", "description", "severity", "cwe_id"]
-    first = F.min(F.struct(*schema.ORDER_COLUMNS, *columns))
+    described = (
+        places.join(F.broadcast(table), places["ord"] == table["rule_ord"])
+        .select("rule_id", "first.*", "rule_ord", "findings", *columns)
+        .withColumn("severity_rank", sev.severity_rank(F.col("severity")))
+        .withColumn("match_ord", F.lit(1))
+    )
+    # One row per rule and position is left; positions that share an id become one.
     return (
-        findings.groupBy("rule_id")
-        .agg(first.alias("first"), F.count("*").alias("findings"))
+        described.groupBy("rule_id")
+        .agg(
+            F.min(F.struct(*schema.ORDER_COLUMNS, *columns)).alias("first"),
+            F.sum("findings").alias("findings"),
+        )
         .select("rule_id", "first.*", "findings")
         .orderBy(*schema.ORDER_COLUMNS)
     )

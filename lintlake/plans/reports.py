@@ -3,7 +3,9 @@
 A report of a large scan does not fit in one string, so each is a table with a `line`
 column in report order, written by many tasks; the part files joined in name order are the
 report. Slim rows are range-partitioned and the rules' text is added after that shuffle.
-The scan is read more than once here, so pass a stored one (`store.keep`).
+
+A report reads the scan twice, so pass a stored one (`store.keep`): once for the totals, a row
+for each rule and language, which are stored when the report is made, and once for its lines.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from lintlake.functions import text
 from lintlake.operators import metrics
 from lintlake.operators.scan import hit_rows, rank
 from lintlake.rules import RuleSet, builtin_rules
+from lintlake.sources.store import keep
 
 TOOL = "lintlake"
 
@@ -27,7 +30,8 @@ TOOL = "lintlake"
 _FINDING_KEYS = [*[c for c in schema.ORDER_COLUMNS if c != "match_ord"], "line_hash"]
 _HEAD, _BODY, _FOOT = 0, 1, 2
 
-# The reports' rule lines, marks and schema address.
+# The reports' rule lines, marks and schema address; so are the headings and
+# labels in the functions below.
 _RULE = "─" * 60
 _MARKS = {"critical": "🔴", "high": "🟠", "medium": "🟡", "low": "🔵", "info": "⚪"}
 _STEP_MARKS = {
@@ -68,10 +72,21 @@ def _rows(source: DataFrame, **columns: Column | int | str) -> DataFrame:
     return source.select(made)
 
 
-def _lines(source: DataFrame, section: int, lines: Column) -> DataFrame:
-    """One row per element of an array of lines; NULL elements are left out."""
-    numbered = source.select(F.posexplode(lines).alias("seq", "line")).where("line IS NOT NULL")
-    return _rows(numbered, section=section, seq=F.col("seq"), line=F.col("line"))
+def _in_section(section: int, lines: Column) -> Column:
+    return F.transform(
+        lines, lambda line: F.struct(F.lit(section).alias("section"), line.alias("line"))
+    )
+
+
+def _lines(source: DataFrame, head: Column, foot: Column) -> DataFrame:
+    """One row per line above and below the findings, from one row; NULL lines are left out."""
+    numbered = F.concat(
+        *[
+            _in_section(section, lines) for section, lines in ((_HEAD, head), (_FOOT, foot))
+        ]
+    )
+    rows = source.select(F.posexplode(numbered).alias("seq", "row")).where("row.line IS NOT NULL")
+    return _rows(rows, section=F.col("row.section"), seq=F.col("seq"), line=F.col("row.line"))
 
 
 def _findings(ranked: DataFrame, part: Column | int = 1) -> DataFrame:
@@ -82,7 +97,9 @@ def _findings(ranked: DataFrame, part: Column | int = 1) -> DataFrame:
 
 def _lay_out(parts: list[DataFrame], order: list[str], rules: RuleSet, render: Column) -> DataFrame:
     """Put rows in order, repeat them for each match, and render those without a line."""
-    placed = reduce(DataFrame.unionByName, parts).repartitionByRange(*order)
+    # The rebalance keeps the range sampling from reading the scan once more.
+    gathered = reduce(DataFrame.unionByName, parts).hint("rebalance")
+    placed = gathered.repartitionByRange(*order)
     table = rules.table(placed.sparkSession).drop(*schema.RULE_INTERNALS)
     table = table.withColumnRenamed("ord", "table_ord")
     each = F.explode(F.sequence(F.lit(1), F.coalesce("matches", F.lit(1))))
@@ -92,6 +109,8 @@ def _lay_out(parts: list[DataFrame], order: list[str], rules: RuleSet, render: C
     return (
         placed.join(F.broadcast(table), F.col("rule_ord") == F.col("table_ord"), "left")
         .withColumn("copy", F.row_number().over(copies))
+        # Lines about a file are made for each of several files under one path.
+        .where("matches IS NOT NULL OR copy = 1")
         .sortWithinPartitions(*order)
         .withColumn("nth", each)
         .withColumn("match_ord", F.when(F.col("matches").isNotNull(), F.col("nth")))
@@ -104,28 +123,82 @@ _BY_FINDING = ["section", *_FINDING_KEYS, "seq"]
 _BY_FILE = ["section", "file_path", "part", *[k for k in _FINDING_KEYS if k != "file_path"], "seq"]
 
 
-def _parts(
-    scanned: DataFrame, rules: RuleSet | None, path: str, scan_duration_ms: float
-) -> tuple[RuleSet, DataFrame, DataFrame]:
-    """The rules, the ranked matches and the summary row of a scan."""
-    rules = builtin_rules() if rules is None else rules
-    hashed = hit_rows(scanned).withColumn("line_hash", F.xxhash64("line_content"))
-    ranked = rank(hashed, rules)
-    summary = metrics.summary(metrics.tally(scanned, rules), path, scan_duration_ms)
-    return rules, ranked, summary
+def _ranked(scanned: DataFrame, rules: RuleSet) -> DataFrame:
+    return rank(hit_rows(scanned).withColumn("line_hash", F.xxhash64("line_content")), rules)
 
 
-def _separated(ranked: DataFrame) -> DataFrame:
-    """Finding rows with `part` 1 for the first of all, 2 for the others.
+def _totals(scanned: DataFrame, rules: RuleSet) -> DataFrame:
+    """`metrics.tally` with `first`, the keys of each rule's first finding, in one pass.
 
-    The first is found as a minimum, so no task sees all findings.
+    A file's matches of a rule are summed within its row.
     """
-    first = ranked.agg(F.min(F.struct(_FINDING_KEYS)).alias("first")).select("first.*")
-    first = first.withColumn("is_first", F.lit(True))
+    entries = F.expr(
+        "concat(array(named_struct('language', language, 'ord', cast(null as int), 'files', 1L, "
+        "'lines', lines, 'findings', 0L, 'place', cast(null as struct<line_number:int,line_hash:bigint>))), "
+        "transform(array_distinct(hits.ord), o -> named_struct('language', cast(null as string), "
+        "'ord', o, 'files', 0L, 'lines', 0L, "
+        "'findings', aggregate(filter(hits, h -> h.ord = o), 0L, (n, h) -> n + h.matches), "
+        "'place', array_min(transform(filter(hits, h -> h.ord = o), "
+        "h -> named_struct('line_number', h.line_number, 'line_hash', xxhash64(h.line_content)))))))"
+    )
+    place = F.when(
+        F.col("ord").isNotNull(),
+        F.struct(F.col("path").alias("file_path"), "place.line_number", "place.line_hash"),
+    )
+    counted = (
+        scanned.select("path", F.inline_outer(entries))
+        .groupBy("language", "ord")
+        .agg(*[F.sum(c).alias(c) for c in ("files", "lines", "findings")], F.min(place).alias("place"))
+    )
+    table = rules.table(scanned.sparkSession).drop(*schema.RULE_INTERNALS)
+    rank_ = sev.severity_rank(F.col("severity")).alias("severity_rank")
+    first = F.struct(
+        rank_, "place.file_path", "place.line_number", F.col("ord").alias("rule_ord"), "place.line_hash"
+    )
+    described = counted.join(F.broadcast(table), "ord", "left")
+    return keep(described.withColumn("first", F.when(F.col("rule_id").isNotNull(), first)).drop("place"))
+
+
+def _separated(ranked: DataFrame, totals: DataFrame) -> DataFrame:
+    """Finding rows with `part` 1 for the first of all, 2 for the others."""
+    first = totals.agg(F.min("first").alias("first")).select("first.*").withColumn("is_first", F.lit(True))
     marked = ranked.join(F.broadcast(first), _FINDING_KEYS, "left")
     return _findings(marked, F.when(F.col("is_first"), 1).otherwise(2))
 
 
+def _by_file(scanned: DataFrame, rules: RuleSet, above: Column, below: Column | None = None) -> DataFrame:
+    """Rows of each file with findings: a line above them, they, a line below, in one pass."""
+
+    def line(part: int, made: Column) -> Column:
+        none = {name: F.lit(None).cast(kind) for name, kind in _ROW.items()}
+        given = none | {"part": F.lit(part), "line": made}
+        return F.struct(*[given[c].alias(c) for c in columns])
+
+    def finding(hit: Column) -> Column:
+        given = {
+            "part": F.lit(1), "rule_ord": hit["ord"], "line_number": hit["line_number"],
+            "matches": hit["matches"].cast("int"), "line_content": hit["line_content"],
+            "line_hash": F.xxhash64(hit["line_content"]), "line": F.lit(None).cast("string"),
+        }
+        return F.struct(*[given[c].alias(c) for c in columns])
+
+    columns = ["part", "rule_ord", "line_number", "matches", "line_content", "line_hash", "line"]
+    rows = [F.array(line(0, above)), F.transform("hits", finding)]
+    if below is not None:
+        rows.append(F.array(line(2, below)))
+    each = (
+        scanned.withColumn("file_path", F.col("path"))
+        .select("file_path", F.inline_outer(F.when(F.size("hits") > 0, F.concat(*rows))))
+        .where("part IS NOT NULL")
+    )
+    ranks = rules.table(scanned.sparkSession).select(
+        F.col("ord").alias("rule_ord"), sev.severity_rank(F.col("severity")).alias("severity_rank")
+    )
+    ranked = each.join(F.broadcast(ranks), "rule_ord", "left")
+    given = ["file_path", "part", "severity_rank", "line_number", "rule_ord", "line_hash", "matches", "line", "line_content"]
+    return _rows(ranked, section=_BODY, **{name: F.col(name) for name in given})
+
+
 def _comma(rendered: Column) -> Column:
     """A comma before every finding but the very first."""
     opening = (F.col("part") == 1) & (F.col("copy") == 1) & (F.col("nth") == 1)
@@ -158,7 +231,9 @@ def json_report(
     scan_duration_ms: float = 0.0,
 ) -> DataFrame:
     """The whole scan as one JSON object, a line per finding."""
-    rules, ranked, summary = _parts(scanned, rules, path, scan_duration_ms)
+    rules = builtin_rules() if rules is None else rules
+    totals = _totals(scanned, rules)
+    summary = metrics.summary(totals, path, scan_duration_ms)
     head = F.to_json(
         F.struct(
             F.lit(lintlake.__version__).alias("version"),
@@ -175,9 +250,8 @@ def json_report(
     )
     opened = F.concat(F.regexp_replace(head, r"\}\z", ""), F.lit(',"findings":['))
     parts = [
-        _lines(summary, _HEAD, F.array(opened)),
-        _separated(ranked),
-        _lines(summary, _FOOT, F.array(F.lit("]}"))),
+        _lines(summary, F.array(opened), F.array(F.lit("]}"))),
+        _separated(_ranked(scanned, rules), totals),
     ]
     return _lay_out(parts, _BY_FINDING, rules, _comma(finding_json()))
 
@@ -215,14 +289,15 @@ def sarif_rule() -> Column:
     )
 
 
-def sarif_rules(ranked: DataFrame, rules: RuleSet) -> DataFrame:
-    """The rules with findings as (first place, SARIF rule), in order of first finding."""
-    keys = [c for c in _FINDING_KEYS if c in ranked.columns]
-    first = ranked.groupBy("rule_ord").agg(F.min(F.struct(keys)).alias("first"))
-    table = rules.table(ranked.sparkSession)
-    return first.join(F.broadcast(table), F.col("rule_ord") == F.col("ord")).select(
-        "first", sarif_rule().alias("rule")
-    )
+def sarif_rules(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """The rules with findings as (first place, SARIF rule), one for an id, that of its first
+    finding."""
+    return _hit_rules(_totals(scanned, builtin_rules() if rules is None else rules))
+
+
+def _hit_rules(totals: DataFrame) -> DataFrame:
+    of_id = F.min(F.struct("first", sarif_rule().alias("rule"))).alias("hit")
+    return totals.where("rule_id IS NOT NULL").groupBy("rule_id").agg(of_id).select("hit.*")
 
 
 def sarif_report(
@@ -232,9 +307,10 @@ def sarif_report(
     information_uri: str | None = None,
 ) -> DataFrame:
     """The scan as SARIF 2.1.0, a line per result."""
-    rules, ranked, _ = _parts(scanned, rules, ".", 0.0)
+    rules = builtin_rules() if rules is None else rules
+    totals = _totals(scanned, rules)
     # Bounded: one entry per rule.
-    hit = sarif_rules(ranked, rules).agg(
+    hit = _hit_rules(totals).agg(
         F.array_sort(F.collect_list(F.struct("first", F.to_json("rule").alias("rule")))).alias("hit")
     )
     driver = F.to_json(
@@ -252,9 +328,8 @@ def sarif_report(
         F.lit(']}},"results":['),
     )
     parts = [
-        _lines(hit, _HEAD, F.array(opened)),
-        _separated(ranked),
-        _lines(hit, _FOOT, F.array(F.lit("]}]}"))),
+        _lines(hit, F.array(opened), F.array(F.lit("]}]}"))),
+        _separated(_ranked(scanned, rules), totals),
     ]
     return _lay_out(parts, _BY_FINDING, rules, _comma(sarif_result()))
 
@@ -298,7 +373,8 @@ def markdown_report(
     show_fix: bool = False,
     tool: str = TOOL,
 ) -> DataFrame:
-    rules, ranked, summary = _parts(scanned, rules, path, scan_duration_ms)
+    rules = builtin_rules() if rules is None else rules
+    summary = metrics.summary(_totals(scanned, rules), path, scan_duration_ms)
     counts = [
         F.when(
             metrics.severity_count(s) > 0,
@@ -339,14 +415,7 @@ def markdown_report(
     if show_fix:
         fix = F.when(F.col("suggestion") != "", _text("\n  - 💡 **Fix:** ", F.col("suggestion")))
         line = F.concat(line, F.coalesce(fix, F.lit("")))
-    files = ranked.select("file_path").distinct()
-    parts = [
-        _lines(summary, _HEAD, head),
-        _rows(files, section=_BODY, file_path=F.col("file_path"), part=0, line=path_line),
-        _findings(ranked),
-        _rows(files, section=_BODY, file_path=F.col("file_path"), part=2, line=""),
-        _lines(summary, _FOOT, foot),
-    ]
+    parts = [_lines(summary, head, foot), _by_file(scanned, rules, path_line, F.lit(""))]
     return _lay_out(parts, _BY_FILE, rules, line)
 
 
@@ -358,7 +427,8 @@ def text_report(
     show_fix: bool = False,
     tool: str = TOOL,
 ) -> DataFrame:
-    rules, ranked, summary = _parts(scanned, rules, path, scan_duration_ms)
+    rules = builtin_rules() if rules is None else rules
+    summary = metrics.summary(_totals(scanned, rules), path, scan_duration_ms)
     counts = [
         F.when(
             metrics.severity_count(s) > 0,
@@ -417,14 +487,7 @@ def text_report(
     if show_fix:
         fix = F.when(F.col("suggestion") != "", _text("\n           💡 ", F.col("suggestion")))
         line = F.concat(line, F.coalesce(fix, F.lit("")))
-    files = ranked.select("file_path").distinct()
-    parts = [
-        _lines(summary, _HEAD, head),
-        _rows(files, section=_BODY, file_path=F.col("file_path"), part=0,
-              line=_text("\n", F.col("file_path"))),
-        _findings(ranked),
-        _lines(summary, _FOOT, foot),
-    ]
+    parts = [_lines(summary, head, foot), _by_file(scanned, rules, _text("\n", F.col("file_path")))]
     return _lay_out(parts, _BY_FILE, rules, line)
 
 
@@ -447,7 +510,8 @@ def step_summary(summary_row: DataFrame, tool: str = TOOL) -> DataFrame:
         *counts,
         F.lit(""),
     )
-    return _lines(summary_row, _HEAD, lines).select("seq", "line").sortWithinPartitions("seq")
+    none = F.array().cast("array<string>")
+    return _lines(summary_row, lines, none).select("seq", "line").sortWithinPartitions("seq")
 
 
 def write_report(report: DataFrame, path: str, format: str = "text") -> None:

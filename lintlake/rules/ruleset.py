@@ -15,9 +15,9 @@ from lintlake.functions.severity import check_severity
 from lintlake.rules.catalog import RULES, Rule
 from lintlake.rules.dialect import to_java
 
-# Rules are configuration and get broadcast; a table beyond this is a mistake, not a rule
-# set, and is refused rather than cut.
-MAX_RULES = 10_000
+# Rules are configuration and get broadcast. A set beyond this many bytes, in the form that is
+# sent to every executor, is refused rather than cut; RuleSet takes another bound.
+MAX_BYTES = 64 * 1024 * 1024
 
 # Keys of files whose language no rule names, and of files that could not be read.
 ANY_LANGUAGE = "*"
@@ -32,9 +32,12 @@ _CHECKS = (
 class RuleSet:
     """An ordered set of rules. `rejected` lists (rule_id, pattern, reason) left out."""
 
-    def __init__(self, rules: Iterable[tuple[int, Rule, str]], rejected=()):
+    def __init__(
+        self, rules: Iterable[tuple[int, Rule, str]], rejected=(), max_bytes: int = MAX_BYTES
+    ):
         self._rules = list(rules)  # (position, rule, Java pattern)
         self.rejected = list(rejected)
+        self.max_bytes = max_bytes
 
     def __len__(self) -> int:
         return len(self._rules)
@@ -43,7 +46,9 @@ class RuleSet:
         return (rule for _, rule, _ in self._rules)
 
     @classmethod
-    def of(cls, rules: Iterable[Rule], spark: SparkSession | None = None) -> RuleSet:
+    def of(
+        cls, rules: Iterable[Rule], spark: SparkSession | None = None, max_bytes: int = MAX_BYTES
+    ) -> RuleSet:
         """Keep the rules whose pattern compiles, here and (given a session) in Java."""
         accepted, rejected = [], []
         for position, rule in enumerate(rules):
@@ -58,33 +63,39 @@ class RuleSet:
                 rejected.append((rule.rule_id, rule.pattern, reason.splitlines()[0]))
             else:
                 accepted.append((position, rule, pattern))
-        return cls(accepted, rejected)
+        return cls(accepted, rejected, max_bytes)
 
     @classmethod
-    def from_table(cls, rules: DataFrame) -> RuleSet:
+    def from_table(cls, rules: DataFrame, max_bytes: int = MAX_BYTES) -> RuleSet:
         """The caller's own rules, from any table with the rule columns.
 
-        Order is `ord` where present. `needs` may be missing: such rules run unguarded.
+        Order is `ord` where present, else rule_id and pattern. Severity, category and
+        confidence are read without regard to case and outer blanks. What the built-in rules
+        say about strings a match holds is not taken from a caller, so nothing they say can
+        lose a finding. `max_bytes` bounds the set, see MAX_BYTES.
         """
         columns = [name for name in Rule._fields if name in rules.columns]
+        columns = [name for name in columns if name not in ("needs", "ends_with")]
         missing = {"rule_id", "pattern", "severity", "category"} - set(columns)
         if missing:
             raise ValueError(f"rule table lacks {', '.join(sorted(missing))}")
-        if "ord" in rules.columns:
-            rules = rules.orderBy("ord")
-        rows = rules.select(columns).limit(MAX_RULES + 1).collect()
-        if len(rows) > MAX_RULES:
-            raise ValueError(f"rule table has more than {MAX_RULES} rows")
+        size = sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns)
+        if (rules.agg(F.sum(size)).first()[0] or 0) > max_bytes:
+            raise ValueError(f"rule table has more than {max_bytes} bytes")
+        order = ["ord"] if "ord" in rules.columns else []
+        rows = rules.orderBy(*order, "rule_id", "pattern").select(columns).collect()
         blank = Rule("", "", "", "", None, None, "high", "", [], "", "")
         made = []
         for row in rows:
             given = {k: v for k, v in row.asDict().items() if v is not None}
             given["languages"] = given.get("languages") or None
             given["cwe_id"] = given.get("cwe_id") or None
-            rule = blank._replace(**given)
-            check_severity(rule.severity)
-            made.append(rule)
-        return cls.of(made, rules.sparkSession)
+            given["severity"] = check_severity(given["severity"])
+            for name in ("category", "confidence"):
+                if name in given:
+                    given[name] = given[name].strip().lower()
+            made.append(blank._replace(**given))
+        return cls.of(made, rules.sparkSession, max_bytes)
 
     def at_least(self, severity: str) -> RuleSet:
         """Rules of this severity or a higher one, keeping their positions."""
@@ -98,7 +109,8 @@ class RuleSet:
         )
 
     def _where(self, keep) -> RuleSet:
-        return RuleSet((entry for entry in self._rules if keep(entry[1])), self.rejected)
+        kept = (entry for entry in self._rules if keep(entry[1]))
+        return RuleSet(kept, self.rejected, self.max_bytes)
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The rules as a DataFrame."""
@@ -112,6 +124,11 @@ class RuleSet:
     def rejected_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rejected, "rule_id string, pattern string, reason string")
 
+    def by_position(self, value) -> list:
+        """A value for every position up to the last, None where the set has no rule."""
+        made = {position: value(rule) for position, rule, _ in self._rules}
+        return [made.get(position) for position in range(max(made, default=-1) + 1)]
+
     def languages(self) -> list[str]:
         return sorted({language for rule in self for language in rule.languages or ()})
 
@@ -134,7 +151,7 @@ class RuleSet:
                     groups.setdefault(tuple(gate), []).append(check)
             made = [{"gate": list(gate), "checks": checks} for gate, checks in groups.items()]
             rows.append((language, made))
-        return _local_table(spark, rows, _CHECKS)
+        return _local_table(spark, rows, _CHECKS, self.max_bytes)
 
     def check_key(self, language: Column, text: Column) -> Column:
         """The key in `by_language` for a file."""
@@ -146,13 +163,16 @@ class RuleSet:
         )
 
 
-def _local_table(spark: SparkSession, rows: list[tuple], layout: str) -> DataFrame:
+def _local_table(
+    spark: SparkSession, rows: list[tuple], layout: str, max_bytes: int | None = None
+) -> DataFrame:
     """Rows that travel in the plan, so that Spark knows their size without a job."""
     fields = to_arrow_schema(StructType.fromDDL(layout))
     columns = list(zip(*rows)) or [()] * len(fields)
-    return spark.createDataFrame(
-        pa.table([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
-    )
+    made = pa.table([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
+    if max_bytes is not None and made.nbytes > max_bytes:
+        raise ValueError(f"the rules take {made.nbytes} bytes, more than {max_bytes}")
+    return spark.createDataFrame(made)
 
 
 def builtin_rules() -> RuleSet:

@@ -48,6 +48,8 @@ def skip_reason(max_size: int = schema.MAX_FILE_SIZE) -> Column:
     """Why a tree scan leaves a file out, NULL if it does not."""
     return (
         F.when(paths.is_skipped(F.col("path")), "directory")
+        # A directory that could not be listed.
+        .when(F.col("path").endswith("/"), "unreadable")
         .when(F.col("language").isNull(), "language")
         .when(F.col("size").isNull(), "unreadable")
         .when(F.col("size") > max_size, "size")

@@ -34,6 +34,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _BYTES_PER_TASK = 128 * 1024 * 1024
 _BYTES_PER_BATCH = 16 * 1024 * 1024
 _ENTRIES_PER_BATCH = 10_000
+# A listing task is given this many directories.
+_DIRECTORIES_PER_TASK = 16
 
 _ENTRY = "path string, is_dir boolean, size bigint"
 
@@ -48,19 +50,28 @@ def _absolute(path: str) -> str:
     return os.path.abspath(path.removeprefix("file:"))
 
 
-def _entries(root: str, directory: str) -> Iterator[tuple[str, bool, int | None]]:
-    """(path below root, is a directory to enter, size) of what one directory holds."""
+def _entries(root: str, directory: str, strict: bool) -> Iterator[tuple[str, bool, int | None]]:
+    """(path below root, is a directory to enter, size) of what one directory holds.
+
+    A directory that cannot be listed is one entry, its path with a slash behind it and no
+    size; if `strict`, or for the root, it is an error.
+    """
     below = f"{directory}/" if directory else ""
+    try:
+        yield from _listed(root, directory, below)
+    except OSError:
+        if strict or not directory:
+            raise
+        yield below, False, None
+
+
+def _listed(root: str, directory: str, below: str) -> Iterator[tuple[str, bool, int | None]]:
     if _is_uri(root):
         system, base = fs.FileSystem.from_uri(root)
         for info in system.get_file_info(fs.FileSelector(f"{base}/{directory}".rstrip("/"))):
             yield below + info.base_name, info.type == fs.FileType.Directory, info.size
         return
-    try:
-        listing = os.scandir(os.path.join(root, directory))
-    except OSError:
-        return
-    with listing:
+    with os.scandir(os.path.join(root, directory)) as listing:
         for entry in listing:
             if entry.is_dir():
                 if not entry.is_symlink():
@@ -84,22 +95,25 @@ def _batches(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame
         yield pd.DataFrame(batch, columns=columns)
 
 
-def list_tree(spark: SparkSession, root: str, skipped=paths.is_skipped) -> DataFrame:
+def list_tree(
+    spark: SparkSession, root: str, skipped=paths.is_skipped, strict: bool = False
+) -> DataFrame:
     """(path, size) of every file below the root, paths relative to it.
 
     `skipped` says of a path column whether one of its directories is left out; those are
-    never entered. `size` is NULL where it cannot be read.
+    never entered. `size` is NULL where it cannot be read. A root that cannot be listed is an
+    error. A directory below it that cannot is a row, its path ending in a slash, or an error
+    if `strict`.
     """
     root = _absolute(root)
 
     def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (
-            entry for frame in frames for name in frame["path"] for entry in _entries(root, name)
+            entry for frame in frames for name in frame["path"] for entry in _entries(root, name, strict)
         )
         for frame in _batches(rows, ["path", "is_dir", "size"]):
             yield frame.astype({"size": "Int64"})
 
-    cores = spark.sparkContext.defaultParallelism
     directories = spark.createDataFrame([("",)], "path string")
     levels = []
     while True:
@@ -111,10 +125,17 @@ def list_tree(spark: SparkSession, root: str, skipped=paths.is_skipped) -> DataF
         count = directories.count()
         if count == 0:
             break
-        directories = directories.repartition(min(count, 4 * cores))
+        directories = directories.repartition(-(-count // _DIRECTORIES_PER_TASK))
     return reduce(DataFrame.unionByName, levels)
 
 
+def _is_file(path: str) -> bool:
+    if not _is_uri(path):
+        return os.path.isfile(path)
+    system, base = fs.FileSystem.from_uri(path)
+    return system.get_file_info(base).type == fs.FileType.File
+
+
 def _opener(root: str) -> Callable[[str], BinaryIO]:
     """How to open a path below the root for reading, on an executor."""
     if _is_uri(root):
@@ -186,7 +207,7 @@ def read_tree(
     """Files below a directory: known language, at most `max_size` bytes, no skipped
     directory on the way. A file as root is read alone, see `read_file`."""
     root = _absolute(root)
-    if not _is_uri(root) and not os.path.isdir(root):
+    if _is_file(root):
         return read_file(spark, root)
     listing = list_tree(spark, root).withColumn("language", paths.detect_language(F.col("path")))
     wanted = scannable(listing, max_size).select("path", "size")

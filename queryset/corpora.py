@@ -204,7 +204,11 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     for mark, value in values.items():
         text = F.replace(text, F.lit(mark), value)
-    text = F.when(key % 7 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
+    text = (
+        F.when(key % 7 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n")))
+        .when(key % 11 == 3, F.replace(text, F.lit("\n"), F.lit("\r")))
+        .otherwise(text)
+    )
     text = F.when(key % 97 == 5, "").otherwise(text)
     directories = F.array(*[F.lit(d) for d in DIRECTORIES])
     directory = F.element_at(
@@ -213,9 +217,8 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", directory, F.replace("name", F.lit("{n}"), key.cast("string")))
     rows = joined.select(key.alias("key"), path.alias("path"), text.alias("text"))
     claimed = F.when(F.col("key") % 31 == 0, F.lit(1_000_000) + F.col("key") % 2)
-    return from_table(
-        rows, "path", "text", size=F.coalesce(claimed, F.octet_length("text"))
-    )
+    size = F.when(F.col("key") % 41 != 7, F.coalesce(claimed, F.octet_length("text")))
+    return from_table(rows, "path", "text", size=size)
 
 
 def documents(spark: SparkSession, sf_dir: str, language: str = "python") -> DataFrame:
@@ -280,12 +283,14 @@ def rendered_sql() -> str:
     directory = f"({_sql_list(DIRECTORIES)})[(c_custkey // {_KINDS}) % {len(DIRECTORIES)} + 1]"
     return f"""(
   SELECT path, {language_sql('path')} AS language,
-         CASE WHEN c_custkey % 31 = 0 THEN 1000000 + c_custkey % 2 ELSE strlen(text) END AS size,
+         CASE WHEN c_custkey % 41 = 7 THEN NULL WHEN c_custkey % 31 = 0 THEN 1000000 + c_custkey % 2
+              ELSE strlen(text) END AS size,
          text
   FROM (
     SELECT c_custkey, {directory} || '/' || replace(name, '{{n}}', c_custkey::VARCHAR) AS path,
            CASE WHEN c_custkey % 97 = 5 THEN ''
                 WHEN c_custkey % 7 = 0 THEN replace(raw, chr(10), chr(13) || chr(10))
+                WHEN c_custkey % 11 = 3 THEN replace(raw, chr(10), chr(13))
                 ELSE raw END AS text
     FROM (SELECT *, {text} AS raw
           FROM customer JOIN (VALUES {values}) AS t(kind, snippets, name)

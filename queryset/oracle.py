@@ -96,7 +96,7 @@ def scannable_sql(files: str) -> str:
     return f"(SELECT path, language, size, text FROM {files} WHERE ({reason_sql()}) IS NULL)"
 
 
-_UNIFIED = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+UNIFIED = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 
 
 def findings_ctes(files: str, keep=lambda rule: True, catalog=RULES) -> str:
@@ -104,7 +104,7 @@ def findings_ctes(files: str, keep=lambda rule: True, catalog=RULES) -> str:
     rules = [(position, rule) for position, rule in enumerate(catalog) if keep(rule)]
     matched = "\nUNION ALL ".join(_matched_sql(position, rule) for position, rule in rules)
     return f"""files AS MATERIALIZED (
-  SELECT path, language, size, {_UNIFIED} AS text FROM {files}
+  SELECT path, language, size, {UNIFIED} AS text FROM {files}
 ),
 rules AS (SELECT * FROM {rules_sql(rules)}),
 matched AS ({matched}),

@@ -17,8 +17,6 @@ from lintlake.operators import compare, manifest, metrics, surface
 from lintlake.operators.scan import (
     findings,
     ordered_findings,
-    rank,
-    hit_rows,
     scan,
     scan_files,
 )
@@ -32,6 +30,7 @@ from lintlake.streaming.scan import scan_available
 from queryset import corpora
 from queryset.corpora import quote
 from queryset.oracle import (
+    UNIFIED,
     findings_ctes,
     line_count_sql,
     reason_sql,
@@ -143,7 +142,7 @@ def min_severity_high(spark, sf):
 @query("findings_of_category", found(
     RENDERED, f"{SELECT_PLACE} WHERE category = 'injection'"))
 def findings_of_category(spark, sf):
-    return scan(corpora.rendered(spark, sf)).where("category = 'injection'").select(PLACE)
+    return scan(corpora.rendered(spark, sf), builtin_rules().only(categories=["injection"])).select(PLACE)
 
 
 CUSTOM = [
@@ -152,22 +151,25 @@ CUSTOM = [
     Rule("X002", "Broken", "high", "security", None, None, "high", r"(unclosed", [], "", ""),
     Rule("X003", "Last cell", "medium", "quality", "CWE-1", ["javascript"], "low",
          r"href=\"[^\"]{,9}\"", ["href"], "A short link.", "Drop it."),
+    # What a caller says of strings a match needs, here wrongly, is not relied on.
+    Rule("X004", "Paragraph", " HIGH ", " Quality", None, None, " Low ", r"<p>\s*\w", ["<P>"], "", ""),
 ]
 CUSTOM_SQL = [
     CUSTOM[0]._replace(pattern=r"<h([1-6])>\s*\w+"),
     CUSTOM[1],
     CUSTOM[2]._replace(pattern=r"href=\"[^\"]{0,9}\""),
+    CUSTOM[3]._replace(severity="high", category="quality", confidence="low"),
 ]
 
 
 @query("scan_custom_rules", found(
     corpora.pages_sql(), SELECT_PLACE, lambda rule: rule.rule_id != "X002", CUSTOM_SQL))
 def scan_custom_rules(spark, sf):
-    """The caller's own rules from a table; the one that does not compile is left out."""
-    rows = [(i, *rule) for i, rule in enumerate(CUSTOM)]
+    """The caller's own rules from a table without an order; the one that does not compile is
+    left out."""
     table = spark.createDataFrame(
-        rows,
-        "ord int, rule_id string, title string, severity string, category string, cwe_id string, "
+        CUSTOM[::-1],
+        "rule_id string, title string, severity string, category string, cwe_id string, "
         "languages array<string>, confidence string, pattern string, needs array<string>, "
         "description string, suggestion string, ends_with string",
     )
@@ -192,10 +194,8 @@ for _rule in RULES:
 def stream_scan(spark, sf):
     """The same scan over a stream of files, stored and then counted."""
     source = f"{sf}/documents.parquet"
-    stream = (
-        spark.readStream.schema(spark.read.parquet(source).schema)
-        .parquet(source.replace("documents.", "documents*."))
-    )
+    # A stream reads folders or patterns; this one names the table alone.
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source[:-1] + "[t]")
     place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     files = from_table(stream, "doc_id", "text", "python")
     scan_available(files, f"{place}/scanned", f"{place}/checkpoint").awaitTermination()
@@ -251,22 +251,25 @@ def relative_paths(spark, sf):
     )
 
 
+_BROKEN = "CASE WHEN length(text) % 5 = 1 THEN text || chr(65533) || chr(65533) ELSE text END"
+
+
 @query("decode_text", f"""
-SELECT path, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest
-FROM {RENDERED}
-UNION ALL SELECT 'doc/' || path, md5(text) FROM {DOCUMENTS} WHERE NOT contains(text, chr(13))""")
+SELECT path, md5({UNIFIED.replace("text", "t")}) AS digest FROM (
+  SELECT path, {_BROKEN} AS t FROM {RENDERED}
+  UNION ALL SELECT 'doc/' || path, {_BROKEN} FROM {DOCUMENTS})""")
 def decode_text(spark, sf):
+    """Every newline, and bytes that are no UTF-8 at the end of every fifth text or so."""
     docs = corpora.documents(spark, sf).withColumn("path", F.concat(F.lit("doc/"), "path"))
     files = corpora.rendered(spark, sf).unionByName(docs)
     content = F.col("text").cast("binary")
+    broken = F.concat(content, F.lit(bytearray(b"\xff\xc3")))
+    content = F.when(F.length("text") % 5 == 1, broken).otherwise(content)
     return files.select("path", F.md5(text.decode_text(content)).alias("digest"))
 
 
-@query("tree_scan", found(
-    scannable_sql(f"(SELECT path, language, strlen(text) AS size, text FROM {RENDERED})"),
-    SELECT_PLACE))
-def tree_scan(spark, sf):
-    """Write the rendered corpus out as files, then list, read and scan the tree."""
+def _written_tree(spark, sf) -> str:
+    """The rendered corpus as files in a folder of their own."""
     root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}".removeprefix("file:")
     uri = root if "://" in root else f"file://{root}"
 
@@ -282,25 +285,49 @@ def tree_scan(spark, sf):
 
     files = corpora.rendered(spark, sf).select("path", "text")
     files.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
-    return scan(read_tree(spark, root)).select(PLACE)
+    return root
 
 
-@query("tree_listing")
-def tree_listing(spark, sf):
-    """Every file below the data folder, with its size."""
-    return list_tree(spark, sf)
+@query("tree_scan", found(
+    scannable_sql(f"(SELECT path, language, strlen(text) AS size, text FROM {RENDERED})"),
+    SELECT_PLACE))
+def tree_scan(spark, sf):
+    """Write the rendered corpus out as files, then list, read and scan the tree."""
+    return scan(read_tree(spark, _written_tree(spark, sf))).select(PLACE)
 
 
-@query("tree_manifest")
-def tree_manifest(spark, sf):
-    """The hash of every file below the data folder."""
-    return manifest.tree_manifest(spark, sf)
+_ONE = f"(SELECT * FROM {RENDERED} WHERE language = 'python' ORDER BY strlen(text) DESC, path LIMIT 1)"
 
 
-@query("manifest", f"""
+@query("single_file_scan", found(
+    f"(SELECT '.' AS path, language, size, text FROM {_ONE})", SELECT_PLACE))
+def single_file_scan(spark, sf):
+    """One file of the written tree scanned by its own path."""
+    files = corpora.rendered(spark, sf).where("language = 'python'")
+    largest = files.orderBy(F.desc(F.octet_length("text")), "path").first()["path"]
+    return scan(read_tree(spark, f"{_written_tree(spark, sf)}/{largest}")).select(PLACE)
+
+
+@query("tree_listing", f"""
+SELECT path, strlen(text) AS size FROM {RENDERED} WHERE NOT ({skipped_sql('path')})""")
+def tree_listing(spark, sf):
+    """Every file of the written tree below no skipped directory, with its size."""
+    return list_tree(spark, _written_tree(spark, sf)).where(~paths.is_skipped(F.col("path")))
+
+
+_MANIFEST = f"""
 SELECT path, sha256(text) AS sha256 FROM {RENDERED}
 WHERE len(list_filter(string_split(path, '/'), lambda p: list_contains(
-  ['.git', '__pycache__', '.pytest_cache', '.mypy_cache', '.ruff_cache'], p))) = 0""")
+  ['.git', '__pycache__', '.pytest_cache', '.mypy_cache', '.ruff_cache'], p))) = 0"""
+
+
+@query("tree_manifest", _MANIFEST)
+def tree_manifest(spark, sf):
+    """The hash of every file of the written tree."""
+    return manifest.tree_manifest(spark, _written_tree(spark, sf))
+
+
+@query("manifest", _MANIFEST)
 def manifest_rendered(spark, sf):
     files = corpora.rendered(spark, sf)
     return manifest.manifest(files.select("path", F.col("text").alias("content")))
@@ -416,6 +443,16 @@ def grades(spark, sf):
     return counted.withColumn("grade", severity.score_to_grade(F.col("score")))
 
 
+def _deduction():
+    """What a file's matches of the built-in rules cost."""
+    costs = F.array(*[F.lit(schema.DEDUCTIONS[rule.severity]) for rule in builtin_rules()])
+    return F.aggregate(
+        "hits",
+        F.lit(0).cast("bigint"),
+        lambda total, h: total + h["matches"] * F.element_at(costs, h["ord"] + 1),
+    )
+
+
 @query("score_by_source", f"""
 WITH {findings_ctes(DOCUMENTS)},
 costs AS (SELECT file_path, sum({COST})::BIGINT AS cost FROM findings GROUP BY file_path),
@@ -430,13 +467,7 @@ def score_by_source(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text", "source").repartition(corpora.TASKS)
     path = F.concat_ws("/", F.col("doc_id").cast("string"), "source")
     scanned = scan_files(from_table(docs, path, "text", "python"))
-    ranks = [rule.severity for rule in builtin_rules()]
-    costs = F.array(*[F.lit(schema.DEDUCTIONS[s]) for s in ranks])
-    cost = F.aggregate(
-        "hits",
-        F.lit(0).cast("bigint"),
-        lambda total, h: total + h["matches"] * F.element_at(costs, h["ord"] + 1),
-    )
+    cost = _deduction()
     grouped = scanned.groupBy(F.substring_index("path", "/", -1).alias("source")).agg(
         F.count("*").alias("files"), F.sum("lines").alias("lines"), F.sum(cost).alias("deduction")
     )
@@ -446,6 +477,37 @@ def score_by_source(spark, sf):
     )
 
 
+@query("score_formula", f"""
+WITH totals AS (SELECT o_orderkey, (o_orderkey % 5)::BIGINT AS files, (o_orderkey % 7 * 5000)::BIGINT AS lines,
+                       (o_custkey % 260)::BIGINT AS deduction FROM orders)
+SELECT *, {GRADE} AS grade FROM (SELECT *, {SCORE} AS score FROM totals)""")
+def score_formula(spark, sf):
+    """The score of made-up totals: sources without files, exact halves, and all of 0 to 100."""
+    totals = read(spark, sf, "orders").select(
+        "o_orderkey",
+        (F.col("o_orderkey") % 5).alias("files"),
+        (F.col("o_orderkey") % 7 * 5000).alias("lines"),
+        (F.col("o_custkey") % 260).alias("deduction"),
+    )
+    points = metrics.score(F.col("files"), F.col("lines"), F.col("deduction"))
+    return totals.withColumn("score", points).withColumn("grade", severity.score_to_grade(F.col("score")))
+
+
+@query("score_by_file", f"""
+WITH {findings_ctes(TREE)},
+costs AS (SELECT file_path, sum({COST})::BIGINT AS cost FROM findings GROUP BY file_path),
+each AS (SELECT path, 1 AS files, {line_count_sql()} AS lines, coalesce(cost, 0)::BIGINT AS deduction
+         FROM files LEFT JOIN costs ON file_path = path)
+SELECT path, deduction, score, {GRADE} AS grade FROM (SELECT *, {SCORE} AS score FROM each)""")
+def score_by_file(spark, sf):
+    """Score and grade of each file, as if each were one scan."""
+    scanned = rendered_scan(spark, sf).withColumn("deduction", _deduction())
+    points = metrics.score(F.lit(1), F.col("lines"), F.col("deduction"))
+    return scanned.select("path", "deduction", points.alias("score")).withColumn(
+        "grade", severity.score_to_grade(F.col("score"))
+    )
+
+
 # Totals of a scan.
 
 TOTALS = f"""
@@ -506,34 +568,33 @@ def summary_documents(spark, sf):
     TREE, "SELECT severity, count(*) AS findings, min(severity_rank) AS severity_rank "
     "FROM findings GROUP BY severity ORDER BY severity_rank"))
 def severity_counts(spark, sf):
-    return metrics.severity_table(scan(tree_files(spark, sf)))
+    return metrics.severity_table(metrics.tally(rendered_scan(spark, sf)))
 
 
 @query("category_counts", found(
     TREE, "SELECT category, count(*) AS findings FROM findings GROUP BY category"))
 def category_counts(spark, sf):
-    return metrics.category_counts(scan(tree_files(spark, sf)))
+    return metrics.category_counts(metrics.tally(rendered_scan(spark, sf)))
 
 
 @query("categories_in_use", found(DOCUMENTS, "SELECT DISTINCT category FROM findings"))
 def categories(spark, sf):
-    return categories_in_use(scan(corpora.documents(spark, sf)))
+    return categories_in_use(metrics.tally(documents_scan(spark, sf)).where("rule_id IS NOT NULL"))
 
 
-@query("language_stats", f"""
-SELECT language, count(*) AS files, sum({line_count_sql("replace(text, chr(13), '')")})::BIGINT AS lines
-FROM {TREE} GROUP BY language ORDER BY language""")
+_LANGUAGES = f"""
+SELECT language, count(*) AS files, sum({line_count_sql(UNIFIED)})::BIGINT AS lines
+FROM {TREE} GROUP BY language"""
+
+
+@query("language_stats", f"{_LANGUAGES} ORDER BY language")
 def language_stats(spark, sf):
-    files = tree_files(spark, sf)
-    return metrics.language_stats(files.withColumn("lines", text.line_count(F.col("text"))))
+    return metrics.language_stats(rendered_scan(spark, sf))
 
 
-@query("languages_by_lines", f"""
-SELECT language, count(*) AS files, sum({line_count_sql("replace(text, chr(13), '')")})::BIGINT AS lines
-FROM {TREE} GROUP BY language ORDER BY lines DESC, language""")
+@query("languages_by_lines", f"{_LANGUAGES} ORDER BY lines DESC, language")
 def languages_by_lines(spark, sf):
-    files = tree_files(spark, sf)
-    return metrics.languages_by_lines(files.withColumn("lines", text.line_count(F.col("text"))))
+    return metrics.languages_by_lines(rendered_scan(spark, sf))
 
 
 @query("file_counts", found(
@@ -541,7 +602,7 @@ def languages_by_lines(spark, sf):
     "SELECT file_path, count(*) AS findings, count(*) FILTER (severity IN ('critical', 'high')) "
     "AS blocking, min(severity_rank) AS worst_rank FROM findings GROUP BY file_path"))
 def file_counts(spark, sf):
-    return metrics.file_counts(scan(corpora.documents(spark, sf)))
+    return metrics.file_counts(documents_scan(spark, sf))
 
 
 @query("rules_hit", found(TREE, """
@@ -551,7 +612,7 @@ FROM (SELECT *, count(*) OVER (PARTITION BY rule_id) AS n, row_number() OVER (
         PARTITION BY rule_id ORDER BY severity_rank, file_path, line_number, rule_ord, match_ord
       ) AS place FROM findings) WHERE place = 1"""))
 def rules_hit(spark, sf):
-    return metrics.rules_hit(scan(tree_files(spark, sf)))
+    return metrics.rules_hit(rendered_scan(spark, sf))
 
 
 @query("gate", f"""WITH {findings_ctes(TREE)}, {TOTALS}
@@ -586,7 +647,7 @@ def _versions(spark, sf):
     new = F.concat(
         F.lit("x = 1\n"), F.replace("text", F.lit("password"), F.lit("passphrase"))
     )
-    return scan(files.withColumn("text", new)), scan(files.withColumn("text", old))
+    return scan_files(files.withColumn("text", new)), scan_files(files.withColumn("text", old))
 
 
 _OLD = f"(SELECT path, language, size, replace(replace(text, 'DEBUG', 'LEVEL'), 'debug', 'level') AS text FROM {TREE})"
@@ -889,9 +950,7 @@ SELECT severity_rank, file_path, line_number, {_SARIF_RULE} AS rule
 FROM (SELECT *, row_number() OVER (PARTITION BY rule_ord ORDER BY file_path, line_number, match_ord)
       AS place FROM findings) WHERE place = 1"""))
 def sarif_rules(spark, sf):
-    rules = builtin_rules()
-    ranked = rank(hit_rows(rendered_scan(spark, sf)), rules)
-    return reports.sarif_rules(ranked, rules).select(
+    return reports.sarif_rules(rendered_scan(spark, sf)).select(
         "first.severity_rank", "first.file_path", "first.line_number", F.to_json("rule").alias("rule")
     )
 
@@ -941,7 +1000,8 @@ _TEXT_HEAD = _head_sql([
 ])
 
 
-@query("text_report", f"""WITH {findings_ctes(TREE)}, {TOTALS}
+def _text_sql(fix: str = "''") -> str:
+    return f"""WITH {findings_ctes(TREE)}, {TOTALS}
 SELECT 0 AS section, NULL AS file_path, NULL AS severity_rank, NULL AS line_number,
        NULL AS rule_ord, NULL AS match_ord, line FROM ({_TEXT_HEAD})
 UNION ALL SELECT {_HEAD_KEYS}, '  ' || rpad(language, 15, ' ') || ' ' || lpad(n::VARCHAR, 4, ' ') || ' files  '
@@ -949,14 +1009,23 @@ UNION ALL SELECT {_HEAD_KEYS}, '  ' || rpad(language, 15, ' ') || ' ' || lpad(n:
   FROM (SELECT language, count(*) AS n, sum({line_count_sql()}) AS lines FROM files GROUP BY language)
 UNION ALL SELECT DISTINCT 1, file_path, NULL, NULL, NULL, NULL, chr(10) || file_path FROM findings
 UNION ALL SELECT {_BODY_KEYS}, '  ' || rpad(upper(severity), 8, ' ') || '  L' || rpad(line_number::VARCHAR, 5, ' ')
-  || ' [' || rule_id || '] ' || title || chr(10) || '           ' || substr({_STRIP}, 1, 80) FROM findings
+  || ' [' || rule_id || '] ' || title || chr(10) || '           ' || substr({_STRIP}, 1, 80) || {fix} FROM findings
 UNION ALL SELECT {_FOOT_KEYS}, unnest([chr(10) || '{_RULE_LINE}',
   chr(10) || 'Security Score: ' || score || '/100 (Grade: ' || grade || ')', '']) FROM scored
-""")
+"""
+
+
+@query("text_report", _text_sql())
 def text_report(spark, sf):
     return _report_keys(reports.text_report(kept_scan(spark, sf)))
 
 
+@query("text_report_fixes", _text_sql(
+    "CASE WHEN suggestion <> '' THEN chr(10) || '           💡 ' || suggestion ELSE '' END"))
+def text_report_fixes(spark, sf):
+    return _report_keys(reports.text_report(kept_scan(spark, sf), show_fix=True))
+
+
 @query("step_summary", f"""WITH {findings_ctes(TREE)}, {TOTALS}
 SELECT line FROM ({_head_sql([
     "'## lintlake Security Scan Results'", "''", "'| Metric | Value |'", "'|--------|-------|'",
@@ -970,3 +1039,11 @@ SELECT line FROM ({_head_sql([
 ])})""")
 def step_summary(spark, sf):
     return reports.step_summary(rendered_summary(spark, sf)).select("line")
+
+
+@query("written_report", f"SELECT line FROM ({_whole_report_sql(_JSON_HEAD, _FINDING_JSON, ']}')})")
+def written_report(spark, sf):
+    """The JSON report written as text and read back."""
+    place = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    reports.write_report(reports.json_report(kept_scan(spark, sf)), place)
+    return spark.read.text(place).select(F.col("value").alias("line"))

@@ -51,13 +51,15 @@ def test_summary(scanned):
 
 
 def test_findings_metrics(scanned):
-    found = findings(scanned)
-    row = metrics.summary(metrics.tally(scanned)).first()
-    assert dict(metrics.severity_counts(found).collect()) == row["severity_counts"]
-    assert dict(metrics.category_counts(found).collect()) == row["category_counts"]
-    per_file = {r["file_path"]: r["findings"] for r in metrics.file_counts(found).collect()}
+    tallied = metrics.tally(scanned)
+    row = metrics.summary(tallied).first()
+    assert dict(metrics.severity_counts(tallied).collect()) == row["severity_counts"]
+    assert dict(metrics.category_counts(tallied).collect()) == row["category_counts"]
+    counted = metrics.file_counts(scanned)
+    assert "sequence" not in counted._jdf.queryExecution().toString()
+    per_file = {r["file_path"]: r["findings"] for r in counted.collect()}
     assert sum(per_file.values()) == row["total_findings"] and "clean.py" not in per_file
-    order = [r["severity"] for r in metrics.severity_table(found).collect()]
+    order = [r["severity"] for r in metrics.severity_table(tallied).collect()]
     assert order == [s for s in ("critical", "high", "medium", "low", "info") if s in order]
     languages = [r["language"] for r in metrics.languages_by_lines(scanned).collect()]
     assert languages == ["python", "javascript"]
@@ -66,7 +68,7 @@ def test_findings_metrics(scanned):
 
 def test_rules_hit_in_order_of_first_finding(scanned):
     expected = list(dict.fromkeys(e[5] for e in brute_force(MIXED)))
-    assert [r["rule_id"] for r in metrics.rules_hit(findings(scanned)).collect()] == expected
+    assert [r["rule_id"] for r in metrics.rules_hit(scanned).collect()] == expected
 
 
 def python_score(files, lines, cost):
@@ -264,19 +266,50 @@ def test_report_with_few_rules(spark):
     ]
 
 
+@pytest.mark.parametrize("made", [reports.json_report, reports.sarif_report, reports.markdown_report, reports.text_report])
+def test_reports_read_the_scan_twice(scanned, made):
+    """Once for the totals, which are stored when the report is made, and once here."""
+    plan = made(scanned)._jdf.queryExecution().executedPlan().toString()
+    reads = [line for line in plan.splitlines() if "FileScan" in line and "hits" in line]
+    assert len(reads) == 1
+
+
 # Comparison
 
 
 def test_compare(spark):
     old = files_table(spark, [("a.py", "python", "eval(x)\npickle.loads(y)"), ("b.py", "python", "eval(z)")])
     new = files_table(spark, [("a.py", "python", "# hi\n  eval(x)  \neval(w)"), ("c.py", "python", "eval(z)")])
-    current, baseline = scan(new), scan(old)
+    current, baseline = scan_files(new), scan_files(old)
     places = lambda f: sorted((r["file_path"], r["rule_id"], r["line_number"]) for r in f.collect())
     assert places(compare.new_findings(current, baseline)) == [("a.py", "INJ004", 3), ("c.py", "INJ004", 1)]
     assert places(compare.kept_findings(current, baseline)) == [("a.py", "INJ004", 2)]
     assert places(compare.fixed_findings(current, baseline)) == [("a.py", "INJ005", 2), ("b.py", "INJ004", 1)]
 
 
+def test_compare_ships_slim_rows(spark):
+    current = scan_files(files_table(spark, [("a.py", "python", "eval(x) " * 100_000)]))
+    baseline = scan_files(files_table(spark, [("a.py", "python", "eval(y)")]))
+    new = compare.new_findings(current, baseline)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    shuffled = [lines[k + 1] for k, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert shuffled and not any("description" in line for line in shuffled)
+    # Matches are repeated above the join.
+    assert plan.index("explode") < plan.index("LeftAnti") and plan.count("explode") == 1
+    assert new.count() == 100_000
+
+
+def test_marking_suppressions_starts_no_job(spark):
+    found = scan(files_table(spark, [("a.py", "python", "eval(x)")]))
+    table = spark.createDataFrame([("INJ004", None, None, "r")], "rule_id string, file_path string, expires string, reason string")
+    spark.sparkContext.setJobGroup("marking", "")
+    compare.mark_suppressed(found, table, "2024-05-01")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("marking")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(jobs) == []
+
+
 def test_suppressions(spark):
     found = scan(files_table(spark, [(n, "python", "eval(x)\n# TODO x") for n in ("a.py", "b.py")]))
     entries = [
@@ -374,6 +407,26 @@ def test_custom_rules(spark):
     assert [(r["rule_id"], r["file_path"], r["match_ord"]) for r in rows] == [("A1", "a", 1), ("A1", "a", 2)]
 
 
+def test_custom_rules_are_read_leniently(spark):
+    rows = [
+        ("B2", "HREF\\d", " HIGH ", "Quality", ["HREF"]), ("B1", "x", "low", "quality", None),
+        ("B1", "y", "low", "quality", ["never there"]),
+    ]
+    table = spark.createDataFrame(rows, "rule_id string, pattern string, severity string, category string, needs array<string>")
+    rules = RuleSet.from_table(table.repartition(3))
+    assert [(r.rule_id, r.pattern, r.severity, r.category) for r in rules] == [
+        ("B1", "x", "low", "quality"), ("B1", "y", "low", "quality"), ("B2", "HREF\\d", "high", "quality")]
+    scanned = keep(scan_files(files_table(spark, [("a", "python", "HREF1 y x")]), rules))
+    assert sorted(r["rule_id"] for r in findings(scanned, rules).collect()) == ["B1", "B1", "B2"]
+    sarif = json.loads(text_of(reports.sarif_report(scanned, rules)))
+    assert [r["id"] for r in sarif["runs"][0]["tool"]["driver"]["rules"]] == ["B2", "B1"]
+    assert [(r["rule_id"], r["findings"]) for r in metrics.rules_hit(scanned, rules).collect()] == [("B2", 1), ("B1", 2)]
+    with pytest.raises(ValueError, match="more than 10 bytes"):
+        RuleSet.from_table(table, max_bytes=10)
+    with pytest.raises(ValueError, match="more than 100"):
+        scan_files(files_table(spark, []), RuleSet.from_table(table, max_bytes=100))
+
+
 def test_rule_counts(scanned):
     rows = brute_force(MIXED)
     got = {r["rule_id"]: (r["findings"], r["files"]) for r in metrics.rule_counts(scanned).collect()}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lintlake import findings, read_file, read_tree, scan, scan_files, schema
 from lintlake.functions import paths, text
 from lintlake.operators import manifest, metrics
-from lintlake.sources import store
+from lintlake.sources import store, tree
 from lintlake.sources.tables import scannable, skip_reason
 from lintlake.sources.tree import list_tree
 
@@ -191,6 +191,33 @@ def test_manifest(spark, tmp_path):
     assert got == [(p, hashlib.sha256(c).hexdigest()) for p, c in sorted(expected.items())]
 
 
+def test_what_cannot_be_listed(spark, tmp_path, monkeypatch):
+    write(tmp_path, {"a.py": "x", "shut/b.py": "y"})
+    for missing in ("nope", "nope/deeper"):
+        for listing in (list_tree, manifest.tree_manifest, read_tree):
+            with pytest.raises(Exception, match="(?i)no such file|not found|does not exist"):
+                listing(spark, str(tmp_path / missing)).collect()
+    real = tree.os.scandir
+
+    def scandir(path):
+        if str(path).endswith("shut"):
+            raise PermissionError(path)
+        return real(path)
+
+    monkeypatch.setattr(tree.os, "scandir", scandir)
+    assert sorted(tree._entries(str(tmp_path), "shut", False)) == [("shut/", False, None)]
+    with pytest.raises(PermissionError):
+        list(tree._entries(str(tmp_path), "shut", True))
+    table = spark.createDataFrame([("shut/", None, None, None)], schema.FILES)
+    assert table.select(skip_reason()).first()[0] == "unreadable"
+
+
+def test_single_file_by_uri(spark, tmp_path):
+    write(tmp_path, {"a.py": 'password = "supersecret"\n'})
+    rows = scan(read_tree(spark, f"file://{tmp_path}/a.py")).collect()
+    assert [(r["rule_id"], r["file_path"]) for r in rows] == [("SEC001", ".")]
+
+
 def test_listing_many_entries(spark, tmp_path):
     write(tmp_path, {f"d{i % 7}/f{i}.py": "" for i in range(700)})
     assert list_tree(spark, str(tmp_path)).count() == 700
