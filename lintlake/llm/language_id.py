@@ -43,8 +43,8 @@ def _keys(data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> np.ndar
     begins = offsets[np.searchsorted(offsets, low - ORDER) : np.searchsorted(offsets, high)]
     for back in range(1, ORDER + 1):
         before = np.full(high - low, _PAD, U8)
-        from_ = max(low - back, 0)
-        before[back - (low - from_) :] = data[from_ : high - back]
+        own = data[max(low - back, 0) : max(high - back, 0)]
+        before[high - low - len(own) :] = own
         # The first bytes of a text have others' bytes before them.
         pad = (begins[:, None] + np.arange(back)).ravel() if len(begins) else begins
         pad = pad[(pad >= low) & (pad < high)]
