@@ -115,8 +115,7 @@ class Model:
                 # The first byte of a key is what its context begins with: keys sort by context.
                 self.orders.insert(0, (_Table(keys, below[1]), _Table(contexts, escape)))
             else:
-                self.single = np.zeros((256, len(langs)))
-                self.single[:] = escape[0] + 8.0
+                self.single = np.full((256, len(langs)), 8.0) + escape.sum(axis=0)
                 self.single[keys.astype(np.int64)] = below[1]
 
     def lengths(self, keys: np.ndarray) -> np.ndarray:
