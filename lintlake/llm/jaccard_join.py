@@ -30,7 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE = 5
 PERCENT = 75
 #: Shingles that one task counts, and that one block of a group holds, about.
-BUCKET = 1_000_000
+BUCKET = 4_000_000
 BLOCK = 2_000_000
 #: A batch reports shingles that so many of its classes have. Shingles that make more than one
 #: in MOST_COMMON of all are known to every task, eight megabytes at most.
@@ -118,28 +118,26 @@ def _common_tokens(classes: DataFrame, total: int) -> tuple[np.ndarray, np.ndarr
     return token[order], np.minimum(uses[order], np.iinfo(U4).max).astype(U4)
 
 
-def _pack(bucket: np.ndarray, owner: np.ndarray, token: np.ndarray, uses: np.ndarray, key: np.ndarray, size: np.ndarray) -> tuple:
-    """Entries sorted by bucket and owner as one row per bucket. `owner` tells the runs apart
-    that share a class `key` and its `size`, both given per entry."""
+def _pack(bucket: np.ndarray, owner: np.ndarray, token: np.ndarray, uses: np.ndarray) -> tuple:
+    """Shingles sorted by bucket and owner as one row per bucket: shingles, their uses (or
+    none), the owners and how many shingles each has."""
     run = np.ones(len(token), bool)
     run[1:] = (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])
     heads = np.flatnonzero(run)
     counts = np.diff(np.append(heads, len(token))).astype(U4)
-    key, size = key[heads], size[heads].astype(U4)
     present, at = np.unique(bucket, return_index=True)
     rows = np.searchsorted(heads, np.append(at, len(token)))
-    packed = [
-        (token[a:b].tobytes(), uses[a:b].tobytes(), key[p:q].tobytes(), size[p:q].tobytes(), counts[p:q].tobytes())
+    owners = owner[heads]
+    return present.tolist(), [
+        (token[a:b].tobytes(), uses[a:b].tobytes(), owners[p:q].tobytes(), b"", counts[p:q].tobytes())
         for a, b, p, q in zip(at, np.append(at[1:], len(token)), rows[:-1], rows[1:])
     ]
-    return present, list(zip(*packed)) or [[]] * 5
 
 
-def _packed_batch(*parts: tuple) -> pa.RecordBatch:
-    names = [np.concatenate([present for present, _ in parts])]
-    columns = [[x for _, c in parts for x in c[k]] for k in range(5)]
+def _batch(buckets: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 5
     return pa.RecordBatch.from_arrays(
-        [pa.array(names[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns]],
+        [pa.array(buckets, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]],
         names=["bucket", "tokens", "uses", "classes", "sizes", "counts"],
     )
 
@@ -148,11 +146,29 @@ def _part(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> U8(32)) * U8(buckets) >> U8(32)).astype(np.int64)
 
 
+def _by_class(classes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, token: np.ndarray, uses: np.ndarray, buckets: int) -> tuple:
+    """A row for each bucket of classes: the classes, their sizes, and their common shingles,
+    `counts` for each, which lie by class."""
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    order = np.argsort(classes)
+    bucket = _part(classes[order], buckets)
+    present, at = np.unique(bucket, return_index=True)
+    rows = []
+    for low, high in zip(at, np.append(at[1:], len(order))):
+        own = order[low:high]
+        some = np.concatenate([np.arange(ends[k], ends[k + 1]) for k in own])
+        rows.append(
+            (token[some].tobytes(), uses[some].tobytes(), classes[own].tobytes(),
+             sizes[own].astype(U4).tobytes(), counts[own].astype(U4).tobytes())
+        )
+    return (-1 - present).tolist(), rows
+
+
 def _packed(shingle: int, buckets: int, common: tuple[np.ndarray, np.ndarray]):
-    """Each class that a task meets, once, packed by bucket for about a million shingles.
+    """Each class that a task meets, once, packed for about a million shingles at a time.
 
-    Common shingles go by their class, in buckets below 0, with the uses that are known; the
-    others by their own hash, to be counted.
+    Its size and its common shingles, with the uses that are known, go by the class, in buckets
+    below 0; other shingles go by their own hash, to be counted.
     """
 
     def packed(held: list) -> pa.RecordBatch:
@@ -161,16 +177,13 @@ def _packed(shingle: int, buckets: int, common: tuple[np.ndarray, np.ndarray]):
         at = np.searchsorted(common[0], made)
         known = at < len(common[0])
         known[known] = common[0][at[known]] == made[known]
-        parts = []
-        for kind in (False, True):
-            token, own = made[known == kind], owner[known == kind]
-            uses = common[1][at[known]] if kind else np.empty(0, U4)
-            bucket = -1 - _part(classes[own], buckets) if kind else _part(token, buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket, token, own = bucket[order], token[order], own[order]
-            uses = uses[order] if kind else uses
-            parts.append(_pack(bucket, own, token, uses, classes[own], sizes[own]))
-        return _packed_batch(*parts)
+        counts = np.bincount(owner[known], minlength=len(sizes))
+        names, rows = _by_class(classes, sizes, counts, made[known], common[1][at[known]], buckets)
+        token, owner = made[~known], owner[~known]
+        bucket = _part(token, buckets)
+        order = np.argsort(bucket, kind="stable")
+        more, others = _pack(bucket[order], classes[owner[order]], token[order], np.empty(0, U4))
+        return _batch(names + more, rows + others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, total = set(), [], 0
@@ -198,44 +211,43 @@ def _unpacked(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def _expanded(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Shingles with their class and its size, one entry each."""
-    counts = _unpacked(table, "counts", U4)
-    return (
-        _unpacked(table, "tokens", U8),
-        np.repeat(_unpacked(table, "classes", U8), counts),
-        np.repeat(_unpacked(table, "sizes", U4), counts),
-    )
-
-
 def _shared_tokens(buckets: int):
-    """Of a bucket the shingles that two classes or more have, packed by bucket of the class."""
+    """Of a bucket the shingles that two classes or more have, packed by bucket of the class.
 
-    def run(table: pa.Table) -> pa.Table:
-        if table.num_rows and table.column("bucket")[0].as_py() < 0:
-            of_class = pc.subtract(-1, table.column("bucket"))
-            return table.set_column(0, "bucket", of_class)
-        token, owner, size = _expanded(table)
-        order = np.argsort(token, kind="stable")
-        token, owner, size = token[order], owner[order], size[order]
+    A bucket is sorted in parts of about a million shingles.
+    """
+
+    def shared(token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(token)
+        token, owner = token[order], owner[order]
         same = np.zeros(len(token) + 1, bool)
         same[1:-1] = token[1:] == token[:-1]
         many = same[1:] | same[:-1]
-        token, owner, size = token[many], owner[many], size[many]
+        token, owner = token[many], owner[many]
         # A class that several tasks met counts once.
         order = np.lexsort((owner, token))
-        token, owner, size = token[order], owner[order], size[order]
+        token, owner = token[order], owner[order]
         first = np.ones(len(token), bool)
         first[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        token, owner, size = token[first], owner[first], size[first]
+        token, owner = token[first], owner[first]
         _, index, uses = np.unique(token, return_inverse=True, return_counts=True)
         uses = np.minimum(uses, np.iinfo(U4).max).astype(U4)[index]
-        shared = uses > 1
-        token, owner, size, uses = token[shared], owner[shared], size[shared], uses[shared]
+        two = uses > 1
+        return token[two], owner[two], uses[two]
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.num_rows and table.column("bucket")[0].as_py() < 0:
+            return table.set_column(0, "bucket", pc.subtract(-1, table.column("bucket")))
+        token, classes = _unpacked(table, "tokens", U8), _unpacked(table, "classes", U8)
+        run_ = np.repeat(np.arange(len(classes), dtype=U4), _unpacked(table, "counts", U4))
+        parts = -(-len(token) // (1 << 20)) or 1
+        part = ((token & U8(0xFFFFFFFF)) * U8(parts) >> U8(32)).astype(np.uint16)
+        found = [shared(token[mine], classes[run_[mine]]) for mine in (part == k for k in range(parts))]
+        token, owner, uses = (np.concatenate(column) for column in zip(*found))
         # Buckets are ranges of the class's hash, so classes sort the buckets too.
         order = np.argsort(owner, kind="stable")
-        token, owner, size, uses = token[order], owner[order], size[order], uses[order]
-        return pa.Table.from_batches([_packed_batch(_pack(_part(owner, buckets), owner, token, uses, owner, size))])
+        token, owner, uses = token[order], owner[order], uses[order]
+        return pa.Table.from_batches([_batch(*_pack(_part(owner, buckets), owner, token, uses))])
 
     return run
 
@@ -249,25 +261,33 @@ def _sets(percent: int):
     """Classes that may link at all: their shared shingles, and the rarest of them as prefix."""
 
     def run(table: pa.Table) -> pa.Table:
-        token, owner, size = _expanded(table)
-        uses = _unpacked(table, "uses", U4)
+        token, uses = _unpacked(table, "tokens", U8), _unpacked(table, "uses", U4)
+        classes, counts = _unpacked(table, "classes", U8), _unpacked(table, "counts", U4)
+        owner = np.repeat(classes, counts)
+        # Sizes come with the classes' own rows.
+        sized = [row.as_py() for row in table.column("sizes")]
+        named = [row.as_py() if size else b"" for row, size in zip(table.column("classes"), sized)]
+        known, at = np.unique(np.frombuffer(b"".join(named), U8), return_index=True)
+        sizes = np.frombuffer(b"".join(sized), U4)[at].astype(np.int64)
         order = np.lexsort((token, uses, owner))
-        token, owner, size = token[order], owner[order], size[order].astype(np.int64)
+        token, owner = token[order], owner[order]
         # A common shingle comes from every task that met the class.
         first = np.ones(len(token), bool)
         first[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        token, owner, size = token[first], owner[first], size[first]
-        heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(token) else np.empty(0, np.int64)
+        token, owner = token[first], owner[first]
+        new = np.ones(len(token), bool)
+        new[1:] = owner[1:] != owner[:-1]
+        heads = np.flatnonzero(new)
         counts = np.diff(np.append(heads, len(token)))
-        n = size[heads]
+        n = sizes[np.searchsorted(known, owner[heads])]
         # The prefix is the n - ceil(percent * n / 100) + 1 rarest; shingles of its own come first.
         prefix = n + (-percent * n) // 100 + 1 - (n - counts)
         may = prefix > 0
-        keep_ = np.repeat(may, counts)
+        kept = np.repeat(may, counts)
         rank = np.arange(len(token)) - np.repeat(heads, counts)
-        front = keep_ & (rank < np.repeat(prefix, counts))
+        front = kept & (rank < np.repeat(prefix, counts))
         return pa.table(
-            [_signed(owner[heads][may]), pa.array(n[may]), _lists(token[keep_], counts[may]),
+            [_signed(owner[heads][may]), pa.array(n[may]), _lists(token[kept], counts[may]),
              _lists(token[front], np.minimum(prefix, counts)[may])],
             names=["class", "n", "tokens", "prefix"],
         )
