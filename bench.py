@@ -23,6 +23,7 @@ HEADLINE = [
     "scan_pages",
     "scan_conversations",
     "scan_rendered",
+    "dense_rule_counts",
     "ordered_findings",
     "min_severity_high",
     "summary_documents",

@@ -221,6 +221,17 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_table(rows, "path", "text", size=size)
 
 
+# How often `dense` holds each rendered file.
+COPIES = 16
+
+
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short files in which most lines match a rule: the rendered ones under several paths."""
+    files = rendered(spark, sf_dir).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
+    path = F.concat_ws("/", F.concat(F.lit("copy"), "copy"), "path")
+    return files.withColumn("path", path).drop("copy")
+
+
 def documents(spark: SparkSession, sf_dir: str, language: str = "python") -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return from_table(table.repartition(TASKS), "doc_id", "text", language)

@@ -108,6 +108,15 @@ def rule_counts(spark, sf):
     return metrics.rule_counts(rendered_scan(spark, sf))
 
 
+@query("dense_rule_counts", found(
+    TREE,
+    f"SELECT rule_id, title, severity, category, count(*) * {corpora.COPIES} AS findings, "
+    f"count(DISTINCT file_path) * {corpora.COPIES} AS files FROM findings GROUP BY ALL"))
+def dense_rule_counts(spark, sf):
+    """Counts by rule over short files full of matches."""
+    return metrics.rule_counts(scan_files(scannable(corpora.dense(spark, sf))))
+
+
 @query("scan_rendered", found(TREE, SELECT_ALL))
 def scan_rendered(spark, sf):
     return scan(tree_files(spark, sf)).select(ORDERED)
