@@ -24,11 +24,11 @@ class Tree:
 
     def __init__(self, sizes: np.ndarray, tokens: list[np.ndarray], bits: int):
         self.order = np.argsort(sizes, kind="stable")
-        signatures = np.zeros((len(sizes), bits // 64), np.uint64)
-        for row, at in enumerate(self.order):
-            bit = tokens[at] & np.uint64(bits - 1)
-            np.bitwise_or.at(signatures[row], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
         held = np.array([len(tokens[at]) for at in self.order], np.int64)
+        set_bits = np.zeros((len(sizes), bits), np.uint8)
+        bit = np.concatenate([tokens[at] for at in self.order]) & np.uint64(bits - 1)
+        set_bits[np.repeat(np.arange(len(sizes)), held), bit.astype(np.int64)] = 1
+        signatures = np.packbits(set_bits, axis=1).view(np.uint64)
         # Tokens of a set beyond its bits: by so many a count of common bits may fall short.
         hidden = held - np.bitwise_count(signatures).sum(axis=1, dtype=np.int64)
         ordered = sizes[self.order].astype(np.int64)
@@ -52,16 +52,38 @@ def _possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int) ->
     (bits_a, min_a, max_a, hid_a), (bits_b, min_b, max_b, hid_b) = a, b
     min_a, max_a, min_b, max_b = min_a[i][:, None], max_a[i][:, None], min_b[j], max_b[j]
     fits = (100 * max_a >= percent * min_b) & (100 * max_b >= percent * min_a)
-    common = np.zeros((len(i), len(j)), np.int64)
-    for word in range(bits_a.shape[1]):
-        common += np.bitwise_count(bits_a[i, word][:, None] & bits_b[j, word])
+    common = np.bitwise_count(bits_a[i][:, None, :] & bits_b[j]).sum(axis=2, dtype=np.int64)
     most = common + np.minimum(hid_a[i][:, None], hid_b[j])
     return fits & ((100 + percent) * most >= percent * (min_a + min_b))
 
 
 def _bits(sizes: np.ndarray) -> int:
-    """Bits for a signature: four for each token of a large set, as a power of two."""
-    return 1 << min(max(int(np.quantile(sizes, 0.9) * 4).bit_length(), 9), 14)
+    """Bits for a signature: four for each token of the largest set, as a power of two."""
+    return 1 << min(max(int(sizes.max() * 4).bit_length(), 9), 14)
+
+
+def _counter(tokens: list[np.ndarray]):
+    """A function that counts what two of the sets have in common."""
+    if len(tokens) <= _LEAF:
+
+        def few(p: int, q: int) -> int:
+            both = np.concatenate([tokens[p], tokens[q]])
+            both.sort()
+            return int(np.count_nonzero(both[1:] == both[:-1]))
+
+        return few
+    vocabulary, ids = np.unique(np.concatenate(tokens), return_inverse=True)
+    ends = np.cumsum([0, *map(len, tokens)])
+    own = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    marked = np.zeros(len(vocabulary), bool)
+
+    def many(p: int, q: int) -> int:
+        marked[own[p]] = True
+        both = int(np.count_nonzero(marked[own[q]]))
+        marked[own[p]] = False
+        return both
+
+    return many
 
 
 def links(sizes: np.ndarray, tokens: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -79,10 +101,7 @@ def links(sizes: np.ndarray, tokens: list[np.ndarray], side: np.ndarray, percent
         return []
     left, right = trees[0], trees[-1]
     at_left, at_right = rows[0][left.order], rows[-1][right.order]
-    vocabulary, ids = np.unique(np.concatenate(tokens), return_inverse=True)
-    ends = np.cumsum([0, *map(len, tokens)])
-    own = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    marked = np.zeros(len(vocabulary), bool)
+    common = _counter(tokens)
     parent = np.arange(len(sizes))
 
     def root(x: int) -> int:
@@ -115,10 +134,8 @@ def links(sizes: np.ndarray, tokens: list[np.ndarray], side: np.ndarray, percent
             p, q = int(at_left[x]), int(at_right[y])
             if p == q or root(p) == root(q):
                 continue
-            marked[own[p]] = True
-            common = int(np.count_nonzero(marked[own[q]]))
-            marked[own[p]] = False
-            if common and (100 + percent) * common >= percent * int(sizes[p] + sizes[q]):
+            both = common(p, q)
+            if both and (100 + percent) * both >= percent * int(sizes[p] + sizes[q]):
                 parent[max(root(p), root(q))] = min(root(p), root(q))
                 found.append((p, q))
     return found

@@ -143,3 +143,11 @@ def starts(bounds: np.ndarray, n: int, count: int) -> np.ndarray:
     """Which of the first `count` words have n words of their own text from there on."""
     own = np.repeat(bounds[1:], np.diff(bounds))[:count]
     return np.arange(count) + n <= own
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The distinct hashes, sorted; the array itself is sorted on the way."""
+    hashes.sort()
+    first = np.ones(len(hashes), bool)
+    first[1:] = hashes[1:] != hashes[:-1]
+    return hashes[first]
