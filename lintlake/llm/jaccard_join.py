@@ -466,7 +466,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """One document of each component, with all its columns as they are: the one of least id.
 
-    Among rows of that id the one with the least hash of its text stays, once.
+    Among rows of that id the one with the least hash of its text stays, among those with equal
+    texts the one whose columns hash least.
     """
     joined = join(docs, doc_id, text, **limits)
     stays = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -475,7 +476,7 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     rows = boxed(docs, _id=F.col(doc_id).cast("bigint"), _tag=F.xxhash64(F.col(text)))
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tag") == F.col("tag"))
     left = rows.join(stays, same, "left_semi")
-    once = Window.partitionBy("_id", "_tag").orderBy(F.lit(0))
+    once = Window.partitionBy("_id", "_tag").orderBy(F.xxhash64("row"))
     return left.withColumn("_turn", F.row_number().over(once)).where("_turn = 1").select("row.*")
 
 
