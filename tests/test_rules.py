@@ -132,6 +132,13 @@ def test_selection_keeps_positions():
         builtin_rules().at_least("worst")
 
 
+def test_what_is_broadcast_holds_the_chosen_rules_only(spark):
+    chosen = builtin_rules().only(categories=["injection"])
+    rows = chosen.by_language(spark).selectExpr("inline(flatten(transform(groups, g -> g.checks)))")
+    wanted = {k for k, rule in enumerate(builtin_rules()) if rule.category == "injection"}
+    assert {row["ord"] for row in rows.collect()} == wanted
+
+
 def test_rule_tables(spark):
     table = builtin_rules().table(spark)
     assert duplicate_ids(table).count() == 0
