@@ -207,10 +207,6 @@ def _packed(shingle: int, buckets: int, common: tuple[np.ndarray, np.ndarray]):
     return run
 
 
-def _unpacked(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-
-
 def _shared_tokens(buckets: int):
     """Of a bucket the shingles that two classes or more have, packed by bucket of the class.
 
@@ -238,8 +234,11 @@ def _shared_tokens(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         if table.num_rows and table.column("bucket")[0].as_py() < 0:
             return table.set_column(0, "bucket", pc.subtract(-1, table.column("bucket")))
-        token, classes = _unpacked(table, "tokens", U8), _unpacked(table, "classes", U8)
-        run_ = np.repeat(np.arange(len(classes), dtype=U4), _unpacked(table, "counts", U4))
+        token, classes, counts = (
+            tokens.packed(table.column(name), kind)
+            for name, kind in (("tokens", U8), ("classes", U8), ("counts", U4))
+        )
+        run_ = np.repeat(np.arange(len(classes), dtype=U4), counts)
         parts = -(-len(token) // (1 << 20)) or 1
         part = ((token & U8(0xFFFFFFFF)) * U8(parts) >> U8(32)).astype(np.uint16)
         found = [shared(token[mine], classes[run_[mine]]) for mine in (part == k for k in range(parts))]
@@ -261,8 +260,10 @@ def _sets(percent: int):
     """Classes that may link at all: their shared shingles, and the rarest of them as prefix."""
 
     def run(table: pa.Table) -> pa.Table:
-        token, uses = _unpacked(table, "tokens", U8), _unpacked(table, "uses", U4)
-        classes, counts = _unpacked(table, "classes", U8), _unpacked(table, "counts", U4)
+        token, uses, classes, counts = (
+            tokens.packed(table.column(name), kind)
+            for name, kind in (("tokens", U8), ("uses", U4), ("classes", U8), ("counts", U4))
+        )
         owner = np.repeat(classes, counts)
         # Sizes come with the classes' own rows.
         sized = [row.as_py() for row in table.column("sizes")]

@@ -77,6 +77,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def packed(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The numbers that a binary column's values hold, end to end, copied once."""
+    parts = [np.empty(0, kind)]
+    for chunk in column.chunks:
+        offset_kind = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+        _, ends, data = chunk.buffers()
+        if data is not None and len(chunk):
+            offsets = np.frombuffer(ends, offset_kind)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind))
+    return np.concatenate(parts)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 22):
     """Batches cut so that a column's texts have about `size` bytes together."""
     for batch in batches:
