@@ -89,7 +89,9 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fold the sorted events of a task, one conversation after the other."""
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(span)]
+    columns = ("conv_id", "kind", "role", "text")
     current, messages, done, chars = None, [], [], 0
 
     def finished():
@@ -97,11 +99,12 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=["conv_id", "n_turns", "formatted", "loss"]
+            [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)],
+            names=["conv_id", "n_turns", "formatted", "loss"],
         )
 
     for batch in batches:
-        for conv, kind, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "kind", "role", "text"))):
+        for conv, kind, role, text in zip(*(batch.column(c).to_pylist() for c in columns)):
             if current is None or current[0] != conv:
                 if current is not None:
                     done.append(finished())
@@ -116,7 +119,14 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(done)
 
 
-def format_chats(events: DataFrame, conv_id: str = "conv_id", seq: str = "turn", role: str = "role", text: str = "text", kind: str | None = None) -> DataFrame:
+def format_chats(
+    events: DataFrame,
+    conv_id: str = "conv_id",
+    seq: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    kind: str | None = None,
+) -> DataFrame:
     """One row per conversation: conv_id, n_turns, formatted, loss (spans of code points).
 
     A null text or role is an empty one; rows of a null conversation are one conversation. A

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,3 +65,26 @@ def running(table: DataFrame, keys: list[str], part: str, order: list, amount: C
         .withColumn(name, F.col("_before") + F.col("_within"))
         .drop("_before", "_within", *[f"_{k}" for k in (*keys, part)])
     )
+
+
+#: Rows of texts that an executor's JVM and Python hold at a time, for operators that store
+#: what they read within the call.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_small_batches(run: Callable) -> Callable:
+    """Run an operator whose first argument is its table with small Arrow batches, so that
+    what Spark and Python hold of the texts stays small beside what the work needs."""
+
+    @wraps(run)
+    def wrapped(docs: DataFrame, *args, **kwargs):
+        conf = docs.sparkSession.conf
+        before = conf.get(_BATCH_SETTING)
+        conf.set(_BATCH_SETTING, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+        try:
+            return run(docs, *args, **kwargs)
+        finally:
+            conf.set(_BATCH_SETTING, before)
+
+    return wrapped

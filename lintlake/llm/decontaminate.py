@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm import bits, tokens
-from lintlake.llm.columns import boxed
+from lintlake.llm.columns import boxed, in_small_batches
 from lintlake.sources.store import keep
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -91,7 +91,8 @@ def _document_windows(table: np.ndarray, lengths: list[int]):
                 at = np.flatnonzero(bits.passes(table, prints))
                 at = at[tokens.starts(bounds, n, len(whole))[at]]
                 found.append((at, np.full(len(at), n, np.int32), prints[at], whole[at]))
-            at, n, prints, whole = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 4
+            found = found or [(np.empty(0, np.int64),) * 4]
+            at, n, prints, whole = (np.concatenate(column) for column in zip(*found))
             order = np.argsort(at, kind="stable")
             at = at[order]
             doc = np.searchsorted(bounds, at, "right") - 1
@@ -130,7 +131,10 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), begin, add, lambda state: state["hit"])
 
 
-def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+@in_small_batches
+def report(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """One row per document: doc_id, tag, n_words, n_hit, n_items, items, contaminated.
 
     A word is hit that lies inside an occurrence of an item's window; `items` are the ids, as
@@ -181,7 +185,9 @@ def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     )
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def clean_documents(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """The documents without a hit word, with all their columns as they are."""
     # Stored, so that its size is known before the join and few hits move no text.
     hit = keep(report(docs, items, doc_id, text).where("contaminated").select("doc_id", "tag").distinct())

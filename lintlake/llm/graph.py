@@ -40,14 +40,23 @@ class Union:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of one task as links to the least key each of its nodes reaches."""
+    """The edges of one task, some at a time, as links to the least key their nodes reach."""
+    union, held = Union(), 0
+
+    def links() -> pa.RecordBatch:
+        nodes = np.fromiter(union.parent, np.int64, len(union.parent))
+        roots = np.fromiter((union.find(x) for x in nodes.tolist()), np.int64, len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["u", "v"])
+
     for batch in batches:
-        union = Union()
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             union.join(u, v)
-        nodes = np.fromiter(union.parent, np.int64, len(union.parent))
-        roots = np.fromiter((union.find(x) for x in nodes.tolist()), np.int64, len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["u", "v"])
+        held += len(batch)
+        if held >= 100_000:
+            yield links()
+            union, held = Union(), 0
+    if held:
+        yield links()
 
 
 def _larger_to_least(edges: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm import signature_tree, tokens
-from lintlake.llm.columns import boxed, running
+from lintlake.llm.columns import boxed, in_small_batches, running
 from lintlake.llm.graph import components
 from lintlake.sources.store import keep, release
 
@@ -146,7 +146,14 @@ def _part(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> U8(32)) * U8(buckets) >> U8(32)).astype(np.int64)
 
 
-def _by_class(classes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, token: np.ndarray, uses: np.ndarray, buckets: int) -> tuple:
+def _by_class(
+    classes: np.ndarray,
+    sizes: np.ndarray,
+    counts: np.ndarray,
+    token: np.ndarray,
+    uses: np.ndarray,
+    buckets: int,
+) -> tuple:
     """A row for each bucket of classes: the classes, their sizes, and their common shingles,
     `counts` for each, which lie by class."""
     ends = np.concatenate([[0], np.cumsum(counts)])
@@ -371,7 +378,8 @@ def _block_links(low: DataFrame, high: DataFrame | None, sets: DataFrame, percen
     near enough, or of each block of `low` with itself."""
     sets = sets.select("class", "tokens")
     if high is None:
-        pairs = low.select("group", F.col("block").alias("low"), F.col("block").alias("high"), F.lit(0).alias("side"), "class", "n")
+        own = [F.col("block").alias(name) for name in ("low", "high")]
+        pairs = low.select("group", *own, F.lit(0).alias("side"), "class", "n")
     else:
         def ends(placed: DataFrame, name: str) -> DataFrame:
             least, most = F.min("n").alias(f"{name}_least"), F.max("n").alias(f"{name}_most")
@@ -380,7 +388,10 @@ def _block_links(low: DataFrame, high: DataFrame | None, sets: DataFrame, percen
         near = (
             ends(low, "low")
             .join(ends(high, "high"), "group")
-            .where((100 * F.col("low_most") >= percent * F.col("high_least")) & (100 * F.col("high_most") >= percent * F.col("low_least")))
+            .where(
+                (100 * F.col("low_most") >= percent * F.col("high_least"))
+                & (100 * F.col("high_most") >= percent * F.col("low_least"))
+            )
             .select("group", "low", "high")
         )
         columns = ["group", "low", "high", "side", "class", "n"]
@@ -397,7 +408,9 @@ def _component(placed: DataFrame, links: DataFrame) -> DataFrame:
     return placed.join(found, "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
-def verified_links(sets: DataFrame, grouped: DataFrame, percent: int, block: int = BLOCK, load=None) -> DataFrame:
+def verified_links(
+    sets: DataFrame, grouped: DataFrame, percent: int, block: int = BLOCK, load=None
+) -> DataFrame:
     """Links (u, v) that connect all classes which similar pairs within groups connect.
 
     `sets` has class, n and tokens, an array of hashes or what `load` makes them of; `grouped`
@@ -419,7 +432,8 @@ def verified_links(sets: DataFrame, grouped: DataFrame, percent: int, block: int
     inside = keep(_component(placed.join(large, "group", "left_semi"), links))
     first = inside.groupBy("group", "block", "root").agg(F.min("class").alias("class")).select("class", "group")
     drawn = inside.where(F.xxhash64("class") % SAMPLE == 0).select("class", "group")
-    sample = first.unionByName(drawn).distinct().join(inside.select("class", "group", "n", "weight"), ["class", "group"])
+    light = inside.select("class", "group", "n", "weight")
+    sample = first.unionByName(drawn).distinct().join(light, ["class", "group"])
     sample = keep(_placed(sample, block))
     links = keep(links.unionByName(_block_links(sample, sample, sets, percent, load)))
     inside = keep(_component(inside.drop("root"), links))
@@ -431,7 +445,15 @@ def verified_links(sets: DataFrame, grouped: DataFrame, percent: int, block: int
     return links.unionByName(rest)
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+@in_small_batches
+def join(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = SHINGLE,
+    percent: int = PERCENT,
+    block: int = BLOCK,
+) -> DataFrame:
     """One row per document: doc_id, tag, n_shingles, component_id.
 
     The component is the smallest doc_id that links reach. Two documents link when percent of

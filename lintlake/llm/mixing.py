@@ -123,7 +123,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         laid.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "mark")
     )
     release(sizes)
-    rounds = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("target") / F.col("source_size")), F.lit(1)) - 1))
+    times = F.greatest(F.ceil(F.col("target") / F.col("source_size")), F.lit(1))
+    rounds = F.explode(F.sequence(F.lit(0), times - 1))
     passes = sized.where("size > 0").withColumn("round", rounds)
     low = F.col("round") * F.col("source_size") + F.col("start")
     passes = passes.withColumn("low", low).withColumn(
@@ -133,7 +134,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     pieces = passes.withColumn("block", F.explode(F.sequence(first, last)))
     words = F.least("high", (F.col("block") + 1) * slot_words) - F.greatest("low", F.col("block") * slot_words)
     pieces = pieces.select("source", "block", "part", "place", "doc_id", words.alias("words"))
-    slots = schedule(wanted, slot_words).select(F.col("source").alias("_source"), F.col("block").alias("_block"), "position")
+    slots = schedule(wanted, slot_words).select(
+        F.col("source").alias("_source"), F.col("block").alias("_block"), "position"
+    )
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
     return sized, pieces.join(slots, same).drop("_source", "_block")
 
