@@ -218,3 +218,17 @@ def test_bands_find_what_is_similar():
         bands = line_dedup.signatures([" ".join(line).encode(), " ".join(other).encode()])
         found += bool((bands[0] == bands[1]).any())
     assert found >= 0.97 * n
+
+
+def test_short_lines_are_compared(spark):
+    """Equal lines of any length are copies, near ones from a shingle's length on."""
+    notice, other = "All rights reserved.", "Licensed under the CC BY-NC 4.0."
+    rows = [
+        (1, f"{notice}\nMIT\n日本\n\n{other}"), (2, f" {notice}\r\nGPL\n\nown words of two\n日本"),
+        (3, f"MIT\nown words of three\nMIT\n{other[:-1]}"), (4, f"{notice}\n MIT"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["removed"]) for r in line_dedup.repeated_lines(table).collect()}
+    assert got == {1: (4, []), 2: (4, [0, 4]), 3: (4, [0, 2, 3]), 4: (2, [0, 1])}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(table).collect()}
+    assert left == {1: rows[0][1], 2: "GPL\n\nown words of two", 3: "own words of three"}
