@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm import signature_tree, tokens
-from lintlake.llm.columns import boxed, in_small_batches, running
+from lintlake.llm.columns import NO_SPACE, boxed, in_small_batches, running
 from lintlake.llm.graph import components
 from lintlake.sources.store import keep, release
 
@@ -446,7 +446,7 @@ def verified_links(
 
 
 @in_small_batches
-def join(
+def _rooted(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -454,13 +454,7 @@ def join(
     percent: int = PERCENT,
     block: int = BLOCK,
 ) -> DataFrame:
-    """One row per document: doc_id, tag, n_shingles, component_id.
-
-    The component is the smallest doc_id that links reach. Two documents link when percent of
-    the union of their shingles is common to them. A text of fewer words is one shingle; a null
-    text or one without words has none, links with nothing and is its own component. `tag`
-    hashes the text. Repeated rows are of one class; an empty table gives an empty one.
-    """
+    """One row per document: doc_id, tag, n and root, the component's class, null without shingles."""
     chosen = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text")
     )
@@ -477,7 +471,19 @@ def join(
     release(sets, grouped)
     linked = found.select(F.col("node").alias("class"), "root")
     rooted = classes.join(linked, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rooted = rooted.withColumn("root", F.when(F.col("n") > 0, F.col("root")))
+    return rooted.select("doc_id", "tag", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"))
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+    """One row per document: doc_id, tag, n_shingles, component_id.
+
+    The component is the smallest doc_id that links reach. Two documents link when percent of
+    the union of their shingles is common to them. A text of fewer words is one shingle; a null
+    text or one without words has none, links with nothing and is its own component. `tag`
+    hashes the text. Repeated rows are of one class; an empty table gives an empty one. The
+    `limits` are shingle, percent and block.
+    """
+    rooted = _rooted(docs, doc_id, text, **limits)
     # Stored, so that the join below is of two plain tables and a class of very many copies splits.
     least = keep(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")))
     return rooted.join(least, "root", "left").select(
@@ -489,18 +495,22 @@ def join(
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """One document of each component, with all its columns as they are: the one of least id.
 
-    Among rows of that id the one with the least hash of its text stays, among those with equal
-    texts the one whose columns hash least.
+    A null id comes after all others. Among rows of that id the one with the least hash of its
+    text stays, among those with equal texts the one whose columns hash least. Components are
+    told apart by their texts, so unrelated texts of one id, or of none, all stay; so does every
+    row without shingles.
     """
-    joined = join(docs, doc_id, text, **limits)
-    stays = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Of an id that rows with different texts share, one row; so also of repeated rows.
-    stays = keep(stays.groupBy("doc_id").agg(F.min("tag").alias("tag")))
-    rows = boxed(docs, _id=F.col(doc_id).cast("bigint"), _tag=F.xxhash64(F.col(text)))
+    rooted = _rooted(docs, doc_id, text, **limits)
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tag")
+    first = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min(place).alias("first"))
+    stays = keep(first.select("first.doc_id", "first.tag"))
+    worded = F.coalesce(F.col(text).rlike(NO_SPACE), F.lit(False))
+    rows = boxed(docs, _id=F.col(doc_id).cast("bigint"), _tag=F.xxhash64(F.col(text)), _worded=worded)
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tag") == F.col("tag"))
-    left = rows.join(stays, same, "left_semi")
+    left = rows.where("_worded").join(stays, same, "left_semi")
     once = Window.partitionBy("_id", "_tag").orderBy(F.xxhash64("row"))
-    return left.withColumn("_turn", F.row_number().over(once)).where("_turn = 1").select("row.*")
+    left = left.withColumn("_turn", F.row_number().over(once)).where("_turn = 1")
+    return left.select("row.*").unionByName(rows.where("NOT _worded").select("row.*"))
 
 
 def sql(documents: str = "documents") -> str:

@@ -232,3 +232,16 @@ def test_short_lines_are_compared(spark):
     assert got == {1: (4, []), 2: (4, [0, 4]), 3: (4, [0, 2, 3]), 4: (2, [0, 1])}
     left = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(table).collect()}
     assert left == {1: rows[0][1], 2: "GPL\n\nown words of two", 3: "own words of three"}
+
+
+def test_first_of_each_keeps_unrelated_texts_of_one_id(spark):
+    copied, named = cases.prose(22, 50), cases.prose(23, 50)
+    rows = [
+        (19, cases.prose(20, 50), "a"), (19, cases.prose(21, 50), "b"), (None, copied, "c"), (None, copied, "c"),
+        (None, cases.prose(24, 50), "d"), (None, named, "e"), (7, named, "f"), (3, named, "g"), (3, cases.prose(25, 50), "h"),
+        (None, None, "i"), (None, None, "j"), (None, " ", "k"), (5, "", "l"), (5, "", "m"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, mark string")
+    left = jaccard_join.first_of_each(table)
+    assert left.columns == table.columns
+    assert sorted(r["mark"] for r in left.collect()) == list("abcdghijklm")
