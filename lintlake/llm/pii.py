@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.columns import bind, text_of, total
 
-# How far before a match context words count, and the score a proposed span needs.
+# How far before and after a match context words count, and the score a proposed span needs.
 CONTEXT_CHARS = 40
 NEEDED = 0.7
 _BLOCK = 64
@@ -124,18 +124,32 @@ def _before(values: Column) -> Column:
     return bind(values, sums)
 
 
+def _nearby(pieces: Column, start: Column, end: Column) -> Column:
+    """CONTEXT_CHARS of the text on both sides of a match, a newline in its place.
+
+    `pieces` are the text in runs of _BLOCK, so that a match costs the same wherever it is.
+    """
+
+    def cut(low: Column, high: Column) -> Column:
+        at = F.floor(low / _BLOCK).cast("int")
+        two = F.concat(*[F.coalesce(F.get(pieces, at + k), F.lit("")) for k in range(2)])
+        return F.substring(two, (low % _BLOCK + 1).cast("int"), (high - low).cast("int"))
+
+    return F.concat(cut(F.greatest(start - CONTEXT_CHARS, F.lit(0)), start), F.lit("\n"), cut(end, end + CONTEXT_CHARS))
+
+
 def _spans(text: Column, kind: Kind) -> Column:
     none = F.array().cast(_SPAN)
 
     def placed(matches: Column) -> Column:
-        def among(gaps: Column) -> Column:
+        def among(gaps: Column, pieces: Column) -> Column:
             steps = F.transform(
                 matches, lambda m, i: (F.length(F.get(gaps, i)) + F.length(m)).cast("bigint")
             )
 
             def span(match: Column, i: Column, before: Column) -> Column:
                 start = F.get(before, i) + F.length(F.get(gaps, i))
-                near = F.lower(F.right(F.get(gaps, i), F.lit(CONTEXT_CHARS))).rlike(kind.context)
+                near = F.lower(_nearby(pieces, start, start + F.length(match))).rlike(kind.context)
                 score = F.round(F.lit(kind.score) + F.when(near, kind.raised).otherwise(0.0), 2)
                 return F.struct(
                     F.lit(kind.name).alias("kind"),
@@ -149,7 +163,8 @@ def _spans(text: Column, kind: Kind) -> Column:
             good = F.filter(found, lambda s: s["valid"] & (F.lit(kind.base) | (s["score"] >= NEEDED)))
             return F.transform(good, lambda s: s.dropFields("valid"))
 
-        searched = bind(F.split(text, kind.pattern, -1), among)
+        cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+        searched = bind(F.split(text, kind.pattern, -1), lambda gaps: bind(cut, lambda pieces: among(gaps, pieces)))
         return F.when(F.size(matches) > 0, searched).otherwise(none)
 
     all_ = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))

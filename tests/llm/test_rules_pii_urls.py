@@ -137,3 +137,14 @@ def test_urls_against_brute_force(spark):
 def test_native(operator):
     source = open(operator.__file__).read()
     assert not re.search(r"pandas|pyarrow|mapIn|applyIn|\.rdd|udf", source)
+
+
+def test_pii_context_on_both_sides(spark):
+    far = " " + "x" * pii.CONTEXT_CHARS + " "
+    texts = [
+        "SSN 123-45-6789, 987-65-4321", "SSN (2024-01-02): 123-45-6789", "123-45-6789 (SSN)", f"ssn{far}123-45-6789{far}ssn",
+        "é日 " * 70 + "SSN 123-45-6789", "é日 " * 70 + "123-45-6789 is my Social security number" + " é" * 70,
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(table).collect()}
+    assert got == {0: "ssn:4:15,ssn:17:28", 1: "ssn:18:29", 2: "ssn:0:11", 3: "", 4: "ssn:214:225", 5: "ssn:210:221"}
