@@ -24,7 +24,7 @@ _SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 class Kind(NamedTuple):
     name: str
-    pattern: str  # Java
+    pattern: str  # Java; of an IBAN its start, with all that may belong to it as group 1
     plain: str  # the same matches, for SQL engines without lookbehind
     hint: str  # what every match holds
     score: float  # of a match that passes its check
@@ -51,7 +51,7 @@ KINDS = [
          "card|visa|credit|payment", 0.1, True),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]", r"\+", 0.8,
          "phone|call|tel|fax|mobile", 0.2, True),
-    Kind("iban", r"[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    Kind("iban", r"(?=([A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?[A-Z0-9]?))[A-Z][A-Z][0-9][0-9]",
          r"[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "[0-9]", 0.8,
          "iban|account|bank", 0.2, False),
     Kind("ssn", r"(?:\G|(?<![0-9]))[0-9]++-[0-9]++-[0-9]++", r"[0-9]+-[0-9]+-[0-9]+", "[0-9]-[0-9]",
@@ -59,6 +59,13 @@ KINDS = [
 ]
 BASE = [kind.name for kind in KINDS if kind.base]
 _ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Characters of an IBAN by country, as registered.
+_IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 "
+    "ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+    "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 "
+    "PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
 
 
 def luhn(digits: Column) -> Column:
@@ -92,12 +99,51 @@ def _valid(kind: str, match: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(8, 15)
     if kind == "iban":
-        return mod97(F.replace(match, F.lit(" "), F.lit("")))
+        return match != ""
     if kind == "ssn":
         return match.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
     return F.lit(True)
 
 
+def _iban(run: Column) -> Column:
+    """The start of a run that is an IBAN, else an empty string.
+
+    It ends where no digit or capital follows, has its country's length (of a country without a
+    registered one any from 12 to 34, the longest first) and passes the check.
+    """
+
+    def at(n: Column) -> Column:
+        return F.substring(F.concat(run, F.lit(" ")), n, F.lit(1))
+
+    def passes(start: Column) -> Column:
+        def checked(code: Column) -> Column:
+            known = F.position(F.left(code, F.lit(2)), F.lit(_IBAN_LENGTHS))
+            length = F.substring(F.lit(_IBAN_LENGTHS), known + 2, F.lit(2))
+            right = F.when(known > 0, F.length(code).cast("string") == length).otherwise(F.length(code).between(12, 34))
+            return F.when(right, mod97(code)).otherwise(False)
+
+        return bind(F.replace(start, F.lit(" "), F.lit("")), checked)
+
+    ends = F.filter(F.sequence(F.length(run), F.lit(12), F.lit(-1)), lambda n: (at(n) != " ") & (at(n + 1) == " "))
+    found = F.filter(F.transform(ends, lambda n: F.left(run, n)), passes)
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+
+
+def _apart(spans: Column) -> Column:
+    """Spans in order without those that begin within one before them that stays."""
+
+    def joined(kept: Column, span: Column) -> Column:
+        inside = F.coalesce(F.get(kept, F.size(kept) - 1)["end"] > span["start"], F.lit(False))
+        return F.when(inside, kept).otherwise(F.concat(kept, F.array(span)))
+
+    def sorted_out(spans: Column) -> Column:
+        begin = F.transform(spans, lambda s, i: F.coalesce(F.get(spans, i - 1)["end"] > s["start"], F.lit(False)))
+        clash = F.exists(begin, lambda b: b)
+        return F.when(clash, F.aggregate(spans, F.array().cast(_SPAN), joined)).otherwise(spans)
+
+    return bind(spans, sorted_out)
+
+
 def _before(values: Column) -> Column:
     """For each element the sum of those before it, added up by blocks."""
 
@@ -143,11 +189,18 @@ def _spans(text: Column, kind: Kind) -> Column:
 
     def placed(matches: Column) -> Column:
         def among(gaps: Column, pieces: Column) -> Column:
+            iban = kind.name == "iban"
             steps = F.transform(
-                matches, lambda m, i: (F.length(F.get(gaps, i)) + F.length(m)).cast("bigint")
+                matches,
+                lambda m, i: (F.length(F.get(gaps, i)) + (F.lit(4) if iban else F.length(m))).cast("bigint"),
             )
 
             def span(match: Column, i: Column, before: Column) -> Column:
+                if iban:
+                    return bind(_iban(match), lambda found: one(found, i, before))
+                return one(match, i, before)
+
+            def one(match: Column, i: Column, before: Column) -> Column:
                 start = F.get(before, i) + F.length(F.get(gaps, i))
                 near = F.lower(_nearby(pieces, start, start + F.length(match))).rlike(kind.context)
                 score = F.round(F.lit(kind.score) + F.when(near, kind.raised).otherwise(0.0), 2)
@@ -161,13 +214,14 @@ def _spans(text: Column, kind: Kind) -> Column:
 
             found = bind(_before(steps), lambda before: F.transform(matches, lambda m, i: span(m, i, before)))
             good = F.filter(found, lambda s: s["valid"] & (F.lit(kind.base) | (s["score"] >= NEEDED)))
-            return F.transform(good, lambda s: s.dropFields("valid"))
+            good = F.transform(good, lambda s: s.dropFields("valid"))
+            return _apart(good) if iban else good
 
         cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_BLOCK}}}"), F.lit(0))
         searched = bind(F.split(text, kind.pattern, -1), lambda gaps: bind(cut, lambda pieces: among(gaps, pieces)))
         return F.when(F.size(matches) > 0, searched).otherwise(none)
 
-    all_ = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    all_ = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(int(kind.name == "iban")))
     return F.when(text.rlike(kind.hint), bind(all_, placed)).otherwise(none)
 
 

@@ -148,3 +148,17 @@ def test_pii_context_on_both_sides(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["spans"] for r in pii.digest(table).collect()}
     assert got == {0: "ssn:4:15,ssn:17:28", 1: "ssn:18:29", 2: "ssn:0:11", 3: "", 4: "ssn:214:225", 5: "ssn:210:221"}
+
+
+def test_pii_iban_ends_at_its_length(spark):
+    at, be, no = "AT611904300234573201", "BE68 5390 0754 7034", "NO93 8601 1117 947"
+    texts = [
+        f"{at} The", f"{be} Thanks", f"{at} {be} {no} 1 A", f"{at}X and {at}A", f"{at}.", no, f"{be[:-1]}5 Thanks",
+        "GB29 NWBK 6016 1331 9268 19 UK", "GB29NWBK60161331926819 AND MORE TEXT", f"é {at} T" * 200, "MA64011519000001205000534921 Ok",
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(table).collect()}
+    assert got == {
+        0: "iban:0:20", 1: "iban:0:19", 2: "iban:0:20,iban:21:40,iban:41:59", 3: "", 4: "iban:0:20", 5: "iban:0:18", 6: "",
+        7: "iban:0:27", 8: "iban:0:22", 9: ",".join(f"iban:{24 * k + 2}:{24 * k + 22}" for k in range(200)), 10: "iban:0:28",
+    }
