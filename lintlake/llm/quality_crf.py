@@ -201,8 +201,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     """Fit the field and the curve to a sample of labelled documents that are not held out.
 
-    The sample is the SAMPLE labelled ids of least hash; an id labelled twice counts once, as
-    bad if either says so. The driver gets the sample's line features. Without a label of
+    The sample is the SAMPLE labelled ids of least hash among those the table has; an id labelled
+    twice counts once, as bad if either says so. The driver gets the sample's line features. Without a label of
     either kind all texts score one half.
     """
     known = (
@@ -210,7 +210,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
         .groupBy("doc_id")
         .agg(F.min(label).cast("int").alias("quality"))
     )
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    present = docs.select("doc_id").distinct()
+    drawn = known.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     rows = texts.mapInArrow(_sampled, _FEATURES).toArrow().sort_by("doc_id")
     quality = rows["quality"].to_numpy()

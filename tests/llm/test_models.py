@@ -212,3 +212,13 @@ def test_languages(spark, docs, none):
     assert language_id.predict(docs, model).where("score BETWEEN 0 AND 1").count() == docs.count()
     assert language_id.predict(none, language_id.learn(none)).count() == 0
     assert {r["lang_pred"] for r in language_id.predict(table, language_id.learn(none)).collect()} == {"und"}
+
+
+def test_quality_sample_is_of_documents_at_hand(spark, monkeypatch):
+    monkeypatch.setattr(quality_crf, "SAMPLE", 40)
+    rows = [(k * 100, cases.prose(k, 60) if k % 2 else "BUY!!! NOW $$$ 100%\n" * 12) for k in range(60)]
+    labels = [(k, int(k // 100 % 2)) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = quality_crf.learn(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    score = {r["doc_id"]: r["score"] for r in quality_crf.score(docs, model).collect()}
+    assert model and all((score[k * 100] > 0.5) == bool(k % 2) for k in range(60))
