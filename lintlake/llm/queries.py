@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import chat, decontaminate, jaccard_join, language_id, line_dedup, mixing, pii, quality_crf, quality_rules, url_filter
+from lintlake.llm import (
+    centroid_clustering,
+    chat,
+    decontaminate,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    mixing,
+    pii,
+    quality_crf,
+    quality_rules,
+    url_filter,
+    whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +104,13 @@ def op10(spark, sf):
 def op6(spark, sf):
     docs = read(spark, sf, "documents")
     return quality_crf.score(docs, quality_crf.learn(docs, read(spark, sf, "labels")))
+
+
+@query("op12_centroid_clustering", centroid_clustering.sql())
+def op12(spark, sf):
+    return centroid_clustering.cluster(read(spark, sf, "embeddings"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf):
+    return whitening.whiten(read(spark, sf, "embeddings"))
