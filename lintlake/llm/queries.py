@@ -13,6 +13,7 @@ from lintlake.llm import (
     decontaminate,
     jaccard_join,
     language_id,
+    lattice_lm,
     line_dedup,
     mixing,
     pii,
@@ -114,3 +115,9 @@ def op12(spark, sf):
 @query("op13_embedding_whitening")
 def op13(spark, sf):
     return whitening.whiten(read(spark, sf, "embeddings"))
+
+
+@query("op11_lm_scoring")
+def op11(spark, sf):
+    docs = read(spark, sf, "documents")
+    return lattice_lm.score(docs, lattice_lm.learn(docs))

@@ -31,9 +31,11 @@ def lowered() -> np.ndarray:
 
 
 def spaced_words(lower: bool) -> np.ndarray:
-    """Byte codes, 0 at white space: words are `[^\\x20\\x09-\\x0D]+`."""
-    codes = lowered() if lower else np.arange(256, dtype=np.uint8)
-    codes[0] = 1  # a zero byte is part of a word; it shares its code with the next
+    """Byte codes, 0 at white space: words are `[^\\x20\\x09-\\x0D]+`.
+
+    A byte's code is one more than the byte, so a zero byte has a code of its own.
+    """
+    codes = (lowered() if lower else np.arange(256)).astype(np.uint16) + np.uint16(1)
     codes[[9, 10, 11, 12, 13, 32]] = 0
     return codes
 
@@ -113,9 +115,11 @@ def _cut(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray, end: int) ->
     return min(end, len(data))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each text's words begin, with the end."""
-    hashes, places, at = [], [], 0
+def word_pieces(
+    data: np.ndarray, offsets: np.ndarray, codes: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of all words with where they begin and end, piece by piece of the texts."""
+    at = 0
     while at < len(data):
         end = _cut(data, offsets, codes, at + _PIECE)
         piece = codes[data[at:end]]
@@ -133,11 +137,16 @@ def words(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.
         np.cumsum(piece * powers(_MULTIPLIER, len(piece)), out=sums[1:])
         made = (sums[stops] - sums[starts]) * powers(_INVERSE, len(piece))[starts]
         made += (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        hashes.append(mixed(made))
-        places.append(starts + at)
+        yield mixed(made), starts + at, stops + at
         at = end
-    if not hashes:
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each text's words begin, with the end."""
+    hashes, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for made, starts_, _ in word_pieces(data, offsets, codes):
+        hashes.append(made)
+        places.append(starts_)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets)
 
 
