@@ -3,7 +3,7 @@
 __version__ = "0.1.0"
 
 from lintlake.rules import Rule, RuleSet, builtin_rules
-from lintlake.operators.scan import findings, ordered_findings, scan, scan_files
+from lintlake.operators.scan import count_files, findings, ordered_findings, scan, scan_files
 from lintlake.sources.tables import from_table
 from lintlake.sources.tree import read_file, read_tree
 
@@ -11,6 +11,7 @@ __all__ = [
     "Rule",
     "RuleSet",
     "builtin_rules",
+    "count_files",
     "findings",
     "from_table",
     "ordered_findings",

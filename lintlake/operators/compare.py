@@ -54,38 +54,57 @@ def kept_findings(current: DataFrame, baseline: DataFrame, rules: RuleSet | None
     return _compared(current, baseline, rules, "left_semi")
 
 
-def mark_suppressed(findings: DataFrame, suppressions: DataFrame, as_of: str) -> DataFrame:
-    """Add `suppressed_by`: the reason of an entry in force on a date, else NULL.
+def _suppressed(
+    scanned: DataFrame, suppressions: DataFrame, as_of: str, rules: RuleSet
+) -> DataFrame:
+    """A scan's slim rows with the reason of an entry in force, or NULL, as `suppressed_by`.
 
-    `suppressions` has rule_id, file_path (NULL: every file), expires (NULL: never) and
-    reason; an entry holds through its expiry date. Where several hold, one for the very
-    file goes before one for every file, then the first reason by name. Spark's own estimate
-    of the list's size picks the join; adaptive execution splits a rule that has most findings.
+    Neither the rules' text nor repeated matches go through the joins. Spark's own estimate of
+    the list's size picks the join; adaptive execution splits a rule that has most findings.
     """
     active = suppressions.where(
         F.col("expires").isNull() | (F.to_date("expires") >= F.to_date(F.lit(as_of)))
     ).withColumn("reason", F.coalesce("reason", F.lit("")))
+    first = F.array_min(F.collect_set("reason"))
     by_file = (
-        active.where("file_path IS NOT NULL")
-        .groupBy("rule_id", "file_path")
-        .agg(F.min("reason").alias("file_reason"))
-    )
-    by_rule = (
-        active.where("file_path IS NULL").groupBy("rule_id").agg(F.min("reason").alias("rule_reason"))
+        active.where("file_path IS NOT NULL").groupBy("rule_id", "file_path").agg(first.alias("file_reason"))
     )
+    by_rule = active.where("file_path IS NULL").groupBy("rule_id").agg(first.alias("rule_reason"))
+    ids = F.array(*[F.lit(rule_id) for rule_id in rules.by_position(lambda rule: rule.rule_id)])
+    hits = hit_rows(scanned).withColumn("rule_id", F.get(ids.cast("array<string>"), F.col("rule_ord")))
     return (
-        findings.join(by_file, ["rule_id", "file_path"], "left")
+        hits.join(by_file, ["rule_id", "file_path"], "left")
         .join(by_rule, "rule_id", "left")
         .withColumn("suppressed_by", F.coalesce("file_reason", "rule_reason"))
-        .drop("file_reason", "rule_reason")
+        .drop("rule_id", "file_reason", "rule_reason")
     )
 
 
-def active_findings(findings: DataFrame, suppressions: DataFrame, as_of: str) -> DataFrame:
-    marked = mark_suppressed(findings, suppressions, as_of)
-    return marked.where("suppressed_by IS NULL").drop("suppressed_by")
+def mark_suppressed(
+    scanned: DataFrame, suppressions: DataFrame, as_of: str, rules: RuleSet | None = None
+) -> DataFrame:
+    """A scan's findings with `suppressed_by`: the reason of an entry in force on a date, else NULL.
+
+    `suppressions` has rule_id, file_path (NULL: every file), expires (NULL: never) and
+    reason; an entry holds through its expiry date. Where several hold, one for the very
+    file goes before one for every file, then the first reason by name.
+    """
+    rules = builtin_rules() if rules is None else rules
+    return describe(each_match(_suppressed(scanned, suppressions, as_of, rules)), rules)
+
+
+def active_findings(
+    scanned: DataFrame, suppressions: DataFrame, as_of: str, rules: RuleSet | None = None
+) -> DataFrame:
+    rules = builtin_rules() if rules is None else rules
+    left = _suppressed(scanned, suppressions, as_of, rules).where("suppressed_by IS NULL")
+    return describe(each_match(left.drop("suppressed_by")), rules)
 
 
-def suppressed_findings(findings: DataFrame, suppressions: DataFrame, as_of: str) -> DataFrame:
+def suppressed_findings(
+    scanned: DataFrame, suppressions: DataFrame, as_of: str, rules: RuleSet | None = None
+) -> DataFrame:
     """The suppressed rows with their reason: nothing is dropped without a trace."""
-    return mark_suppressed(findings, suppressions, as_of).where("suppressed_by IS NOT NULL")
+    rules = builtin_rules() if rules is None else rules
+    taken = _suppressed(scanned, suppressions, as_of, rules).where("suppressed_by IS NOT NULL")
+    return describe(each_match(taken), rules)

@@ -20,13 +20,15 @@ def tally(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     """Files and lines per language, and findings per rule: at most one row for each.
 
     Rows of the first kind have a NULL `rule_id`. Matches are counted without being
-    exploded, partly in each task, so only these few rows are shuffled.
+    exploded, partly in each task, so only these few rows are shuffled. Takes what
+    `scan_files` gives or, cheaper where it is not needed otherwise, `count_files`.
     """
     rules = builtin_rules() if rules is None else rules
+    found = "counts" if "counts" in scanned.columns else "hits"
     entries = F.expr(
         "concat(array(named_struct('language', language, 'ord', cast(null as int), "
         "'files', 1L, 'lines', lines, 'findings', 0L)), "
-        "transform(hits, h -> named_struct('language', cast(null as string), 'ord', h.ord, "
+        f"transform({found}, h -> named_struct('language', cast(null as string), 'ord', h.ord, "
         "'files', 0L, 'lines', 0L, 'findings', cast(h.matches as bigint))))"
     )
     counted = (
@@ -44,13 +46,17 @@ def tally(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
 def rule_counts(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     """For each rule with findings: how many, and in how many files.
 
-    A file's matches are summed within its row, so one row per rule leaves each task.
+    A file's matches are summed within its row, so one row per rule leaves each task. The
+    result of `count_files` has them summed already.
     """
     rules = builtin_rules() if rules is None else rules
-    per_file = F.expr(
-        "transform(array_distinct(hits.ord), o -> named_struct('ord', o, 'findings', "
-        "aggregate(filter(hits, h -> h.ord = o), 0L, (n, h) -> n + h.matches)))"
-    )
+    if "counts" in scanned.columns:
+        per_file = F.expr("transform(counts, c -> named_struct('ord', c.ord, 'findings', c.matches))")
+    else:
+        per_file = F.expr(
+            "transform(array_distinct(hits.ord), o -> named_struct('ord', o, 'findings', "
+            "aggregate(filter(hits, h -> h.ord = o), 0L, (n, h) -> n + h.matches)))"
+        )
     counted = (
         scanned.select(F.inline_outer(per_file))
         .where("ord IS NOT NULL")
@@ -130,7 +136,8 @@ def rules_hit(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
 
     A file's matches of a rule are first summed within its row, and only path and line go
     through the aggregation: rank and text are the same for all findings of a rule and are
-    joined to its one row. A rule with most of the findings is no hot partition.
+    joined to its one row. A rule with most of the findings is no hot partition, and no row
+    is sorted before the few rules are left.
     """
     rules = builtin_rules() if rules is None else rules
     per_file = F.expr(
@@ -143,7 +150,8 @@ def rules_hit(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
         scanned.select("path", F.inline_outer(per_file))
         .where("ord IS NOT NULL")
         .groupBy("ord")
-        .agg(first.alias("first"), F.sum("findings").alias("findings"))
+        .agg(first.alias("first"), F.sum("findings").alias("findings"), few_groups("ord"))
+        .withColumn("ord", F.get("_group", F.lit(0)))
     )
     table = rules.table(scanned.sparkSession).select(
         F.col("ord").alias("rule_ord"), "rule_id", "title", "description", "severity", "cwe_id"
@@ -161,12 +169,23 @@ def rules_hit(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
         .agg(
             F.min(F.struct(*schema.ORDER_COLUMNS, *columns)).alias("first"),
             F.sum("findings").alias("findings"),
+            few_groups("rule_id"),
         )
-        .select("rule_id", "first.*", "findings")
+        .select(F.get("_group", F.lit(0)).alias("rule_id"), "first.*", "findings")
         .orderBy(*schema.ORDER_COLUMNS)
     )
 
 
+def few_groups(key: str) -> Column:
+    """An aggregate beside a minimum of texts, over few groups: the set of the group's own key.
+
+    Spark sorts all rows for such a minimum, unless an aggregate that lives in an object stands
+    beside it; then it keeps one entry per group in memory and sorts only beyond many groups.
+    The key has to be read from the set, as an aggregate that nothing reads is left out.
+    """
+    return F.collect_set(key).alias("_group")
+
+
 def skip_counts(files: DataFrame, reason: Column) -> DataFrame:
     """How many files a tree scan leaves out, by reason."""
     return (

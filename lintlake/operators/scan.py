@@ -17,6 +17,7 @@ from lintlake.functions import severity as sev
 from lintlake.functions import text as txt
 from lintlake.rules import RuleSet, builtin_rules
 
+
 def _contains_any(strings: Column) -> Column:
     return F.exists(strings, lambda s: F.contains(F.col("folded"), s))
 
@@ -30,16 +31,19 @@ def _candidates() -> Column:
     return F.filter(checks, lambda check: F.forall(check["needs"], _contains_any))
 
 
+def _marked(check: Column) -> Column:
+    """The text with a mark before every match of one rule."""
+    text, pattern, until = F.col("text"), check["pattern"], check["until"]
+    return F.when(until.isNull(), matching.marked(text, pattern)).otherwise(
+        matching.marked_up_to(text, pattern, until)
+    )
+
+
 def _hits() -> Column:
     """The lines the file's rules match on."""
-    text = F.col("text")
 
     def searched(check: Column) -> Column:
-        pattern, until = check["pattern"], check["until"]
-        found = F.when(until.isNull(), matching.marked(text, pattern)).otherwise(
-            matching.marked_up_to(text, pattern, until)
-        )
-        return F.struct(check["ord"].alias("ord"), found.alias("marked"))
+        return F.struct(check["ord"].alias("ord"), _marked(check).alias("marked"))
 
     found = F.filter(
         F.transform(_candidates(), searched), lambda rule: matching.has_marks(rule["marked"])
@@ -48,6 +52,19 @@ def _hits() -> Column:
     return F.coalesce(F.flatten(lines), F.array())
 
 
+def _counts() -> Column:
+    """How often the file's rules match; a mark is one byte, so lengths tell."""
+
+    def counted(check: Column) -> Column:
+        marks = F.octet_length(_marked(check)) - F.octet_length("text")
+        return F.struct(
+            check["ord"].alias("ord"), F.coalesce(marks, F.lit(0)).cast("bigint").alias("matches")
+        )
+
+    found = F.filter(F.transform(_candidates(), counted), lambda rule: rule["matches"] > 0)
+    return F.coalesce(found, F.array())
+
+
 def scan_files(
     files: DataFrame, rules: RuleSet | None = None, min_severity: str = "info"
 ) -> DataFrame:
@@ -56,6 +73,23 @@ def scan_files(
     Works on a batch or a streaming table. Store the result (`store.keep`, or write it)
     when both findings and totals are wanted, so the texts are read once.
     """
+    return _scanned(files, rules, min_severity, _hits().alias("hits"))
+
+
+def count_files(
+    files: DataFrame, rules: RuleSet | None = None, min_severity: str = "info"
+) -> DataFrame:
+    """The scan where no place is asked for: `counts` holds each rule's matches in the file.
+
+    No text is split into lines and no line is made. `metrics.tally` and `rule_counts`, and
+    what is made from a tally, take it like the result of `scan_files`.
+    """
+    return _scanned(files, rules, min_severity, _counts().alias("counts"))
+
+
+def _scanned(
+    files: DataFrame, rules: RuleSet | None, min_severity: str, found: Column
+) -> DataFrame:
     active = (builtin_rules() if rules is None else rules).at_least(min_severity)
     text = F.col("text")
     prepared = files.select(
@@ -71,7 +105,7 @@ def scan_files(
         "path",
         "language",
         F.coalesce(txt.line_count(text), F.lit(0)).alias("lines"),
-        _hits().alias("hits"),
+        found,
     )
 
 

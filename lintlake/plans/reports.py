@@ -148,7 +148,13 @@ def _totals(scanned: DataFrame, rules: RuleSet) -> DataFrame:
     counted = (
         scanned.select("path", F.inline_outer(entries))
         .groupBy("language", "ord")
-        .agg(*[F.sum(c).alias(c) for c in ("files", "lines", "findings")], F.min(place).alias("place"))
+        .agg(
+            *[F.sum(c).alias(c) for c in ("files", "lines", "findings")],
+            F.min(place).alias("place"),
+            metrics.few_groups("ord"),
+        )
+        .withColumn("ord", F.get("_group", F.lit(0)))
+        .drop("_group")
     )
     table = rules.table(scanned.sparkSession).drop(*schema.RULE_INTERNALS)
     rank_ = sev.severity_rank(F.col("severity")).alias("severity_rank")

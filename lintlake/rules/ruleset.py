@@ -72,7 +72,8 @@ class RuleSet:
         Order is `ord` where present, else rule_id and pattern. Severity, category and
         confidence are read without regard to case and outer blanks. What the built-in rules
         say about strings a match holds is not taken from a caller, so nothing they say can
-        lose a finding. `max_bytes` bounds the set, see MAX_BYTES.
+        lose a finding. A rule without an id, pattern, severity or category is left out and
+        listed in `rejected`. `max_bytes` bounds the set, see MAX_BYTES.
         """
         columns = [name for name in Rule._fields if name in rules.columns]
         columns = [name for name in columns if name not in ("needs", "ends_with")]
@@ -85,9 +86,13 @@ class RuleSet:
         order = ["ord"] if "ord" in rules.columns else []
         rows = rules.orderBy(*order, "rule_id", "pattern").select(columns).collect()
         blank = Rule("", "", "", "", None, None, "high", "", [], "", "")
-        made = []
+        made, rejected = [], []
         for row in rows:
             given = {k: v for k, v in row.asDict().items() if v is not None}
+            lacking = [k for k in ("rule_id", "pattern", "severity", "category") if k not in given]
+            if lacking:
+                rejected.append((row["rule_id"], row["pattern"], f"no {', '.join(lacking)}"))
+                continue
             given["languages"] = given.get("languages") or None
             given["cwe_id"] = given.get("cwe_id") or None
             given["severity"] = check_severity(given["severity"])
@@ -95,7 +100,9 @@ class RuleSet:
                 if name in given:
                     given[name] = given[name].strip().lower()
             made.append(blank._replace(**given))
-        return cls.of(made, rules.sparkSession, max_bytes)
+        found = cls.of(made, rules.sparkSession, max_bytes)
+        found.rejected = rejected + found.rejected
+        return found
 
     def at_least(self, severity: str) -> RuleSet:
         """Rules of this severity or a higher one, keeping their positions."""

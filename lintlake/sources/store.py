@@ -50,9 +50,14 @@ def recorded() -> Iterator[list[DataFrame]]:
 def release(*tables: DataFrame) -> None:
     """Remove what `keep` stored for these tables, or for what they were made from."""
     for table in tables:
-        context = table.sparkSession.sparkContext
         # A table that was released already has no files.
         for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
             if path.rpartition("/")[2].startswith(_PREFIX):
-                place = context._jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+                remove_folder(table.sparkSession, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder and what is in it, on whatever file system its path names."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

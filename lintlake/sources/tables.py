@@ -44,6 +44,19 @@ def from_table(
     )
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """The table over at least as many tasks as there are cores.
+
+    A scan is bound by the cores, so a table whose files Spark reads in fewer tasks, such as
+    one small file, is dealt out first. One in more files or splits is scanned where it lies:
+    no text is shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(4 * cores)
+
+
 def skip_reason(max_size: int = schema.MAX_FILE_SIZE) -> Column:
     """Why a tree scan leaves a file out, NULL if it does not."""
     return (

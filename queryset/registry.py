@@ -15,6 +15,7 @@ from lintlake import schema
 from lintlake.functions import matching, paths, severity, text
 from lintlake.operators import compare, manifest, metrics, surface
 from lintlake.operators.scan import (
+    count_files,
     findings,
     ordered_findings,
     scan,
@@ -23,8 +24,8 @@ from lintlake.operators.scan import (
 from lintlake.plans import reports
 from lintlake.rules import RULES, Rule, RuleSet, builtin_rules
 from lintlake.rules.ruleset import categories_in_use, duplicate_ids
-from lintlake.sources.store import keep, shared_dir
-from lintlake.sources.tables import from_table, scannable, skip_reason
+from lintlake.sources.store import keep, remove_folder, shared_dir
+from lintlake.sources.tables import from_table, scannable, skip_reason, spread
 from lintlake.sources.tree import list_tree, read_tree
 from lintlake.streaming.scan import scan_available
 from queryset import corpora
@@ -97,7 +98,7 @@ SELECT_ALL = f"SELECT {', '.join(ORDERED)} FROM findings"
     "count(DISTINCT file_path) AS files FROM findings GROUP BY ALL"))
 def findings_by_rule(spark, sf):
     """The flagship: all rules over all documents, counted by rule."""
-    return metrics.rule_counts(documents_scan(spark, sf))
+    return metrics.rule_counts(count_files(corpora.documents(spark, sf)))
 
 
 @query("rule_counts", found(
@@ -114,7 +115,7 @@ def rule_counts(spark, sf):
     f"count(DISTINCT file_path) * {corpora.COPIES} AS files FROM findings GROUP BY ALL"))
 def dense_rule_counts(spark, sf):
     """Counts by rule over short files full of matches."""
-    return metrics.rule_counts(scan_files(scannable(corpora.dense(spark, sf))))
+    return metrics.rule_counts(count_files(scannable(corpora.dense(spark, sf))))
 
 
 @query("scan_rendered", found(TREE, SELECT_ALL))
@@ -160,6 +161,10 @@ CUSTOM = [
     Rule("X002", "Broken", "high", "security", None, None, "high", r"(unclosed", [], "", ""),
     Rule("X003", "Last cell", "medium", "quality", "CWE-1", ["javascript"], "low",
          r"href=\"[^\"]{,9}\"", ["href"], "A short link.", "Drop it."),
+    # Rules without a pattern, severity or category are left out.
+    Rule("X005", "No pattern", "high", "quality", None, None, "high", None, [], "", ""),
+    Rule("X006", "No severity", None, "quality", None, None, "high", "a", [], "", ""),
+    Rule("X007", "No category", "low", None, None, None, "high", "a", [], "", ""),
     # What a caller says of strings a match needs, here wrongly, is not relied on.
     Rule("X004", "Paragraph", " HIGH ", " Quality", None, None, " Low ", r"<p>\s*\w", ["<P>"], "", ""),
 ]
@@ -167,15 +172,15 @@ CUSTOM_SQL = [
     CUSTOM[0]._replace(pattern=r"<h([1-6])>\s*\w+"),
     CUSTOM[1],
     CUSTOM[2]._replace(pattern=r"href=\"[^\"]{0,9}\""),
-    CUSTOM[3]._replace(severity="high", category="quality", confidence="low"),
+    CUSTOM[6]._replace(severity="high", category="quality", confidence="low"),
 ]
 
 
 @query("scan_custom_rules", found(
     corpora.pages_sql(), SELECT_PLACE, lambda rule: rule.rule_id != "X002", CUSTOM_SQL))
 def scan_custom_rules(spark, sf):
-    """The caller's own rules from a table without an order; the one that does not compile is
-    left out."""
+    """The caller's own rules from a table without an order; the one that does not compile and
+    those that lack what a rule needs are left out."""
     table = spark.createDataFrame(
         CUSTOM[::-1],
         "rule_id string, title string, severity string, category string, cwe_id string, "
@@ -209,7 +214,10 @@ def stream_scan(spark, sf):
     files = from_table(stream, "doc_id", "text", "python")
     scan_available(files, f"{place}/scanned", f"{place}/checkpoint").awaitTermination()
     stored = spark.read.parquet(f"{place}/scanned")
-    return findings(stored).groupBy("rule_id").agg(F.count("*").alias("findings"))
+    counts = findings(stored).groupBy("rule_id").agg(F.count("*").alias("findings"))
+    made = spark.createDataFrame(counts.toArrow())  # a row per rule
+    remove_folder(spark, place)
+    return made
 
 
 # Sources and file selection.
@@ -473,7 +481,7 @@ SELECT source, files, lines, deduction, score, {GRADE} AS grade
 FROM (SELECT *, {SCORE} AS score FROM sources)""")
 def score_by_source(spark, sf):
     """Score and grade of each document source, as if each were one scan."""
-    docs = read(spark, sf, "documents").select("doc_id", "text", "source").repartition(corpora.TASKS)
+    docs = spread(read(spark, sf, "documents").select("doc_id", "text", "source"))
     path = F.concat_ws("/", F.col("doc_id").cast("string"), "source")
     scanned = scan_files(from_table(docs, path, "text", "python"))
     cost = _deduction()
@@ -544,7 +552,7 @@ UNION ALL
 SELECT language, NULL, NULL, NULL, count(*), sum({line_count_sql()})::BIGINT, 0 FROM files GROUP BY language
 """))
 def tally(spark, sf):
-    return metrics.tally(rendered_scan(spark, sf))
+    return metrics.tally(count_files(tree_files(spark, sf)))
 
 
 def _summary_sql(files: str) -> str:
@@ -570,20 +578,20 @@ def summary(spark, sf):
 
 @query("summary_documents", _summary_sql(DOCUMENTS))
 def summary_documents(spark, sf):
-    return _summary_columns(metrics.summary(metrics.tally(documents_scan(spark, sf))))
+    return _summary_columns(metrics.summary(metrics.tally(count_files(corpora.documents(spark, sf)))))
 
 
 @query("severity_counts", found(
     TREE, "SELECT severity, count(*) AS findings, min(severity_rank) AS severity_rank "
     "FROM findings GROUP BY severity ORDER BY severity_rank"))
 def severity_counts(spark, sf):
-    return metrics.severity_table(metrics.tally(rendered_scan(spark, sf)))
+    return metrics.severity_table(metrics.tally(count_files(tree_files(spark, sf))))
 
 
 @query("category_counts", found(
     TREE, "SELECT category, count(*) AS findings FROM findings GROUP BY category"))
 def category_counts(spark, sf):
-    return metrics.category_counts(metrics.tally(rendered_scan(spark, sf)))
+    return metrics.category_counts(metrics.tally(count_files(tree_files(spark, sf))))
 
 
 @query("categories_in_use", found(DOCUMENTS, "SELECT DISTINCT category FROM findings"))
@@ -725,16 +733,16 @@ _MARK = ["rule_id", "file_path", "line_number", "match_ord"]
 
 @query("suppressed_findings", _MARKED + "SELECT * FROM marked WHERE suppressed_by IS NOT NULL")
 def suppressed_findings(spark, sf):
-    found_rows = scan(corpora.documents(spark, sf))
-    return compare.suppressed_findings(found_rows, _suppressions(spark, sf), "2024-01-10").select(
+    scanned = documents_scan(spark, sf)
+    return compare.suppressed_findings(scanned, _suppressions(spark, sf), "2024-01-10").select(
         *_MARK, "suppressed_by"
     )
 
 
 @query("active_findings", _MARKED + f"SELECT {', '.join(_MARK)} FROM marked WHERE suppressed_by IS NULL")
 def active_findings(spark, sf):
-    found_rows = scan(corpora.documents(spark, sf))
-    return compare.active_findings(found_rows, _suppressions(spark, sf), "2024-01-10").select(_MARK)
+    scanned = documents_scan(spark, sf)
+    return compare.active_findings(scanned, _suppressions(spark, sf), "2024-01-10").select(_MARK)
 
 
 # Sets of public names, from the part and customer tables.

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lintlake import RuleSet, __version__, findings, from_table, ordered_findings, scan, scan_files
+from lintlake import RuleSet, __version__, count_files, findings, from_table, ordered_findings, scan, scan_files
 from lintlake.functions import severity as sev
 from lintlake.operators import compare, metrics, surface
 from lintlake.plans import reports
@@ -301,7 +301,7 @@ def test_compare_ships_slim_rows(spark):
 
 
 def test_marking_suppressions_starts_no_job(spark):
-    found = scan(files_table(spark, [("a.py", "python", "eval(x)")]))
+    found = scan_files(files_table(spark, [("a.py", "python", "eval(x)")]))
     table = spark.createDataFrame([("INJ004", None, None, "r")], "rule_id string, file_path string, expires string, reason string")
     spark.sparkContext.setJobGroup("marking", "")
     compare.mark_suppressed(found, table, "2024-05-01")
@@ -311,7 +311,7 @@ def test_marking_suppressions_starts_no_job(spark):
 
 
 def test_suppressions(spark):
-    found = scan(files_table(spark, [(n, "python", "eval(x)\n# TODO x") for n in ("a.py", "b.py")]))
+    found = scan_files(files_table(spark, [(n, "python", "eval(x)\n# TODO x") for n in ("a.py", "b.py")]))
     entries = [
         ("INJ004", "a.py", "2024-05-01", "z"), ("INJ004", "a.py", "2024-05-02", "accepted"),
         ("INJ004", "b.py", "2024-04-30", "expired"), ("QUA001", None, None, None),
@@ -324,7 +324,38 @@ def test_suppressions(spark):
                    ("QUA001", "a.py"): "", ("QUA001", "b.py"): ""}
     assert compare.active_findings(found, table, "2024-05-01").count() == 1
     assert compare.suppressed_findings(found, table, "2024-05-01").count() == 3
-    assert marked.count() == found.count()
+    assert marked.count() == findings(found).count() and set(findings(found).columns) - {
+        "severity_rank"} <= set(marked.columns)
+
+
+def test_suppressions_ship_slim_rows(spark):
+    """No rule text goes through the joins, and nothing is sorted to aggregate the list."""
+    found = scan_files(files_table(spark, [("a.py", "python", "eval(x) eval(y)")]))
+    table = spark.createDataFrame([("INJ004", "a.py", None, "r")], "rule_id string, file_path string, expires string, reason string")
+    for made in (compare.suppressed_findings, compare.active_findings, compare.mark_suppressed):
+        plan = made(found, table, "2024-05-01")._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan
+        for line in plan.splitlines():
+            if "Exchange hashpartitioning(rule_id" in line:
+                assert "description" not in line
+    rows = compare.suppressed_findings(found, table, "2024-05-01").collect()
+    assert [(r["match_ord"], r["suppressed_by"], r["title"] != "") for r in sorted(rows)] == [(1, "r", True), (2, "r", True)]
+
+
+def test_rules_hit_sorts_no_rows(scanned):
+    assert "SortAggregate" not in metrics.rules_hit(scanned)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_without_lines(spark):
+    """The counting form gives the tally and the counts of the full scan."""
+    rows = [("a.py", "python", "eval(x) eval(y)\r\n# TODO\nasync def f():\n  x\n  open(y)"), ("b.js", "javascript", None),
+            ("c.py", "python", ""), ("c.py", None, "password = 'hunter22'")]
+    files = files_table(spark, rows)
+    full, counted = scan_files(files), count_files(files)
+    assert counted.columns == ["path", "language", "lines", "counts"]
+    for of in (metrics.tally, metrics.rule_counts):
+        assert sorted(map(str, of(full).collect())) == sorted(map(str, of(counted).collect()))
+    assert "line_content" not in metrics.rule_counts(counted)._jdf.queryExecution().executedPlan().toString()
 
 
 # Names

@@ -6,11 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lintlake import findings, read_file, read_tree, scan, scan_files, schema
+from lintlake import findings, from_table, read_file, read_tree, scan, scan_files, schema
 from lintlake.functions import paths, text
 from lintlake.operators import manifest, metrics
 from lintlake.sources import store, tree
-from lintlake.sources.tables import scannable, skip_reason
+from lintlake.sources.store import remove_folder
+from lintlake.sources.tables import scannable, skip_reason, spread
 from lintlake.sources.tree import list_tree
 
 
@@ -250,3 +251,25 @@ def test_findings_of_the_fixtures(spark, tmp_path):
     assert findings(scanned).where("file_path = 'clean.py'").count() == 0
     high = scan(read_tree(spark, str(tmp_path)), min_severity="high")
     assert {row["severity"] for row in high.collect()} == {"critical"}
+
+
+def test_texts_of_many_files_are_not_shuffled(spark, tmp_path):
+    """A table in as many files as cores is scanned where it lies; a smaller one is dealt out."""
+    many, one = str(tmp_path / "many"), str(tmp_path / "one")
+    made = spark.range(64).selectExpr("cast(id AS string) AS path", "'eval(x)' AS text")
+    made.repartition(64).write.option("maxRecordsPerFile", 1).parquet(many)
+    made.coalesce(1).write.parquet(one)
+    packed = spark.conf.get("spark.sql.files.openCostInBytes")
+    for place, dealt in ((many, False), (one, True)):
+        files = from_table(spread(spark.read.parquet(place)), "path", "text", "python")
+        plan = scan(files)._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange RoundRobin" in plan) == dealt, packed
+        assert scan(files).count() == 64
+
+
+def test_remove_folder(spark, tmp_path):
+    place = tmp_path / "some" / "where"
+    place.mkdir(parents=True)
+    (place / "file").write_text("x")
+    remove_folder(spark, str(tmp_path / "some"))
+    assert not (tmp_path / "some").exists()
