@@ -4,6 +4,11 @@ Everything is a column expression on the whole text. A pattern is searched once
 matches; the text between them gives the positions. The patterns start at the first character
 of a run or right behind the last match (`\\G`) and do not go back (`++`), so that a long run
 without a match costs no more than its length.
+
+Besides personal data it finds secrets: keys whose prefix and length their issuers publish, and
+values with letters and digits that are assigned to a name such as `token`. A null text is as an
+empty one and has no spans; equal rows give equal rows; an empty table gives an empty result; a
+caller's columns keep their names and values whatever they are called.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.columns import bind, text_of, total
+from lintlake.llm.columns import bind, boxed, text_of, total
 
 # How far before and after a match context words count, and the score a proposed span needs.
 CONTEXT_CHARS = 40
@@ -34,6 +39,19 @@ class Kind(NamedTuple):
 
 
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+# A name and the quoted value that it is given.
+_NAMED = (
+    r"(?i)(?:token|secret|passwd|password|pwd|bearer|api[_-]?key|access[_-]?key)['\x22]? {0,3}[=:] {0,3}"
+    r"['\x22][A-Za-z0-9+/_=.~!@#$%^&*-]{8,200}['\x22]"
+)
+# Prefixes and lengths of issued keys.
+_ISSUED = (
+    "^(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|AIza[A-Za-z0-9_-]{35}"
+    "|[sr]k_live_[A-Za-z0-9]{24,99}|xox[abprs]-[A-Za-z0-9-]{10,200})$"
+)
+# Area, group and serial numbers that are never given out. Areas from 900 on are
+# those of taxpayers' numbers, which have the same form.
+_NO_SSN = "^(?:000|666)|-00-|-0000$"
 KINDS = [
     Kind(
         "email",
@@ -54,10 +72,14 @@ KINDS = [
     Kind("iban", r"(?=([A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?[A-Z0-9]?))[A-Z][A-Z][0-9][0-9]",
          r"[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "[0-9]", 0.8,
          "iban|account|bank", 0.2, False),
-    Kind("ssn", r"(?:\G|(?<![0-9]))[0-9]++-[0-9]++-[0-9]++", r"[0-9]+-[0-9]+-[0-9]+", "[0-9]-[0-9]",
+    Kind("ssn", r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])", r"[0-9]+(?:-[0-9]+)+", "[0-9]-[0-9]",
          0.4, "ssn|social", 0.5, False),
+    Kind("key", r"[A-Za-z0-9_-]{20,}+", r"[A-Za-z0-9_-]{20,}", "A[KS]IA|gh[pousr]_|AIza|_live_|xox[abprs]-", 0.9,
+         "key|token", 0.1, False),
+    Kind("secret", _NAMED, _NAMED, "[=:] {0,3}['\"]", 0.8, "key|token|secret", 0.2, False),
 ]
 BASE = [kind.name for kind in KINDS if kind.base]
+SECRETS = ["key", "secret"]
 _ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Characters of an IBAN by country, as registered.
 _IBAN_LENGTHS = (
@@ -101,15 +123,19 @@ def _valid(kind: str, match: Column) -> Column:
     if kind == "iban":
         return match != ""
     if kind == "ssn":
-        return match.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
+        return ~match.rlike(_NO_SSN)
+    if kind == "key":
+        return match.rlike(_ISSUED)
+    if kind == "secret":
+        return match.rlike(r"['\x22][^'\x22]*[0-9][^'\x22]*['\x22]$") & match.rlike(r"['\x22][^'\x22]*[A-Za-z][^'\x22]*['\x22]$")
     return F.lit(True)
 
 
 def _iban(run: Column) -> Column:
     """The start of a run that is an IBAN, else an empty string.
 
-    It ends where no digit or capital follows, has its country's length (of a country without a
-    registered one any from 12 to 34, the longest first) and passes the check.
+    It ends where no digit or capital follows, has its country's registered length and passes
+    the check. A code of a country without one is no IBAN.
     """
 
     def at(n: Column) -> Column:
@@ -119,7 +145,7 @@ def _iban(run: Column) -> Column:
         def checked(code: Column) -> Column:
             known = F.position(F.left(code, F.lit(2)), F.lit(_IBAN_LENGTHS))
             length = F.substring(F.lit(_IBAN_LENGTHS), known + 2, F.lit(2))
-            right = F.when(known > 0, F.length(code).cast("string") == length).otherwise(F.length(code).between(12, 34))
+            right = (known > 0) & (F.length(code).cast("string") == length)
             return F.when(right, mod97(code)).otherwise(False)
 
         return bind(F.replace(start, F.lit(" "), F.lit("")), checked)
@@ -229,21 +255,20 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace or add `spans`: kind, start, end (code points, end exclusive) and score.
 
     Base kinds come first, as `KINDS` lists them, each by start; spans of other kinds that
-    touch a base span are left out. A null text is as an empty one and has none.
+    touch a base span are left out.
     """
-    columns = {f"_{kind.name}": _spans(text_of(text), kind) for kind in KINDS}
-    found = docs.withColumns(columns)
-    base = F.concat(*[F.col(f"_{name}") for name in BASE])
-    more = F.concat(*[F.col(f"_{kind.name}") for kind in KINDS if not kind.base])
+    found = boxed(docs, **{kind.name: _spans(text_of(text), kind) for kind in KINDS})
+    base = F.concat(*[F.col(name) for name in BASE])
+    more = F.concat(*[F.col(kind.name) for kind in KINDS if not kind.base])
 
     def apart(span: Column) -> Column:
-        return ~F.exists("_base", lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+        return ~F.exists("base", lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
 
-    return (
-        found.withColumns({"_base": base, "_more": more})
-        .withColumn("spans", F.concat("_base", F.filter("_more", apart)))
-        .drop("_base", "_more", *columns)
+    spans = found.select("row", base.alias("base"), more.alias("more")).select(
+        "row", F.concat("base", F.filter("more", apart)).alias("spans")
     )
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c != "spans"]
+    return spans.select(*own, "spans")
 
 
 def written(spans: Column) -> Column:
@@ -252,54 +277,97 @@ def written(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts by base kind, a hash of the base spans, and all spans as a string."""
+    """Counts by base kind, a hash of the base spans, all spans as a string, and how many of them
+    are secrets and how many there are."""
     found = find(docs.select(F.col(key).alias(key), F.col(text).alias("_text")), "_text").drop("_text")
 
-    def count(name: str) -> Column:
-        return F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("bigint")
+    def count(kinds: list[str]) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"].isin(kinds))).cast("bigint")
 
-    counts = [count(name).alias(f"n_{name}") for name in BASE]
+    counts = [count([name]).alias(f"n_{name}") for name in BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(BASE))
     return found.select(
-        key, *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
+        key,
+        *counts,
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        count(SECRETS).alias("n_secret"),
+        F.size("spans").cast("bigint").alias("n_spans"),
     )
 
 
 def _sql() -> str:
+    """The same for DuckDB, by positions: every proposal with the text on both sides of it."""
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
-    compact = "replace(m, ' ', '')"
-    moved = f"(substr({compact}, 5) || substr({compact}, 1, 4))"
+    quoted = lambda inner: f"regexp_matches(m, '[''\\x22][^''\\x22]*{inner}[^''\\x22]*[''\\x22]$')"
     valid = {
         "email": "true",
         "ip": rf"regexp_matches(m, '^{_PART}(?:\.{_PART}){{3}}$')",
         "card": f"length({digits}) BETWEEN 16 AND 19 AND list_sum(list_transform(string_split(reverse({digits}), ''), "
                 "lambda c, i: CASE WHEN i % 2 = 0 THEN 2 * c::INT - CASE WHEN c::INT > 4 THEN 9 ELSE 0 END ELSE c::INT END)) % 10 = 0",
         "phone": f"length({digits}) BETWEEN 8 AND 15",
-        "iban": f"list_reduce(list_concat([0], list_transform(string_split({moved}, ''), lambda c: strpos('{_ALPHABET}', c)::INT - 1)), "
-                "lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1",
-        "ssn": "regexp_matches(m, '^[0-9]{3}-[0-9]{2}-[0-9]{4}$')",
+        "iban": "true",
+        "ssn": f"NOT regexp_matches(m, '{_NO_SSN}')",
+        "key": f"regexp_matches(m, '{_ISSUED}')",
+        "secret": f"{quoted('[0-9]')} AND {quoted('[A-Za-z]')}",
     }
+    run = "[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?[A-Z0-9]?"
+    code = "replace(left(run, z), ' ', '')"
+    moved = f"(substr({code}, 5) || substr({code}, 1, 4))"
+    mod97 = (
+        f"list_reduce(list_concat([0], list_transform(string_split({moved}, ''), lambda c: strpos('{_ALPHABET}', c)::INT - 1)), "
+        "lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"
+    )
+    length = f"substr('{_IBAN_LENGTHS}', strpos('{_IBAN_LENGTHS}', left(run, 2)) + 2, 2)"
+    ends = (
+        f"list_filter(range(length(run), 11, -1), lambda z: substr(run || ' ', z, 1) <> ' ' AND substr(run || ' ', z + 1, 1) = ' ' "
+        f"AND strpos('{_IBAN_LENGTHS}', left(run, 2)) > 0 AND length({code})::VARCHAR = {length} AND {mod97})"
+    )
+
+    def placed(pattern: str) -> str:
+        pattern = pattern.replace("'", "''")
+        return f"""
+  SELECT r, t, ms[i] AS m, (list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+         + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+  FROM (SELECT r, t, ms, gaps, unnest(range(1, len(ms) + 1)) AS i
+        FROM (SELECT r, t, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS gaps FROM d))"""
+
+    def proposals(kind: Kind) -> str:
+        if kind.name == "iban":
+            return f"""
+  SELECT r, t, left(run, ends[1]) AS m, s FROM (
+    SELECT *, {ends} AS ends FROM (
+      SELECT r, t, s, regexp_extract(substr(t, s + 1), '^{run}') AS run FROM ({placed('[A-Z][A-Z][0-9][0-9]')}))
+  ) WHERE len(ends) > 0"""
+        if kind.name == "ssn":
+            return f"""
+  SELECT r, t, array_to_string(parts[j:j + 2], '-') AS m,
+         (s + coalesce(list_sum(list_transform(parts[1:j - 1], lambda x: length(x) + 1)), 0))::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(parts) - 1)) AS j FROM (
+    SELECT r, t, s, string_split(m, '-') AS parts FROM ({placed(kind.plain)})))
+  WHERE length(parts[j]) = 3 AND length(parts[j + 1]) = 2 AND length(parts[j + 2]) = 4"""
+        return placed(kind.plain)
+
     parts = []
     for n, k in enumerate(KINDS):
-        parts.append(rf"""
-SELECT r, {n} AS n, '{k.name}' AS kind, s, s + length(m) AS e FROM (
-  SELECT r, ms[i] AS m, gaps[i] AS gap, list_sum(list_transform(gaps[1:i], lambda x: length(x)))
-         + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
-  FROM (SELECT r, ms, gaps, unnest(range(1, len(ms) + 1)) AS i
-        FROM (SELECT r, regexp_extract_all(t, '{k.plain}') AS ms, regexp_split_to_array(t, '{k.plain}') AS gaps FROM d)))
+        near = f"substr(t, greatest(s - {CONTEXT_CHARS}, 0) + 1, least(s, {CONTEXT_CHARS})) || chr(10) || substr(t, s + length(m) + 1, {CONTEXT_CHARS})"
+        parts.append(f"""
+SELECT r, {n} AS n, '{k.name}' AS kind, s, s + length(m) AS e FROM ({proposals(k)})
 WHERE CASE WHEN {valid[k.name]} THEN {str(k.base).lower()} OR round({k.score} + CASE WHEN
-  regexp_matches(lower(right(gap, {CONTEXT_CHARS})), '{k.context}') THEN {k.raised} ELSE 0 END, 2) >= {NEEDED} ELSE false END""")
+  regexp_matches(lower({near}), '{k.context}') THEN {k.raised} ELSE 0 END, 2) >= {NEEDED} ELSE false END""")
     n_base = len(BASE)
+    iban = [k.name for k in KINDS].index("iban")
     counts = ", ".join(f"count(*) FILTER (kind = '{name}') AS n_{name}" for name in BASE)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 f AS ({' UNION ALL '.join(parts)}),
 k AS (SELECT * FROM f WHERE n < {n_base} OR NOT EXISTS (
-        SELECT 1 FROM f AS b WHERE b.n < {n_base} AND b.r = f.r AND b.s < f.e AND f.s < b.e)),
-g AS (SELECT r, {counts},
+        SELECT 1 FROM f AS b WHERE b.r = f.r AND (b.n < {n_base} AND b.s < f.e AND f.s < b.e
+          OR f.n = {iban} AND b.n = {iban} AND b.s < f.s AND f.s < b.e))),
+g AS (SELECT r, {counts}, count(*) FILTER (kind IN ('{"', '".join(SECRETS)}')) AS n_secret, count(*) AS n_spans,
         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY n, s) FILTER (n < {n_base}) AS base,
         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY n, s) AS spans FROM k GROUP BY r)
-SELECT doc_id, {', '.join(f'coalesce(n_{name}, 0)::BIGINT AS n_{name}' for name in BASE)},
+SELECT doc_id, {', '.join(f'coalesce(n_{name}, 0)::BIGINT AS n_{name}' for name in [*BASE, 'secret', 'spans'])},
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (r)
 """

@@ -92,7 +92,7 @@ def test_first_of_each(docs, none):
     first = jaccard_join.first_of_each(docs)
     assert first.columns == docs.columns
     ids = sorted((r["doc_id"] or -1) for r in first.collect())
-    assert ids == [-1, 1, 4, 5, 6, 7, 9, 10, 12, 13, 14, 15, 16, 17, 18, 19]
+    assert ids == [-1, 1, 4, 5, 6, 7, 9, 10, 12, 13, 14, 15, 16, 17, 18, 19, 19]
     assert jaccard_join.first_of_each(none).count() == 0 and jaccard_join.join(none).count() == 0
 
 
@@ -150,7 +150,7 @@ def brute_lines(rows):
     distinct = sorted({line for _, _, line in lines})
     sets = {line: line_set(line) for line in distinct}
     links = [(a, b) for k, a in enumerate(distinct) for b in distinct[:k]
-             if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+             if sets[a] | sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     roots = reach(distinct, links)
     first, lost = {}, set()
     for doc_id, at, line in lines:
