@@ -1,12 +1,15 @@
 """Benchmark decontamination by winnowing.
 
-Of every WINDOW consecutive words the k-gram with the least hash is kept as their fingerprint,
-so that texts which share WINDOW words or more share a fingerprint there. Documents' and
-items' fingerprints are joined, and a hit is extended to the whole window by comparing the
-windows' own hashes. A bit table of the items' fingerprints, of fixed size, keeps the
-documents' other fingerprints from being shuffled; as it fills, more are, and none is missed.
-
-An item of fewer words is one window; it is its own fingerprint.
+Of every WINDOW consecutive words the k-gram with the least hash is chosen (of equal ones the
+last), and each chosen place is kept once, as a fingerprint. What is chosen in a window depends
+on its words alone, so texts that share WINDOW words or more share a fingerprint there, wherever
+their other words differ. Documents and items are joined on the fingerprint alone; a hit is
+extended to both sides over the hashes of the words beside it, as far as a window through it
+reaches, and counts if a whole window is shared. Longer spans are covered by the hits of their
+other windows. A bit table of the items' fingerprints, of fixed size, keeps the documents'
+other fingerprints from being shuffled; as it fills, more are, and none is missed.
+
+An item of fewer words is one window; it is its own fingerprint, of all n-grams of a document.
 """
 
 from __future__ import annotations
@@ -29,18 +32,38 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WINDOW = 10
 GRAM = 5
 
-_WINDOWS = "item string, at int, n int, print bigint, whole bigint"
-_FOUND = "doc_id bigint, tag bigint, n_words bigint, windows array<struct<at:int,n:int,print:bigint,whole:bigint>>"
+#: Words beside a k-gram that a window through it may hold, on either side.
+REACH = WINDOW - GRAM
+_NEAR = 2 * REACH + GRAM
+
+_WINDOWS = "item string, n int, print bigint, near array<bigint>"
+_FOUND = "doc_id bigint, tag bigint, n_words bigint, windows array<struct<at:int,n:int,print:bigint,near:array<bigint>>>"
 
 
-def _fingerprints(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of a window the least k-gram hash in it, and the hash of the window."""
+def chosen(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the k-grams that winnowing chooses in the texts, and all k-grams' hashes."""
     parts = tokens.grams(hashes, GRAM)
-    whole = tokens.grams(hashes, WINDOW)
-    least = parts[: len(whole)].copy()
-    for k in range(1, WINDOW - GRAM + 1):
-        np.minimum(least, parts[k : k + len(whole)], out=least)
-    return least, whole
+    count = max(len(hashes) - WINDOW + 1, 0)
+    least, place = parts[:count].copy(), np.arange(count)
+    for k in range(1, REACH + 1):
+        later = parts[k : k + count]
+        better = later <= least
+        least[better] = later[better]
+        place[better] = np.flatnonzero(better) + k
+    return np.unique(place[tokens.starts(bounds, WINDOW, count)]), parts
+
+
+def _beside(hashes: np.ndarray, bounds: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
+    """Hashes of the words around each k-gram, `none` where its text has no word."""
+    text = np.searchsorted(bounds, at, "right") - 1
+    places = at[:, None] + np.arange(-REACH, REACH + GRAM)
+    inside = (places >= bounds[text][:, None]) & (places < bounds[text + 1][:, None])
+    return np.where(inside, hashes[np.clip(places, 0, max(len(hashes) - 1, 0))], np.uint64(none))
+
+
+def _as_lists(rows: np.ndarray) -> pa.Array:
+    values = np.ascontiguousarray(rows).reshape(-1).view(np.int64)
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * _NEAR, values)
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,36 +72,34 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         hashes, bounds = tokens.words(*tokens.text_bytes(batch.column("text")), codes)
         ids = np.array(batch.column("item").to_pylist(), dtype=object)
         counts = np.diff(bounds)
-        least, whole = _fingerprints(hashes)
-        at = np.flatnonzero(tokens.starts(bounds, WINDOW, len(whole)))
+        at, parts = chosen(hashes, bounds)
         item = np.searchsorted(bounds, at, "right") - 1
-        rows = [(ids[item], at - bounds[item], np.full(len(at), WINDOW), least[at], whole[at])]
+        rows = [(ids[item], np.full(len(at), WINDOW), parts[at], _beside(hashes, bounds, at, 1))]
         for n in range(1, WINDOW):
             short = np.flatnonzero(counts == n)
             if short.size:
                 own = tokens.grams(hashes, n)[bounds[short]]
-                rows.append((ids[short], np.zeros(len(short), np.int64), np.full(len(short), n), own, own))
+                rows.append((ids[short], np.full(len(short), n), own, np.zeros((len(short), _NEAR), np.uint64)))
         made = [np.concatenate(column) for column in zip(*rows)]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(made[0], pa.string()),
                 pa.array(made[1].astype(np.int32)),
-                pa.array(made[2].astype(np.int32)),
-                pa.array(made[3].astype(np.uint64).view(np.int64)),
-                pa.array(made[4].astype(np.uint64).view(np.int64)),
+                pa.array(made[2].astype(np.uint64).view(np.int64)),
+                _as_lists(made[3].astype(np.uint64)),
             ],
-            names=["item", "at", "n", "print", "whole"],
+            names=["item", "n", "print", "near"],
         )
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, at, n, print, whole), one row per window of an item; the id as a string."""
-    chosen = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
-    return chosen.mapInArrow(_item_windows, _WINDOWS)
+    """(item, n, print, near), one row per fingerprint of an item; the id as a string."""
+    named = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+    return named.mapInArrow(_item_windows, _WINDOWS)
 
 
 def _document_windows(table: np.ndarray, lengths: list[int]):
-    """Windows of documents whose fingerprint may be an item's; a row for each document."""
+    """Fingerprints of documents that may be an item's; a row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = tokens.letters_and_digits()
@@ -86,13 +107,18 @@ def _document_windows(table: np.ndarray, lengths: list[int]):
             hashes, bounds = tokens.words(*tokens.text_bytes(batch.column("text")), codes)
             found = []
             for n in lengths:
-                whole = tokens.grams(hashes, n)
-                prints = whole if n < WINDOW else _fingerprints(hashes)[0]
-                at = np.flatnonzero(bits.passes(table, prints))
-                at = at[tokens.starts(bounds, n, len(whole))[at]]
-                found.append((at, np.full(len(at), n, np.int32), prints[at], whole[at]))
-            found = found or [(np.empty(0, np.int64),) * 4]
-            at, n, prints, whole = (np.concatenate(column) for column in zip(*found))
+                if n == WINDOW:
+                    at, prints = chosen(hashes, bounds)
+                    at = at[bits.passes(table, prints[at])]
+                    near = _beside(hashes, bounds, at, 0)
+                else:
+                    prints = tokens.grams(hashes, n)
+                    at = np.flatnonzero(bits.passes(table, prints))
+                    at = at[tokens.starts(bounds, n, len(prints))[at]]
+                    near = np.zeros((len(at), _NEAR), np.uint64)
+                found.append((at, np.full(len(at), n, np.int32), prints[at], near))
+            found = found or [(np.empty(0, np.int64),) * 3 + (np.empty((0, _NEAR), np.uint64),)]
+            at, n, prints, near = (np.concatenate(column) for column in zip(*found))
             order = np.argsort(at, kind="stable")
             at = at[order]
             doc = np.searchsorted(bounds, at, "right") - 1
@@ -102,9 +128,9 @@ def _document_windows(table: np.ndarray, lengths: list[int]):
                     pa.array((at - bounds[doc]).astype(np.int32)),
                     pa.array(n[order].astype(np.int32)),
                     pa.array(prints[order].astype(np.uint64).view(np.int64)),
-                    pa.array(whole[order].astype(np.uint64).view(np.int64)),
+                    _as_lists(near[order]),
                 ],
-                names=["at", "n", "print", "whole"],
+                names=["at", "n", "print", "near"],
             )
             yield pa.RecordBatch.from_arrays(
                 [
@@ -119,6 +145,16 @@ def _document_windows(table: np.ndarray, lengths: list[int]):
     return run
 
 
+def _extended(near: Column, other: Column) -> tuple[Column, Column]:
+    """How many words before and behind a shared k-gram are shared too, without a gap."""
+    same = F.zip_with(near, other, lambda a, b: a == b)
+
+    def run(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda n, equal: F.when(equal, n + 1).otherwise(0))
+
+    return run(F.slice(same, 1, REACH)), run(F.reverse(F.slice(same, REACH + GRAM + 1, REACH)))
+
+
 def _covered(spans: Column) -> Column:
     """Words in the union of spans (at, n)."""
     begin = F.struct(F.lit(0).cast("int").alias("end"), F.lit(0).cast("bigint").alias("hit"))
@@ -142,24 +178,35 @@ def report(
     id are told apart; equal rows give equal rows. A null text has no words, an item without
     words no window.
     """
-    windows = keep(item_windows(items).distinct())
+    windows = keep(
+        item_windows(items).distinct().withColumn("place", F.xxhash64("print", "n", "near"))
+    )
     lengths = [row[0] for row in windows.select("n").distinct().orderBy("n").collect()]
-    chosen = docs.select(
+    wanted = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"),
         F.xxhash64(F.col(text)).alias("tag"),
         F.col(text).alias("text"),
     )
-    found = keep(chosen.mapInArrow(_document_windows(bits.table(windows.select("print")), lengths), _FOUND))
-    keys = ["print", "whole", "n"]
-    hits = found.where(F.size("windows") > 0).select("doc_id", "tag", F.inline("windows"))
-    hits = hits.join(windows.select(keys).distinct(), keys, "left_semi")
-    spans = hits.groupBy("doc_id", "tag").agg(
-        _covered(F.collect_set(F.struct("at", "n"))).alias("n_hit")
+    found = keep(wanted.mapInArrow(_document_windows(bits.table(windows.select("print")), lengths), _FOUND))
+    prints = found.where(F.size("windows") > 0).select("doc_id", "tag", F.inline("windows"))
+    places = windows.select("place", "print", F.col("n").alias("of"), F.col("near").alias("other")).distinct()
+    before, behind = _extended(F.col("near"), F.col("other"))
+    met = prints.join(places, "print").where(F.col("n") == F.col("of"))
+    long = F.col("n") == WINDOW
+    span = F.struct(
+        F.when(long, F.col("at") - F.col("before")).otherwise(F.col("at")).alias("at"),
+        F.when(long, F.col("before") + GRAM + F.col("behind")).otherwise(F.col("n")).alias("n"),
+    )
+    hits = keep(
+        met.select("doc_id", "tag", "place", "at", "n", before.alias("before"), behind.alias("behind"))
+        .where(~long | (F.col("before") + GRAM + F.col("behind") >= WINDOW))
+        .select("doc_id", "tag", "place", span.alias("span"))
     )
+    spans = hits.groupBy("doc_id", "tag").agg(_covered(F.collect_set("span")).alias("n_hit"))
     named = (
-        hits.select("doc_id", "tag", *keys)
+        hits.select("doc_id", "tag", "place")
         .distinct()
-        .join(windows.select("item", *keys).distinct(), keys)
+        .join(windows.select("item", "place").distinct(), "place")
         .groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
     )

@@ -3,10 +3,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lintlake.llm import decontaminate, graph, jaccard_join, line_dedup
+from lintlake.llm import decontaminate, graph, jaccard_join, line_dedup, tokens
 from tests.llm import cases
 
 
@@ -134,6 +135,40 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.clean_documents(none, bench).count() == 0
 
 
+def test_winnowing():
+    """Each place once, and every shared window of ten words holds a shared fingerprint."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcde") * rng.randrange(1, 3) for _ in range(rng.randrange(60))) for _ in range(40)]
+    shared = [cases.prose(77, 14), "a a a a a a a a a a a a"]
+    texts += [f"{cases.prose(k, 9)} {shared[k % 2]} {cases.prose(k + 50, 9)}" for k in range(8)]
+    hashes, bounds = tokens.words(*tokens.text_bytes(pa.array(texts)), tokens.letters_and_digits())
+    at, parts = decontaminate.chosen(hashes, bounds)
+    assert len(set(at.tolist())) == len(at)
+    own = [words(t) for t in texts]
+    prints = [set(parts[at[(at >= a) & (at < b)]].tolist()) for a, b in zip(bounds[:-1], bounds[1:])]
+    inside = lambda k, n: {tuple(own[k][i : i + n]) for i in range(len(own[k]) - n + 1)}
+    met = 0
+    for k in range(len(texts)):
+        # Fewer than a half of all k-grams are kept.
+        assert len(own[k]) < 30 or len(at[(at >= bounds[k]) & (at < bounds[k + 1])]) < 0.6 * len(own[k])
+        for j in range(k):
+            if inside(k, 10) & inside(j, 10):
+                met += 1
+                assert prints[k] & prints[j]
+    assert met > 10
+
+
+def test_decontamination_joins_on_the_fingerprint_alone(spark):
+    """A shared k-gram that extends to nine words is no hit, to ten is one."""
+    item = cases.prose(5, 40).split()
+    other = cases.prose(6, 40).split()
+    texts = [" ".join([*other[:5], *item[8 : 8 + n], *other[9:20]]) for n in range(5, 26)]
+    docs = spark.createDataFrame(list(enumerate(texts, 5)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[::-1])), (3, " ".join(item))], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.report(docs, bench).collect()}
+    assert got == {n: (n, ["1", "3"]) if n >= 10 else (0, []) for n in range(5, 26)}
+
+
 def line_set(line):
     data = line.encode()
     return {data[i : i + 8] for i in range(len(data) - 7)}
