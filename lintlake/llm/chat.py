@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -24,8 +24,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # and `|`, and doubles a backslash: no mark, and no control string of another template that
 # begins with one of them, is left whole, and taking the backslashes out restores the text.
 _END = "<|end|>"
-_INSIDE = r"(?:[^<\[|\\]|[<\[|\\]\\)*"
-_TURN = re.compile(rf"<\|({_INSIDE})\|>({_INSIDE})<\|end\|>", re.DOTALL)
 ASSISTANT = "assistant"
 
 _CHATS = "conv_id bigint, n_turns bigint, formatted string, loss array<struct<start:bigint,end:bigint>>"
@@ -43,8 +41,8 @@ def unescaped(text: str) -> str:
     return re.sub(r"([<\[|\\])\\", r"\1", text)
 
 
-def fold(messages: list[list[str]], kind: str | None, role: str, text: str) -> None:
-    """Apply one event to the messages so far, each [role, text].
+def fold(messages: list[tuple[str, list[str]]], kind: str | None, role: str, text: str) -> None:
+    """Apply one event to the messages so far, each a role and the parts of its text.
 
     delta: appended to the last message if that is of the role, else a message of its own.
     edit: the last message of the role gets the text, later ones go. regenerate: the last
@@ -52,18 +50,20 @@ def fold(messages: list[list[str]], kind: str | None, role: str, text: str) -> N
     no kind, the event is a new message.
     """
     if kind in ("delta", "regenerate") and messages and messages[-1][0] == role:
-        messages[-1][1] = messages[-1][1] + text if kind == "delta" else text
+        if kind == "regenerate":
+            messages[-1][1].clear()
+        messages[-1][1].append(text)
         return
     if kind == "edit":
         for at in range(len(messages) - 1, -1, -1):
             if messages[at][0] == role:
-                messages[at][1] = text
+                messages[at][1][:] = [text]
                 del messages[at + 1 :]
                 return
-    messages.append([role, text])
+    messages.append((role, [text]))
 
 
-def render(messages: list[list[str]]) -> tuple[str, list[dict]]:
+def render(messages: list[tuple[str, str]]) -> tuple[str, list[dict]]:
     """The formatted conversation and the spans, in code points, of the assistant's texts."""
     parts, spans, at = [], [], 0
     for role, text in messages:
@@ -76,14 +76,16 @@ def render(messages: list[list[str]]) -> tuple[str, list[dict]]:
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
-    """The turns of a formatted conversation."""
+    """The turns of a formatted conversation. No mark is whole within a role or text, so the
+    next one ends it."""
     turns, at = [], 0
     while at < len(formatted):
-        turn = _TURN.match(formatted, at)
-        if turn is None:
+        middle = formatted.find("|>", at + 2) if formatted.startswith("<|", at) else -1
+        end = formatted.find(_END, middle + 2) if middle > 0 else -1
+        if end < 0:
             raise ValueError(f"no turn at {at}")
-        turns.append((unescaped(turn[1]), unescaped(turn[2])))
-        at = turn.end()
+        turns.append((unescaped(formatted[at + 2 : middle]), unescaped(formatted[middle + 2 : end])))
+        at = end + len(_END)
     return turns
 
 
@@ -95,7 +97,7 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     current, messages, done, chars = None, [], [], 0
 
     def finished():
-        return (current[0], len(messages), *render(messages))
+        return (current[0], len(messages), *render([(role, "".join(parts)) for role, parts in messages]))
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays(
@@ -119,6 +121,47 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(done)
 
 
+#: Characters of a streamed delta in a log that is made from finished turns.
+DELTA_CHARS = 200
+
+
+def event_log(
+    turns: DataFrame, conv_id: str = "conv_id", seq: str = "turn", role: str = "role", text: str = "text"
+) -> DataFrame:
+    """A log (conv_id, seq, role, text, kind) that a chat service could have kept of the turns.
+
+    An answer is begun, half streamed, regenerated and streamed whole in deltas; any other turn
+    is sent with its first half and edited. Folding the log gives the turns again, in the order
+    of seq (null first), role and text; equal rows follow each other. The events come in the
+    order of a hash. Nulls are as in `format_chats`.
+    """
+    chosen = turns.select(
+        F.col(conv_id).cast("bigint").alias("conv_id"),
+        F.col(seq).alias("seq"),
+        F.coalesce(F.col(role), F.lit("")).alias("role"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+    )
+    numbered = chosen.withColumn(
+        "seq", F.row_number().over(Window.partitionBy("conv_id").orderBy("seq", "role", "text"))
+    )
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0))
+    half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+
+    def event(kind: str | None, said: Column) -> Column:
+        return F.struct(F.lit(kind).cast("string").alias("kind"), said.alias("said"))
+
+    answer = F.concat(
+        F.array(event(None, F.lit("")), event("delta", half), event("regenerate", F.lit(""))),
+        F.transform(pieces, lambda piece: event("delta", piece)),
+    )
+    other = F.array(event(None, half), event("edit", F.col("text")))
+    events = F.when(F.col("role") == ASSISTANT, answer).otherwise(other)
+    log = numbered.select("conv_id", "seq", "role", F.posexplode(events).alias("step", "event"))
+    return log.select(
+        "conv_id", F.struct("seq", "step").alias("seq"), "role", F.col("event.said").alias("text"), "event.kind"
+    ).sortWithinPartitions(F.xxhash64("conv_id", "seq"))
+
+
 def format_chats(
     events: DataFrame,
     conv_id: str = "conv_id",
@@ -150,12 +193,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for chat in batch.to_pylist():
             formatted = chat["formatted"]
-            turns = "".join(f"{role}\n{text}\n" for role, text in read_back(formatted))
+            read = read_back(formatted)
+            turns = "".join(f"{role}\n{text}\n" for role, text in read)
             loss = "".join(unescaped(formatted[span["start"] : span["end"]]) for span in chat["loss"])
             rows.append(
                 {
                     "conv_id": chat["conv_id"],
-                    "n_turns": len(read_back(formatted)),
+                    "n_turns": len(read),
                     "turns_sha256": hashlib.sha256(turns.encode()).hexdigest(),
                     "loss_chars": len(loss),
                     "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(),

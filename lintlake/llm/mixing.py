@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.columns import running, words_of
+from lintlake.llm.columns import running, text_of, words_of
 from lintlake.sources.store import keep, release
 
 WEIGHTS = (5, 2, 1)
@@ -100,19 +100,22 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     Sized: doc_id, source, size, source_size, target, place (unique in its source and part),
     part, start. The mix: position, source, block, part, place, doc_id, words, one row for each
     document's piece in a slot. Reruns give the same mix. A null text has no words; a document
-    without words is in no slot. Repeated rows are documents of their own.
+    without words is in no slot. Repeated rows are documents of their own; only rows equal in id
+    and text lie in one part whatever their number. An empty table gives an empty mix.
     """
     sizes = keep(
         docs.select(
             F.col(doc_id).alias("doc_id"),
             F.col(source).alias("source"),
             F.size(words_of(F.col(text))).cast("bigint").alias("size"),
+            # By id and text, so that rows without an id, or of one, are spread over all parts.
+            F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")),
+                              F.md5(text_of(text).cast("binary"))).cast("binary")).alias("mark"),
         )
     )
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = keep(targets(totals))
-    shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    lined = sizes.withColumn("mark", shuffled).withColumn(
+    lined = sizes.withColumn(
         "part", F.conv(F.substring("mark", 1, 3), 16, 10).cast("int")
     )
     order = ["mark", "doc_id", "size"]
@@ -142,26 +145,29 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def taken(docs: DataFrame, **names) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words in the mix)."""
+    """One row per document: doc_id, size, source_size, target, taken (words in the mix) and
+    first_slot, the place in the mix where it is first taken, null if it is not."""
     sized, mixed = mix(docs, **names)
     words = mixed.groupBy(
         F.col("source").alias("_source"), F.col("part").alias("_part"), F.col("place").alias("_place")
-    ).agg(F.sum("words").alias("taken"))
+    ).agg(F.sum("words").alias("taken"), F.min("position").alias("first_slot"))
     same = (
         F.col("source").eqNullSafe(F.col("_source"))
         & (F.col("part") == F.col("_part"))
         & (F.col("place") == F.col("_place"))
     )
     return sized.join(words, same, "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_slot"
     )
 
 
 def sql(documents: str = "documents") -> str:
-    """The same rows in SQL: what the blocks of a source cover is one range of its line."""
+    """The same rows in SQL: what the blocks of a source cover is one range of its line, and the
+    schedule's points say which slot takes the block in which a document begins."""
     return rf"""
 WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'),
-             lambda x: x <> ''))::BIGINT AS size FROM {documents}),
+             lambda x: x <> ''))::BIGINT AS size,
+             md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS mark FROM {documents}),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
         (source_size * 2)::DOUBLE AS most FROM s),
@@ -169,11 +175,24 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVE
         / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
       FROM w WINDOW o AS (ORDER BY most / weight, source NULLS LAST)),
 t AS (SELECT source, source_size, coalesce(least(most, weight * max(CASE WHEN level <= most / weight THEN level END) OVER ()), 0) AS target FROM l),
+b AS (SELECT source, ceil(round(target) / {SLOT_WORDS})::BIGINT AS blocks FROM t WHERE round(target) > 0),
+c AS (SELECT source, blocks, sum(blocks) OVER (ORDER BY source NULLS LAST)::DOUBLE / sum(blocks) OVER () AS upto,
+        blocks::DOUBLE / sum(blocks) OVER () AS share, (sum(blocks) OVER ())::BIGINT AS slots FROM b),
+i AS (SELECT unnest(range((SELECT coalesce(sum(blocks), 0)::BIGINT FROM b))) AS id),
+k AS (SELECT id, source, blocks, row_number() OVER (PARTITION BY source ORDER BY id) - 1 AS block
+      FROM (SELECT id, ((id + 1) * {_GOLDEN}::DOUBLE) % 1.0::DOUBLE AS point FROM i)
+      JOIN c ON point >= upto - share AND point < upto),
+h AS (SELECT source, max(block) + 1 AS had FROM k WHERE block < blocks GROUP BY source),
+z AS (SELECT source, block, id AS position FROM k WHERE block < blocks
+      UNION ALL SELECT source, block, slots + block FROM (
+        SELECT c.source, slots, unnest(range(coalesce(had, 0), blocks)) AS block
+        FROM c LEFT JOIN h ON c.source IS NOT DISTINCT FROM h.source)),
 p AS (SELECT d.*, source_size, target, round(target)::BIGINT AS goal,
-        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size
+        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY mark, doc_id, size
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       (greatest(least(goal - start, size), 0) + greatest(least(goal - source_size - start, size), 0))::BIGINT AS taken
-FROM p
+       (greatest(least(goal - start, size), 0) + greatest(least(goal - source_size - start, size), 0))::BIGINT AS taken,
+       CASE WHEN size > 0 AND start < goal THEN position END AS first_slot
+FROM p LEFT JOIN z ON p.source IS NOT DISTINCT FROM z.source AND p.start // {SLOT_WORDS} = z.block
 """

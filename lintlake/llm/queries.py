@@ -92,7 +92,8 @@ def op5(spark, sf):
 def op3(spark, sf):
     tricky = spark.createDataFrame(chat.TRICKY, "conv_id bigint, turn bigint, role string, text string")
     logged = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.digest(chat.format_chats(logged.unionByName(tricky)))
+    log = chat.event_log(logged.unionByName(tricky))
+    return chat.digest(chat.format_chats(log, seq="seq", kind="kind"))
 
 
 @query("op10_language_id")

@@ -2,9 +2,11 @@
 
 A rule is a host, with all its subdomains, and a path prefix. With the host's labels reversed,
 host and path make one canonical key, and the keys a rule covers below its own host are an
-interval of the sorted keys. URLs, once for each rule host above them, and rules are sorted
-together; a sweep carries the last rule that began, with the stack of the rules it is nested
-in. The deepest of them that still covers the URL is the match; the others have closed.
+interval of the sorted keys. The distinct keys of URLs, one for each rule host above them, and
+rules are sorted together; a sweep carries the last rule that began, with the stack of the rules it is nested
+in. The deepest of them that still covers the key is the match; the others have closed. What a
+key matches is the same for all hosts below the rule's, so a path that many hosts share, such as
+`/`, is swept once and joined back to its URLs.
 """
 
 from __future__ import annotations
@@ -82,12 +84,11 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     that with the longer host.
     """
     none = F.lit(None).cast(_stacks(rules).schema["stack"].dataType)
-    points = _points(urls, rules).withColumn("stack", none)
-    begins = _stacks(rules).select(F.lit(None).cast("string").alias("host"),
-                                   F.lit(None).cast("string").alias("path"), "key", "stack")
+    points = keep(_points(urls, rules))
+    keys = points.select("key").distinct().withColumn("stack", none)
     # Stored with the number of its range, so that both uses below see the same ranges.
     swept = keep(
-        points.unionByName(begins).repartitionByRange("key").withColumn("slice", F.spark_partition_id())
+        keys.unionByName(_stacks(rules)).repartitionByRange("key").withColumn("slice", F.spark_partition_id())
     )
     begun = F.col("stack").isNotNull()
     last = swept.where(begun).groupBy("slice").agg(F.max_by("stack", "key").alias("last"))
@@ -102,12 +103,15 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
     open_ = F.coalesce(F.last("stack", ignorenulls=True).over(upto), F.col("carried"))
     fits = F.filter("open", lambda rule: F.col("key").startswith(rule["prefix"]))
-    found = (
+    tops = (
         swept.join(carried, "slice", "left")
         .withColumn("open", open_)
         .where(F.col("stack").isNull())
-        .select("host", "path", F.get(fits, F.lit(0)).alias("top"))
+        .select("key", F.get(fits, F.lit(0)).alias("top"))
         .where("top IS NOT NULL")
+    )
+    found = (
+        points.join(tops, "key")
         .select("host", "path", F.concat("top.host", "top.path").alias("rule"),
                 F.col("top.host").alias("rule_host"), F.col("top.verdict").alias("verdict"))
     )

@@ -3,6 +3,8 @@
 import itertools
 import math
 import random
+import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -222,3 +224,46 @@ def test_quality_sample_is_of_documents_at_hand(spark, monkeypatch):
     model = quality_crf.learn(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"))
     score = {r["doc_id"]: r["score"] for r in quality_crf.score(docs, model).collect()}
     assert model and all((score[k * 100] > 0.5) == bool(k % 2) for k in range(60))
+
+
+def test_chat_log_is_folded_back(spark):
+    """Deltas, regenerations and edits give the turns again, also equal, null and long ones."""
+    rng = random.Random(12)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "é<|end|>x" * rng.randrange(200), "same"]))
+            for c in range(6) for t in (0, 0, 1, 2, None)]
+    rows += [(3, 1, "assistant", "twice " * 90)] * 3 + [(None, 0, "assistant", "x")]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    log = chat.event_log(table)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {None, "delta", "edit", "regenerate"}
+    plain = chat.digest(chat.format_chats(table)).collect()
+    folded = chat.digest(chat.format_chats(log.repartition(5), seq="seq", kind="kind")).collect()
+    assert sorted(map(repr, plain)) == sorted(map(repr, folded))
+
+
+def test_chat_long_turns_and_many_deltas(spark):
+    """Time and memory follow the text: ten million characters, and two hundred thousand deltas."""
+    text = "a<b[c|d\\\\" * 1_200_000
+    formatted, _ = chat.render([("user", text), ("assistant", "ok")])
+    tracemalloc.start()
+    assert chat.read_back(formatted) == [("user", text), ("assistant", "ok")]
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    messages, began = [], time.monotonic()
+    for _ in range(200_000):
+        chat.fold(messages, "delta", "assistant", "word ")
+    assert len("".join(messages[0][1])) == 1_000_000 and time.monotonic() - began < 2
+
+
+def test_mix_has_its_slots(spark):
+    """The first slot is the schedule's, and rows without an id are spread over parts."""
+    rows = [(None if k % 2 else k, f"w{k} " * (k % 700), "abc"[k % 3]) for k in range(300)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sized, mixed = mixing.mix(table, slot_words=64)
+    assert sized.where("doc_id IS NULL").select("part").distinct().count() > 100
+    firsts = {}
+    for r in mixed.collect():
+        key = (r["source"], r["part"], r["place"])
+        firsts[key] = min(firsts.get(key, r["position"]), r["position"])
+    got = mixing.taken(table, slot_words=64).collect()
+    assert sorted(r["first_slot"] for r in got if r["first_slot"] is not None) == sorted(firsts.values())
+    assert all((r["first_slot"] is None) == (r["taken"] == 0) for r in got)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintlake.llm import pii, quality_rules, url_filter
+from lintlake.sources.store import keep
 from tests.llm import cases
 
 
@@ -200,3 +201,15 @@ def test_pii_keeps_columns_of_any_name(spark):
     found = pii.find(table)
     assert found.columns == [*table.columns, "spans"]
     assert found.select(table.columns).first() == rows[0] and found.first()["spans"][0]["end"] == 6
+
+
+def test_a_path_of_many_hosts_is_swept_once(spark, monkeypatch):
+    """Forty thousand home pages below one rule are one key, and one row of the sweep."""
+    pages = spark.range(40_000).selectExpr("id AS page_id", "concat('http://h', id, '.com/') AS url")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    stored = []
+    monkeypatch.setattr(url_filter, "keep", lambda table: stored.append(keep(table)) or stored[-1])
+    got = url_filter.judge(pages, rules)
+    assert got.where("rule = 'com/' AND verdict = 'allow'").count() == 40_000
+    swept = next(table for table in stored if "slice" in table.columns)
+    assert swept.count() == 1 + len(url_filter.RULES)
