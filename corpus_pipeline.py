@@ -2,12 +2,22 @@
 
 Each stage takes what the one before has kept, written as Parquet and read again. All but the
 last return the columns of `documents`; the last returns the words that the mix takes of each.
+
+A stage called by itself leaves the tables that its result reads in the folder for intermediate
+tables. `run` removes those of all stages but the last, whose result it returns; it holds no
+state, so several runs, also at once, do not touch each other's tables.
+
+Null texts have no words, are rejected by the first stage and so reach no other. Rows equal in
+all columns are documents of their own until the third stage, which keeps one of each group of
+copies; ties there go to the least id, nulls last. Null ids and sources are kept as such. Other
+columns pass through, whatever their names. An empty table gives an empty mix. As line
+deduplication comes before near duplicates, near copies meet the third stage as what is left of
+them beside their shared lines, and most that were similar are not any more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,51 +26,29 @@ from lintlake.llm import decontaminate, jaccard_join, line_dedup, mixing, qualit
 from lintlake.sources.store import keep, recorded, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[DataFrame] = []
-
-
-def stage(run: Stage) -> Stage:
-    """A stage starts by removing the tables that the one before has left: its result, which
-    reads them, has been written by then."""
-
-    @wraps(run)
-    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(*_left)
-        _left.clear()
-        with recorded() as made:
-            result = run(spark, docs, sf_dir)
-        _left[:] = made
-        return result
-
-    return staged
 
 
-@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality_rules.kept_documents(docs)
 
 
-@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines that repeat, exactly or nearly, one stays; documents left without a word go."""
     left = line_dedup.deduplicated(docs)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
-@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share three quarters of their shingles one stays."""
     return jaccard_join.first_of_each(docs)
 
 
-@stage
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix of sources takes of each document."""
     return mixing.taken(docs)
@@ -81,11 +69,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (_, run_stage) in enumerate(STAGES):
-        made = run_stage(spark, docs, sf_dir)
-        if at == len(STAGES) - 1:
-            return made
-        made = keep(made)
-        release(docs)
-        docs = made
-    return docs
+    for _, run_stage in STAGES[:-1]:
+        with recorded() as left:
+            made = run_stage(spark, docs, sf_dir)
+        kept = keep(made)
+        release(docs, *left)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

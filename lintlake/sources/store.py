@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PREFIX = "kept-"
-_records: list[list[DataFrame]] = []
+# What is kept within `recorded` blocks, of the thread or task that opened them only.
+_records: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("records", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +33,7 @@ def keep(table: DataFrame, folder: str | None = None) -> DataFrame:
     path = f"{(folder or shared_dir(spark)).rstrip('/')}/{_PREFIX}{uuid.uuid4().hex}"
     table.write.parquet(path)
     kept = spark.read.schema(table.schema).parquet(path)
-    for record in _records:
+    for record in _records.get():
         record.append(kept)
     return kept
 
@@ -40,11 +42,11 @@ def keep(table: DataFrame, folder: str | None = None) -> DataFrame:
 def recorded() -> Iterator[list[DataFrame]]:
     """A list of what is kept inside the block, to be released when no result needs it."""
     record: list[DataFrame] = []
-    _records.append(record)
+    opened = _records.set((*_records.get(), record))
     try:
         yield record
     finally:
-        _records[:] = [other for other in _records if other is not record]
+        _records.reset(opened)
 
 
 def release(*tables: DataFrame) -> None:
