@@ -22,12 +22,15 @@ def _contains_any(strings: Column) -> Column:
     return F.exists(strings, lambda s: F.contains(F.col("folded"), s))
 
 
-def _candidates() -> Column:
-    """The rules of the file's language whose needed strings all occur."""
+def _candidates(only: Column | None = None) -> Column:
+    """The rules of the file's language, or those of them at some positions, whose needed
+    strings all occur."""
     open_groups = F.filter(
         "groups", lambda group: (F.size(group["gate"]) == 0) | _contains_any(group["gate"])
     )
     checks = F.flatten(F.transform(open_groups, lambda group: group["checks"]))
+    if only is not None:
+        checks = F.filter(checks, lambda check: F.array_contains(only, check["ord"]))
     return F.filter(checks, lambda check: F.forall(check["needs"], _contains_any))
 
 
@@ -39,14 +42,14 @@ def _marked(check: Column) -> Column:
     )
 
 
-def _hits() -> Column:
-    """The lines the file's rules match on."""
+def _hits(only: Column | None = None) -> Column:
+    """The lines the file's rules, or those of them at some positions, match on."""
 
     def searched(check: Column) -> Column:
         return F.struct(check["ord"].alias("ord"), _marked(check).alias("marked"))
 
     found = F.filter(
-        F.transform(_candidates(), searched), lambda rule: matching.has_marks(rule["marked"])
+        F.transform(_candidates(only), searched), lambda rule: matching.has_marks(rule["marked"])
     )
     lines = F.transform(found, lambda rule: matching.marked_lines(rule["marked"], ord=rule["ord"]))
     return F.coalesce(F.flatten(lines), F.array())
@@ -92,16 +95,8 @@ def _scanned(
 ) -> DataFrame:
     active = (builtin_rules() if rules is None else rules).at_least(min_severity)
     text = F.col("text")
-    prepared = files.select(
-        "path", "language", txt.unify_newlines(text).alias("text")
-    ).withColumns(
-        {
-            "folded": txt.fold_case(text),
-            "check_key": active.check_key(F.col("language"), text),
-        }
-    )
-    checks = F.broadcast(active.by_language(files.sparkSession))
-    return prepared.join(checks, "check_key").select(
+    prepared = files.select("path", "language", txt.unify_newlines(text).alias("text"))
+    return _with_checks(prepared, active).select(
         "path",
         "language",
         F.coalesce(txt.line_count(text), F.lit(0)).alias("lines"),
@@ -109,6 +104,18 @@ def _scanned(
     )
 
 
+def _with_checks(texts: DataFrame, active: RuleSet) -> DataFrame:
+    """Texts with unified newlines beside the rules of their language."""
+    text = F.col("text")
+    keyed = texts.withColumns(
+        {
+            "folded": txt.fold_case(text),
+            "check_key": active.check_key(F.col("language"), text),
+        }
+    )
+    return keyed.join(F.broadcast(active.by_language(texts.sparkSession)), "check_key")
+
+
 def hit_rows(scanned: DataFrame) -> DataFrame:
     """One slim row per file, rule and line with matches: no rule text, and the line only
     once however many matches start on it."""

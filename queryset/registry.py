@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from lintlake import schema
 from lintlake.functions import matching, paths, severity, text
-from lintlake.operators import compare, manifest, metrics, surface
+from lintlake.operators import compare, manifest, metrics, segmented, surface
 from lintlake.operators.scan import (
     count_files,
+    describe,
+    each_match,
     findings,
     ordered_findings,
     scan,
@@ -325,6 +327,18 @@ def single_file_scan(spark, sf):
     return scan(read_tree(spark, f"{_written_tree(spark, sf)}/{largest}")).select(PLACE)
 
 
+@query("segmented_scan", found(
+    scannable_sql(f"(SELECT path, language, strlen(text) AS size, text FROM {RENDERED})"),
+    SELECT_PLACE))
+def segmented_scan(spark, sf):
+    """The written tree with every file read in segments of a few lines, as a huge one would be."""
+    root = _written_tree(spark, sf)
+    listing = list_tree(spark, root).withColumn("language", paths.detect_language(F.col("path")))
+    listing = scannable(listing).select("path", "size")
+    hits, _ = segmented.large_hits(listing, root, segment=128, behind=96)
+    return describe(each_match(hits), builtin_rules()).select(PLACE)
+
+
 @query("tree_listing", f"""
 SELECT path, strlen(text) AS size FROM {RENDERED} WHERE NOT ({skipped_sql('path')})""")
 def tree_listing(spark, sf):
