@@ -54,6 +54,26 @@ def kept_findings(current: DataFrame, baseline: DataFrame, rules: RuleSet | None
     return _compared(current, baseline, rules, "left_semi")
 
 
+def new_since_report(
+    current: DataFrame, reported: DataFrame, rules: RuleSet | None = None
+) -> DataFrame:
+    """Findings of the current scan that a report does not have, by fingerprint.
+
+    `reported` has rule_id, file_path and line_content, as `reports.read_findings` gives them.
+    Only their fingerprints are joined with slim rows.
+    """
+    rules = builtin_rules() if rules is None else rules
+    first: dict[str, int] = {}
+    for position, rule_id in enumerate(rules.by_position(lambda rule: rule.rule_id)):
+        first.setdefault(rule_id, position)
+    known = current.sparkSession.createDataFrame(
+        [(k, v) for k, v in first.items() if k is not None], "rule_id string, rule_key int"
+    )
+    keys = with_fingerprint(reported).join(F.broadcast(known), "rule_id").select(_KEY).distinct()
+    joined = _hits(current, rules).join(keys, _KEY, "left_anti").drop("rule_key")
+    return describe(each_match(joined), rules)
+
+
 def _suppressed(
     scanned: DataFrame, suppressions: DataFrame, as_of: str, rules: RuleSet
 ) -> DataFrame:

@@ -8,7 +8,7 @@ pass of its regular expression (see `functions.matching`).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake import schema
@@ -16,6 +16,7 @@ from lintlake.functions import matching
 from lintlake.functions import severity as sev
 from lintlake.functions import text as txt
 from lintlake.rules import RuleSet, builtin_rules
+from lintlake.sources.store import keep
 
 
 def _contains_any(strings: Column) -> Column:
@@ -177,6 +178,36 @@ def ordered_findings(scanned: DataFrame, rules: RuleSet | None = None) -> DataFr
     return each_match(placed).select(_FINDING)
 
 
+def positioned_findings(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """Findings with `position`: their place, from 1, in the order of `ordered_findings`.
+
+    Slim rows are range-partitioned by the order and stored with the number of their range.
+    The ranges' sums of matches, one number each, give where each begins; within a range a
+    running sum goes on from there. No task gets more than a range. Of findings that are equal
+    in the whole order, as in files that share a path, either may come first.
+    """
+    rules = builtin_rules() if rules is None else rules
+    order = [*[c for c in schema.ORDER_COLUMNS if c != "match_ord"], "line_hash"]
+    hashed = hit_rows(scanned).withColumn("line_hash", F.xxhash64("line_content"))
+    slim = rank(hashed.hint("rebalance"), rules)
+    placed = keep(slim.repartitionByRange(*order).withColumn("slice", F.spark_partition_id()))
+    sums = placed.groupBy("slice").agg(F.sum("matches").alias("matches")).orderBy("slice").collect()
+    begins, before = [], 0
+    for row in sums:  # a number for each range
+        begins.append((row["slice"], before))
+        before += row["matches"]
+    starts = scanned.sparkSession.createDataFrame(begins, "slice int, before bigint")
+    earlier = Window.partitionBy("slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("matches").over(earlier), F.lit(0))
+    numbered = (
+        placed.join(F.broadcast(starts), "slice")
+        .withColumn("position", F.col("before") + within)
+        .drop("slice", "before")
+    )
+    each = each_match(describe(numbered, rules))
+    return each.withColumn("position", F.col("position") + F.col("match_ord")).select(*_FINDING, "position")
+
+
 def scan(
     files: DataFrame, rules: RuleSet | None = None, min_severity: str = "info"
 ) -> DataFrame:

@@ -497,6 +497,32 @@ def text_report(
     return _lay_out(parts, _BY_FILE, rules, line)
 
 
+# What a report in JSON says of a finding; `cwe_id` is there only if it has one.
+_IN_JSON = ", ".join(
+    f"{name} {'int' if name == 'line_number' else 'string'}" for name in schema.FINDING_COLUMNS
+)
+
+
+def read_findings(report: DataFrame) -> DataFrame:
+    """The findings of a JSON report, read back from its lines (a column `line` or `value`).
+
+    Every line is taken by itself, so a report of any size is read in parallel: one that starts
+    an object with a rule's id, after a comma or not, is a finding. A report that another
+    program has laid out anew, with all in one line or a finding over several, is read by
+    `read_any_findings`. Lines that are no JSON of a finding are passed over.
+    """
+    line = F.col("line" if "line" in report.columns else "value")
+    found = F.from_json(F.ltrim(line, F.lit(", \t")), _IN_JSON)
+    return report.select(found.alias("f")).where("f.rule_id IS NOT NULL").select("f.*")
+
+
+def read_any_findings(spark, path: str) -> DataFrame:
+    """The findings of JSON reports in any layout; each file is one document and one task."""
+    layout = f"findings array<struct<{', '.join(part.replace(' ', ':', 1) for part in _IN_JSON.split(', '))}>>"
+    documents = spark.read.schema(layout).option("multiLine", True).json(path)
+    return documents.select(F.inline("findings")).where("rule_id IS NOT NULL")
+
+
 def step_summary(summary_row: DataFrame, tool: str = TOOL) -> DataFrame:
     """The short table of a workflow step, from a summary row."""
     counts = [

@@ -13,19 +13,21 @@ from pyspark.sql import functions as F
 
 from lintlake import schema
 from lintlake.functions import matching, paths, severity, text
-from lintlake.operators import compare, manifest, metrics, segmented, surface
+from lintlake.operators import compare, incremental, manifest, metrics, segmented, surface
 from lintlake.operators.scan import (
     count_files,
     describe,
     each_match,
     findings,
     ordered_findings,
+    positioned_findings,
     scan,
     scan_files,
 )
 from lintlake.plans import reports
 from lintlake.rules import RULES, Rule, RuleSet, builtin_rules
 from lintlake.rules.ruleset import categories_in_use, duplicate_ids
+from lintlake.sources.findings import read_findings, write_findings
 from lintlake.sources.store import keep, remove_folder, shared_dir
 from lintlake.sources.tables import from_table, scannable, skip_reason, spread
 from lintlake.sources.tree import list_tree, read_tree
@@ -145,6 +147,14 @@ def ordered(spark, sf):
     return ordered_findings(rendered_scan(spark, sf)).select(ORDERED)
 
 
+@query("finding_positions", found(
+    TREE, f"SELECT {', '.join(PLACE)}, row_number() OVER (ORDER BY {', '.join(schema.ORDER_COLUMNS)}) AS position "
+    "FROM findings"))
+def finding_positions(spark, sf):
+    """Every finding with its place in the order."""
+    return positioned_findings(rendered_scan(spark, sf)).select(*PLACE, "position")
+
+
 @query("min_severity_high", found(
     RENDERED, SELECT_PLACE, lambda rule: rule.severity in ("critical", "high")))
 def min_severity_high(spark, sf):
@@ -205,6 +215,49 @@ for _rule in RULES:
     QUERIES[f"rule_{_rule.rule_id.lower()}"] = _rule_query(_rule)
 
 
+def _older(files):
+    """The documents before a change: some texts were others, some were not there, some have gone."""
+    key = F.col("path").cast("bigint")
+    before = files.withColumn("text", F.when(key % 7 == 2, F.concat(F.lit("eval(x) "), "text")).otherwise(F.col("text")))
+    gone = files.where(key % 13 == 5).withColumn("path", F.concat(F.lit("gone/"), "path"))
+    return before.where(key % 11 != 3).unionByName(gone)
+
+
+@query("stored_findings", found(
+    TREE, f"{SELECT_PLACE} WHERE rule_id IN ('SEC001', 'SEC004') OR category = 'performance'"))
+def stored_findings(spark, sf):
+    """Findings of some rules from a table on file: other severities are not read."""
+    place = f"{shared_dir(spark)}/findings-{uuid.uuid4().hex}"
+    write_findings(findings(rendered_scan(spark, sf)), place)
+    found_rows = keep(read_findings(spark, place, ["SEC001", "SEC004"], ["performance"]).select(PLACE))
+    remove_folder(spark, place)
+    return found_rows
+
+
+@query("rescan", found(DOCUMENTS, SELECT_PLACE))
+def rescan(spark, sf):
+    """The documents scanned from the stored scan of an older state."""
+    files = corpora.documents(spark, sf)
+    stored = keep(incremental.keyed_scan(_older(files)))
+    return findings(incremental.rescan(files, stored).scanned).select(PLACE)
+
+
+@query("rescan_tally", found(DOCUMENTS, """, t AS (
+  SELECT NULL AS language, rule_id, severity, category, 0 AS files, 0 AS lines, count(*) AS findings
+  FROM findings GROUP BY ALL
+  UNION ALL
+  SELECT language, NULL, NULL, NULL, count(*), sum(length(text) - length(replace(text, chr(10), '')) + 1), 0
+  FROM files GROUP BY language)
+SELECT language, rule_id, severity, category, files::BIGINT AS files, lines::BIGINT AS lines, findings::BIGINT AS findings
+FROM t"""))
+def rescan_tally(spark, sf):
+    """The tally after the change from the one before it and what changed."""
+    files = corpora.documents(spark, sf)
+    stored = keep(incremental.keyed_scan(_older(files)))
+    changes = incremental.rescan(files, stored)
+    return incremental.adjusted_tally(metrics.tally(stored), changes)
+
+
 @query("stream_scan", found(
     DOCUMENTS, "SELECT rule_id, count(*) AS findings FROM findings GROUP BY rule_id"))
 def stream_scan(spark, sf):
@@ -701,6 +754,17 @@ def new_findings(spark, sf):
     return compare.new_findings(*_versions(spark, sf)).select(COMPARED)
 
 
+@query("new_since_report", _compare_sql(_NEW, _OLD, "NOT EXISTS"))
+def new_since_report(spark, sf):
+    """Against the written JSON report of the older scan, as a team has it on file."""
+    current, baseline = _versions(spark, sf)
+    place = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    reports.write_report(reports.json_report(keep(baseline)), place)
+    reported = keep(reports.read_findings(spark.read.text(place)))
+    remove_folder(spark, place)
+    return compare.new_since_report(current, reported).select(COMPARED)
+
+
 @query("fixed_findings", _compare_sql(_OLD, _NEW, "NOT EXISTS"))
 def fixed_findings(spark, sf):
     return compare.fixed_findings(*_versions(spark, sf)).select(COMPARED)
