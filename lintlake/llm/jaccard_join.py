@@ -463,8 +463,10 @@ def _rooted(
     buckets = max(1, -(-total // BUCKET))
     common = _common_tokens(classes, total)
     packed = chosen.select("text").mapInArrow(_packed(shingle, buckets, common), _PACKED)
-    shared = packed.groupBy("bucket").applyInArrow(_shared_tokens(buckets), _PACKED)
-    sets = keep(shared.groupBy("bucket").applyInArrow(_sets(percent), _SETS))
+    # As many tasks as buckets, so that what a task reads does not grow with the corpus.
+    dealt = packed.repartition(buckets, "bucket").groupBy("bucket")
+    shared = dealt.applyInArrow(_shared_tokens(buckets), _PACKED)
+    sets = keep(shared.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sets(percent), _SETS))
     members = sets.select(F.explode("prefix").alias("mark"), "class", "n")
     grouped = keep(groups(members, percent))
     found = components(verified_links(sets, grouped, percent, block))
