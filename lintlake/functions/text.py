@@ -14,7 +14,7 @@ WHITE_SPACE = (
 
 # The non-ASCII characters that equal an ASCII letter when case is ignored
 # (long s, dotless i, dotted I, Kelvin sign).
-_FOLDS = {"ſ": "s", "ı": "i", "İ": "i", "K": "k"}
+FOLDS = {"ſ": "s", "ı": "i", "İ": "i", "K": "k"}
 
 
 def unify_newlines(text: Column) -> Column:
@@ -46,9 +46,9 @@ def line_at(text: Column, number: Column) -> Column:
 def fold_case(text: Column) -> Column:
     """Lower case, with every character that equals an ASCII letter turned into it."""
     special = F.lit(False)
-    for char in _FOLDS:
+    for char in FOLDS:
         special = special | F.contains(text, F.lit(char))
-    unified = F.translate(text, "".join(_FOLDS), "".join(_FOLDS.values()))
+    unified = F.translate(text, "".join(FOLDS), "".join(FOLDS.values()))
     return F.when(special, F.lower(unified)).otherwise(F.lower(text))
 
 

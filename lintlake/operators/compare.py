@@ -9,7 +9,8 @@ from lintlake.functions import text
 from lintlake.operators.scan import describe, each_match, hit_rows
 from lintlake.rules import RuleSet, builtin_rules
 
-_KEY = ["rule_key", "file_path", "line_hash"]
+# What makes two findings the same.
+FINGERPRINT = ["rule_key", "file_path", "line_hash"]
 
 
 def with_fingerprint(findings: DataFrame) -> DataFrame:
@@ -17,8 +18,14 @@ def with_fingerprint(findings: DataFrame) -> DataFrame:
     return findings.withColumn("line_hash", F.sha2(text.strip(F.col("line_content")), 256))
 
 
-def _hits(scanned: DataFrame, rules: RuleSet) -> DataFrame:
-    """A scan's slim rows with their key: the first rule of the id, the path, the line's hash."""
+def fingerprints(scanned: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """A scan's slim rows with their key: the first rule of the id, the path, the line's hash.
+
+    Rows that have it already, as `sources.bucketed` stores them, stay as they are.
+    """
+    if set(FINGERPRINT) <= set(scanned.columns):
+        return scanned
+    rules = builtin_rules() if rules is None else rules
     first: dict[str, int] = {}
     for position, rule_id in enumerate(rules.by_position(lambda rule: rule.rule_id)):
         first.setdefault(rule_id, position)
@@ -31,11 +38,12 @@ def _compared(left: DataFrame, right: DataFrame, rules: RuleSet | None, how: str
     """Findings of one scan that the other has, or has not, by fingerprint.
 
     Slim rows are joined, a line once for each rule however many matches are on it, against
-    the other scan's distinct keys; rule text and repeated matches come after the join.
+    the other scan's distinct keys; rule text and repeated matches come after the join. Either
+    side may be a scan or its `fingerprints`; two that are stored in buckets are not shuffled.
     """
     rules = builtin_rules() if rules is None else rules
-    keys = _hits(right, rules).select(_KEY).distinct()
-    joined = _hits(left, rules).join(keys, _KEY, how).drop("rule_key")
+    keys = fingerprints(right, rules).select(FINGERPRINT).distinct()
+    joined = fingerprints(left, rules).join(keys, FINGERPRINT, how).drop("rule_key")
     return describe(each_match(joined), rules)
 
 
@@ -69,8 +77,8 @@ def new_since_report(
     known = current.sparkSession.createDataFrame(
         [(k, v) for k, v in first.items() if k is not None], "rule_id string, rule_key int"
     )
-    keys = with_fingerprint(reported).join(F.broadcast(known), "rule_id").select(_KEY).distinct()
-    joined = _hits(current, rules).join(keys, _KEY, "left_anti").drop("rule_key")
+    keys = with_fingerprint(reported).join(F.broadcast(known), "rule_id").select(FINGERPRINT).distinct()
+    joined = fingerprints(current, rules).join(keys, FINGERPRINT, "left_anti").drop("rule_key")
     return describe(each_match(joined), rules)
 
 

@@ -24,9 +24,10 @@ from lintlake.operators.scan import (
     scan,
     scan_files,
 )
-from lintlake.plans import reports
+from lintlake.plans import in_sql, reports
 from lintlake.rules import RULES, Rule, RuleSet, builtin_rules
 from lintlake.rules.ruleset import categories_in_use, duplicate_ids
+from lintlake.sources.bucketed import write_hits
 from lintlake.sources.findings import read_findings, write_findings
 from lintlake.sources.store import keep, remove_folder, shared_dir
 from lintlake.sources.tables import from_table, scannable, skip_reason, spread
@@ -142,6 +143,37 @@ def scan_conversations(spark, sf):
     return scan(corpora.conversations(spark, sf)).select(PLACE)
 
 
+@query("sql_findings", found(
+    DOCUMENTS, f"{SELECT_PLACE} WHERE category <> 'secret'"))
+def sql_findings(spark, sf):
+    """The scan in SQL text alone: functions of the session and the view of the rules."""
+    in_sql.register(spark)
+    return spark.sql(f"""
+        WITH scanned AS (
+          SELECT CAST(doc_id AS STRING) AS file_path, lint_lines('python', text) AS hits
+          FROM parquet.`{sf}/documents.parquet`),
+        lines AS (SELECT * FROM scanned LATERAL VIEW OUTER inline(hits) hit WHERE rule_ord IS NOT NULL)
+        SELECT rule_id, severity, file_path, line_number, match_ord, line_content
+        FROM lines JOIN (SELECT rule_ord, category FROM lint_rules) USING (rule_ord)
+        LATERAL VIEW explode(sequence(1, matches)) each AS match_ord
+        WHERE category <> 'secret'""")
+
+
+@query("sql_counts", found(
+    TREE, "SELECT language, rule_id, count(*) AS findings FROM findings JOIN files ON file_path = path GROUP BY ALL"))
+def sql_counts(spark, sf):
+    """Counts by language and rule in SQL, over a view of the caller's own."""
+    in_sql.register(spark)
+    name = f"files_{uuid.uuid4().hex}"
+    tree_files(spark, sf).createOrReplaceTempView(name)
+    counted = spark.sql(f"""
+        SELECT language, rule_id, sum(matches) AS findings
+        FROM (SELECT lint_language(path) AS language, lint_counts(lint_language(path), text) AS counts FROM {name})
+        LATERAL VIEW OUTER inline(counts) counted WHERE rule_id IS NOT NULL GROUP BY ALL""")
+    spark.catalog.dropTempView(name)
+    return counted
+
+
 @query("ordered_findings", found(TREE, SELECT_ALL + f" ORDER BY {', '.join(schema.ORDER_COLUMNS)}"))
 def ordered(spark, sf):
     return ordered_findings(rendered_scan(spark, sf)).select(ORDERED)
@@ -737,6 +769,8 @@ def _versions(spark, sf):
 _OLD = f"(SELECT path, language, size, replace(replace(text, 'DEBUG', 'LEVEL'), 'debug', 'level') AS text FROM {TREE})"
 _NEW = f"(SELECT path, language, size, 'x = 1' || chr(10) || replace(text, 'password', 'passphrase') AS text FROM {TREE})"
 _STRIPPED = "sha256(regexp_replace(line_content, '^\\s+|\\s+$', '', 'g'))"
+# For these tables; a hundred terabytes of texts would take some thousands.
+_BUCKETS = 16
 COMPARED = ["rule_id", "file_path", "line_number", "match_ord", "line_hash"]
 
 
@@ -765,6 +799,21 @@ def new_since_report(spark, sf):
     return compare.new_since_report(current, reported).select(COMPARED)
 
 
+@query("new_findings_stored", _compare_sql(_NEW, _OLD, "NOT EXISTS"))
+def new_findings_stored(spark, sf):
+    """Both scans on file in buckets, compared without a shuffle of either."""
+    tables = {}
+    for name, scanned in zip(("current", "baseline"), _versions(spark, sf)):
+        table = f"{name}_{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/{table}"
+        tables[table] = path, write_hits(scanned, table, _BUCKETS, path)
+    compared = keep(compare.new_findings(*[hits for _, hits in tables.values()]).select(COMPARED))
+    for table, (path, _) in tables.items():
+        spark.sql(f"DROP TABLE {table}")
+        remove_folder(spark, path)
+    return compared
+
+
 @query("fixed_findings", _compare_sql(_OLD, _NEW, "NOT EXISTS"))
 def fixed_findings(spark, sf):
     return compare.fixed_findings(*_versions(spark, sf)).select(COMPARED)
