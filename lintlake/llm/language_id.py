@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm import tokens
 from lintlake.llm.columns import held_out
+from lintlake.sources.store import keep, release
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -28,6 +29,12 @@ ORDER = 4
 #: Documents of a language that are learned from, and of all languages together, at most.
 SAMPLE = 400
 SAMPLE_ALL = 40_000
+#: Bytes of all their texts, and of one, at most: longer documents are not learned from.
+SAMPLE_BYTES = 256 * 1024 * 1024
+LONGEST = SAMPLE_BYTES // 16
+#: Numbers in the model's largest table, grams times languages, at most. Beyond it the grams
+#: with fewest uses are left out.
+CELLS = 1 << 27
 UNKNOWN = "und"
 _PAD = 10  # what stands before a text
 _PIECE = 1 << 17
@@ -78,12 +85,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """doc_id and lang of the documents to learn from: the SAMPLE of least hash per language."""
+    """doc_id, lang and rank of the documents to learn from: the SAMPLE of least hash per language.
+
+    Ids are counted by language first; then only those go on whose hash is below what twice the
+    sample needs, so that a language with most documents is not ranked as a whole. An id that is
+    repeated counts once.
+    """
     known = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order))
+    known = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
+    ids = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
+    # Bounded: at most SAMPLE_ALL short rows.
+    most = F.broadcast(ids.orderBy("lang").limit(SAMPLE_ALL))
+    below = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), 2 * SAMPLE / F.col("ids"))
+    few = known.join(most, "lang").where(F.col("hash").cast("double") <= below).select("doc_id", "lang", "hash").distinct()
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    ranked = few.withColumn("rank", F.row_number().over(order))
     drawn = ranked.where(F.col("rank") <= SAMPLE).orderBy("rank", "lang").limit(SAMPLE_ALL)
-    return drawn.select("doc_id", "lang").distinct()
+    return drawn.select("doc_id", "lang", "rank")
 
 
 class Model:
@@ -180,15 +198,46 @@ class _Table:
         return found, row[found]
 
 
+def _within_bytes(texts: DataFrame) -> DataFrame:
+    """The sample's texts, in the order of their ranks, up to SAMPLE_BYTES; an id goes as a whole."""
+    sizes = texts.groupBy("rank", "lang", "doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    # One task, of at most SAMPLE_ALL short rows.
+    so_far = F.sum("bytes").over(Window.orderBy("rank", "lang", "doc_id"))
+    fits = sizes.where(F.col("bytes") <= LONGEST).withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES)
+    return texts.join(F.broadcast(fits.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
+
+
+def _within_cells(grams: DataFrame) -> DataFrame:
+    """The grams used most, of those that are used alike all or none, up to CELLS."""
+    langs = grams.agg(F.count_distinct("lang")).first()[0]
+    totals = grams.groupBy("gram").agg(F.sum("uses").alias("all_uses"))
+    # A row for each number of uses, which the sample's bytes bound.
+    sizes = totals.groupBy("all_uses").count().orderBy(F.desc("all_uses")).collect()
+    taken, least = 0, None
+    for row in sizes:
+        taken += row["count"] * langs
+        if taken > CELLS:
+            break
+        least = row["all_uses"]
+    else:
+        return grams
+    if least is None:
+        return grams.limit(0)
+    return grams.join(totals.where(F.col("all_uses") >= least), "gram", "left_semi")
+
+
 def learn(docs: DataFrame) -> Model:
-    """Counts over the sample. The model, as large as the sample's grams, is built here.
+    """Counts over the sample, which is bounded in documents and bytes. The model is built here.
 
     `docs` has doc_id, text and lang. Held-out documents and those without lang are not read.
+    A sampled document longer than LONGEST is not learned from.
     """
     chosen = sample(docs)  # at most SAMPLE_ALL short rows
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    grams = texts.mapInArrow(_counted, _GRAMS).groupBy("lang", "gram").agg(F.sum("uses").alias("uses"))
-    rows = grams.toArrow()
+    texts = keep(docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]))
+    counted = _within_bytes(texts).mapInArrow(_counted, _GRAMS)
+    grams = keep(counted.groupBy("lang", "gram").agg(F.sum("uses").alias("uses")))
+    rows = _within_cells(grams).toArrow()
+    release(texts, grams)
     langs = sorted(set(rows["lang"].to_pylist()))
     number = {name: k for k, name in enumerate(langs)}
     lang = np.array([number[name] for name in rows["lang"].to_pylist()], np.int64)

@@ -15,16 +15,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm import tokens
 from lintlake.llm.columns import held_out
+from lintlake.sources.store import keep, release
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Labelled documents that the field is fitted to, at most.
 SAMPLE = 2_000
+#: Lines of all of them, and of one, at most: the field is not fitted to texts of more lines.
+SAMPLE_LINES = 400_000
+MOST_LINES = SAMPLE_LINES // 8
 GOOD = 0.7
 _STEPS = 150
 _ROUNDS = 3
@@ -198,12 +202,22 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _within_lines(texts: DataFrame) -> DataFrame:
+    """The sample's texts in the order of their hash up to SAMPLE_LINES; an id goes as a whole."""
+    lines = F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1
+    sizes = texts.groupBy("doc_id").agg(F.sum(lines).alias("lines"))
+    # One task, of at most SAMPLE short rows.
+    so_far = F.sum("lines").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    fits = sizes.where(F.col("lines") <= MOST_LINES).withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_LINES)
+    return texts.join(F.broadcast(fits.select("doc_id")), "doc_id", "left_semi")
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     """Fit the field and the curve to a sample of labelled documents that are not held out.
 
     The sample is the SAMPLE labelled ids of least hash among those the table has; an id labelled
-    twice counts once, as bad if either says so. The driver gets the sample's line features. Without a label of
-    either kind all texts score one half.
+    twice counts once, as bad if either says so. The driver gets the sample's line features, of at
+    most SAMPLE_LINES lines. Without a label of either kind all texts score one half.
     """
     known = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
@@ -212,8 +226,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     )
     present = docs.select("doc_id").distinct()
     drawn = known.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    rows = texts.mapInArrow(_sampled, _FEATURES).toArrow().sort_by("doc_id")
+    texts = keep(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"))
+    rows = _within_lines(texts).mapInArrow(_sampled, _FEATURES).toArrow().sort_by("doc_id")
+    release(texts)
     quality = rows["quality"].to_numpy()
     if len(set(quality.tolist())) < 2:
         return {}

@@ -5,6 +5,7 @@ import math
 import random
 import time
 import tracemalloc
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lintlake.llm import chat, language_id, mixing, quality_crf, tokens
 from tests.llm import cases
@@ -216,6 +218,57 @@ def test_languages(spark, docs, none):
     assert {r["lang_pred"] for r in language_id.predict(table, language_id.learn(none)).collect()} == {"und"}
 
 
+def test_languages_against_the_plain_coder(spark):
+    """The whole of it: what is learned from, every code length, the choice and its score."""
+    rng = random.Random(5)
+    words = {"de": ["der", "und", "nicht", "schön"], "en": ["the", "and", "und", "thing"], "fr": ["le", "été", "der", "que"]}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 6))), lang)
+            for k in range(90) for lang in [sorted(words)[k % 3]]]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    samples = {lang: [text for _, text, own in learned if own == lang] for lang in words}
+    got = {r["doc_id"]: r for r in language_id.predict(table, language_id.learn(table)).collect()}
+    for doc_id, text, _ in rows:
+        bits = plain_lengths(samples, text)
+        share = {lang: 1 / sum(2 ** (own - other) for other in bits.values()) for lang, own in bits.items()}
+        assert got[doc_id]["held_out"] == (zlib.crc32(str(doc_id).encode()) % 4 == 2)
+        assert share[got[doc_id]["lang_pred"]] >= max(share.values()) - 1e-3
+        assert abs(got[doc_id]["score"] - max(share.values())) < 1e-3
+
+
+def test_language_sample_is_the_least_by_hash(spark, monkeypatch):
+    """Also where ids are repeated and one language has most of them."""
+    monkeypatch.setattr(language_id, "SAMPLE", 20)
+    rows = [(k, "en") for k in range(2000)] + [(k, "de") for k in range(5000, 5030)] + [(7, "en")] * 500 + [(8, None), (None, "en")]
+    table = spark.createDataFrame(rows, "doc_id bigint, lang string")
+    hashed = {(r["doc_id"], r["lang"]): r["h"] for r in table.dropna().selectExpr("*", "xxhash64(doc_id) h").collect()
+              if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    want = {lang: sorted((h, k) for (k, own), h in hashed.items() if own == lang)[:20] for lang in ("en", "de")}
+    got = language_id.sample(table).collect()
+    assert {(r["lang"], r["doc_id"], r["rank"]) for r in got} == {
+        (lang, k, n + 1) for lang, ranked in want.items() for n, (_, k) in enumerate(ranked)} and len(got) == 40
+
+
+def test_samples_are_bounded_in_bytes_and_lines(spark, monkeypatch):
+    rows = [(k, "the thing and that " * 5, "en") for k in range(40)] + [(100, "der und " * 4000, "de"), (103, "nicht der und", "de")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert language_id.learn(table).langs == ["de", "en"]
+    texts = table.withColumn("rank", F.lit(1))
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 1000)
+    monkeypatch.setattr(language_id, "LONGEST", 500)
+    left = language_id._within_bytes(texts).collect()
+    assert 900 < sum(len(r["text"]) for r in left) <= 1000 and 100 not in {r["doc_id"] for r in left}
+    grams = spark.createDataFrame([("en", 1, 9), ("de", 1, 1), ("en", 2, 4), ("en", 3, 4), ("de", 4, 1)], language_id._GRAMS)
+    for cells, want in ((8, {1, 2, 3, 4}), (7, {1, 2, 3}), (5, {1}), (1, set())):
+        monkeypatch.setattr(language_id, "CELLS", cells)
+        assert {r["gram"] for r in language_id._within_cells(grams).collect()} == want
+    monkeypatch.setattr(quality_crf, "SAMPLE_LINES", 30)
+    monkeypatch.setattr(quality_crf, "MOST_LINES", 10)
+    lined = spark.createDataFrame([(k, "a\nb\nc") for k in range(50)] + [(60, "x\n" * 10), (61, None)], "doc_id bigint, text string")
+    left = quality_crf._within_lines(lined).collect()
+    assert 60 not in {r["doc_id"] for r in left} and 9 <= len(left) <= 11
+
+
 def test_quality_sample_is_of_documents_at_hand(spark, monkeypatch):
     monkeypatch.setattr(quality_crf, "SAMPLE", 40)
     rows = [(k * 100, cases.prose(k, 60) if k % 2 else "BUY!!! NOW $$$ 100%\n" * 12) for k in range(60)]
