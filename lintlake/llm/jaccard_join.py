@@ -201,7 +201,7 @@ def _packed(shingle: int, buckets: int, common: tuple[np.ndarray, np.ndarray]):
             new = np.zeros(len(classes), bool)
             for k, key in enumerate(classes.tolist()):
                 if key and key not in seen:
-                    seen.add(key)
+                    tokens.remember(seen, key)
                     new[k] = True
             held.append((made[np.repeat(new, sizes)], sizes[new], classes[new]))
             total += len(held[-1][0])

@@ -172,3 +172,15 @@ def distinct(hashes: np.ndarray) -> np.ndarray:
     first = np.ones(len(hashes), bool)
     first[1:] = hashes[1:] != hashes[:-1]
     return hashes[first]
+
+
+#: Keys that a task remembers as sent already, at most.
+REMEMBERED = 1 << 22
+
+
+def remember(seen: set, key) -> None:
+    """Add a key to those a task has sent. A full set is emptied first: what is then sent again
+    is a repeat, which the distinct behind it takes out."""
+    if len(seen) >= REMEMBERED:
+        seen.clear()
+    seen.add(key)
