@@ -8,6 +8,9 @@ pass of its regular expression (see `functions.matching`).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,16 @@ from lintlake.functions import text as txt
 from lintlake.rules import RuleSet, builtin_rules
 from lintlake.sources.store import keep
 
+#: Rules that a counting scan writes into its expression; a larger set is joined as a table.
+WRITTEN_OUT = 256
+
+_COUNT = "struct<ord:int,matches:bigint>"
+
+
+def bind(value: Column, use) -> Column:
+    """`use(value)`, with the value computed once however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
 
 def _contains_any(strings: Column) -> Column:
     return F.exists(strings, lambda s: F.contains(F.col("folded"), s))
@@ -69,6 +82,47 @@ def _counts() -> Column:
     return F.coalesce(found, F.array())
 
 
+def _counts_written_out(active: RuleSet) -> Column:
+    """The same, with every rule in the expression itself.
+
+    Spark compiles a pattern that is a constant once for a task, one from a table again for each
+    file and rule. Rules of the same languages and gate share their test. The expression is the
+    body of a lambda, so Spark evaluates it as it is and generates no code of its size.
+    """
+    none, empty = F.lit(None).cast(_COUNT), F.array().cast(f"array<{_COUNT}>")
+
+    def contains_any(folded: Column, strings: list[str]) -> Column:
+        return reduce(or_, [F.contains(folded, F.lit(s)) for s in strings])
+
+    def counted(file: Column, check: dict) -> Column:
+        text, pattern, until = file["text"], check["pattern"], check["until"]
+        if check["folded"]:
+            text, (pattern, until) = file["folded"], check["folded"]
+        pattern = F.lit(pattern)
+        matches = F.regexp_count(text, pattern)
+        if until is not None:
+            # Nothing behind the last place where a match can end is searched.
+            head = F.call_function("regexp_extract", text, F.lit(until), F.lit(0))
+            matches = bind(head, lambda h: F.when(h != "", F.regexp_count(h, pattern)))
+        needed = [contains_any(file["folded"], strings) for strings in check["needs"]]
+        made = F.struct(F.lit(check["ord"]).alias("ord"), matches.cast("bigint").alias("matches"))
+        return F.call_function("if", reduce(and_, needed), made, none) if needed else made
+
+    def searched(file: Column) -> Column:
+        parts = []
+        for (languages, gate), checks in active.by_gate().items():
+            found = F.array(*[counted(file, check) for check in checks])
+            opens = [contains_any(file["folded"], gate)] if gate else []
+            if languages is not None:
+                opens.insert(0, file["language"].isin(list(languages)))
+            parts.append(F.call_function("if", reduce(and_, opens), found, empty) if opens else found)
+        found = F.flatten(F.array(*parts)) if parts else empty
+        return F.filter(found, lambda rule: rule["matches"] > 0)
+
+    file = F.struct("language", "folded", "text")
+    return F.when(F.col("text").isNotNull(), bind(file, searched)).otherwise(empty)
+
+
 def scan_files(
     files: DataFrame, rules: RuleSet | None = None, min_severity: str = "info"
 ) -> DataFrame:
@@ -77,7 +131,7 @@ def scan_files(
     Works on a batch or a streaming table. Store the result (`store.keep`, or write it)
     when both findings and totals are wanted, so the texts are read once.
     """
-    return _scanned(files, rules, min_severity, _hits().alias("hits"))
+    return _scanned(files, _active(rules, min_severity), _hits().alias("hits"))
 
 
 def count_files(
@@ -88,21 +142,28 @@ def count_files(
     No text is split into lines and no line is made. `metrics.tally` and `rule_counts`, and
     what is made from a tally, take it like the result of `scan_files`.
     """
-    return _scanned(files, rules, min_severity, _counts().alias("counts"))
+    active = _active(rules, min_severity)
+    if len(active) > WRITTEN_OUT:
+        return _scanned(files, active, _counts().alias("counts"))
+    prepared = _prepared(files).withColumn("folded", txt.fold_case(F.col("text")))
+    return _rows(prepared, _counts_written_out(active).alias("counts"))
 
 
-def _scanned(
-    files: DataFrame, rules: RuleSet | None, min_severity: str, found: Column
-) -> DataFrame:
-    active = (builtin_rules() if rules is None else rules).at_least(min_severity)
-    text = F.col("text")
-    prepared = files.select("path", "language", txt.unify_newlines(text).alias("text"))
-    return _with_checks(prepared, active).select(
-        "path",
-        "language",
-        F.coalesce(txt.line_count(text), F.lit(0)).alias("lines"),
-        found,
-    )
+def _active(rules: RuleSet | None, min_severity: str) -> RuleSet:
+    return (builtin_rules() if rules is None else rules).at_least(min_severity)
+
+
+def _prepared(files: DataFrame) -> DataFrame:
+    return files.select("path", "language", txt.unify_newlines(F.col("text")).alias("text"))
+
+
+def _scanned(files: DataFrame, active: RuleSet, found: Column) -> DataFrame:
+    return _rows(_with_checks(_prepared(files), active), found)
+
+
+def _rows(prepared: DataFrame, found: Column) -> DataFrame:
+    lines = F.coalesce(txt.line_count(F.col("text")), F.lit(0))
+    return prepared.select("path", "language", lines.alias("lines"), found)
 
 
 def _with_checks(texts: DataFrame, active: RuleSet) -> DataFrame:

@@ -14,6 +14,7 @@ from lintlake import schema
 from lintlake.functions.severity import check_severity
 from lintlake.rules.catalog import RULES, Rule
 from lintlake.rules.dialect import to_java
+from lintlake.rules.heads import for_folded, headed
 
 # Rules are configuration and get broadcast. A set beyond this many bytes, in the form that is
 # sent to every executor, is refused rather than cut; RuleSet takes another bound.
@@ -53,7 +54,7 @@ class RuleSet:
         accepted, rejected = [], []
         for position, rule in enumerate(rules):
             try:
-                pattern = to_java(rule.pattern)
+                pattern = headed(rule.pattern)
                 tail = to_java(rule.ends_with or "")
                 if spark is not None:
                     for java in (pattern, tail):
@@ -148,18 +149,33 @@ class RuleSet:
         rows = [(NO_TEXT, [])]
         for language in [*self.languages(), ANY_LANGUAGE]:
             groups = {}
-            for position, rule, pattern in self._rules:
-                if rule.languages is None or language in rule.languages:
-                    gate, *needs = [entry.split("|") for entry in rule.needs] or [[]]
-                    until = None
-                    if rule.ends_with is not None:
-                        until = to_java(r"\A(?s:.*)" + rule.ends_with)
-                    check = {"ord": position, "pattern": pattern, "until": until, "needs": needs}
-                    groups.setdefault(tuple(gate), []).append(check)
+            for (languages, gate), checks in self.by_gate().items():
+                if languages is None or language in languages:
+                    plain = [{k: v for k, v in check.items() if k != "folded"} for check in checks]
+                    groups.setdefault(gate, []).extend(plain)
             made = [{"gate": list(gate), "checks": checks} for gate, checks in groups.items()]
             rows.append((language, made))
         return _local_table(spark, rows, _CHECKS, self.max_bytes)
 
+    def by_gate(self) -> dict[tuple, list[dict]]:
+        """The checks by (languages or None for all, gate).
+
+        `folded` has pattern and until for a text of `fold_case`, if matches can be counted in it.
+        """
+        groups = {}
+        for position, rule, pattern in self._rules:
+            languages = None if rule.languages is None else tuple(sorted(rule.languages))
+            gate, *needs = [entry.split("|") for entry in rule.needs] or [[]]
+            needs = _quickest_first(needs)
+            tail = None if rule.ends_with is None else r"\A(?s:.*)" + rule.ends_with
+            until = None if tail is None else to_java(tail)
+            folded = (for_folded(rule.pattern), None if tail is None else for_folded(tail))
+            if folded[0] is None or (folded[1] is None) != (tail is None):
+                folded = None
+            check = {"ord": position, "pattern": pattern, "until": until, "needs": needs, "folded": folded}
+            groups.setdefault((languages, tuple(gate)), []).append(check)
+        return groups
+
     def check_key(self, language: Column, text: Column) -> Column:
         """The key in `by_language` for a file."""
         # Always a column, never a constant, so that the join on it is a hash join.
@@ -170,6 +186,20 @@ class RuleSet:
         )
 
 
+def _quickest_first(needs: list[list[str]]) -> list[list[str]]:
+    """The needed strings so that few searches tell that one is missing: entries of few strings
+    first, and before those of several what all of these hold, if that is not too short."""
+    made = []
+    for entry in sorted(needs, key=len):
+        least = min(entry, key=len)
+        parts = {least[a:b] for a in range(len(least)) for b in range(a + 3, len(least) + 1)}
+        held = [part for part in parts if all(part in other for other in entry)]
+        if len(entry) > 1 and held:
+            made.append([max(sorted(held), key=len)])
+        made.append(entry)
+    return made
+
+
 def _local_table(
     spark: SparkSession, rows: list[tuple], layout: str, max_bytes: int | None = None
 ) -> DataFrame:

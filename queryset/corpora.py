@@ -161,6 +161,9 @@ DIRECTORIES = [
 
 _SNIPPETS_PER_FILE = 7
 
+#: Rows of `customer` that one task renders, about.
+ROWS_A_TASK = 10_000
+
 
 def _templates() -> list[tuple[int, list[str]]]:
     return [(kind, own + COMMON) for kind, (_, _, own) in enumerate(SPECIFIC)]
@@ -176,13 +179,15 @@ def _file_name(kind: int) -> str:
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered corpus: path, language, size, text."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
     templates = spark.createDataFrame(
         [(k, snippets, _file_name(k)) for k, snippets in _templates()],
         "kind bigint, snippets array<string>, name string",
     )
     key = F.col("c_custkey")
-    joined = spread(customers).withColumn("kind", key % _KINDS).join(
+    # Slim rows that become texts: dealt out evenly, in tasks whose number grows with the table.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-customers.count() // ROWS_A_TASK))
+    joined = customers.repartition(tasks).withColumn("kind", key % _KINDS).join(
         F.broadcast(templates), "kind"
     )
     start = F.floor(key / _KINDS) * 5
