@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -280,3 +281,34 @@ def test_first_of_each_keeps_unrelated_texts_of_one_id(spark):
     left = jaccard_join.first_of_each(table)
     assert left.columns == table.columns
     assert sorted(r["mark"] for r in left.collect()) == list("abcdghijklm")
+
+
+def test_a_stage_has_one_python_step(spark, monkeypatch):
+    """A second one in a stage is a second Python worker beside every core, for the whole run."""
+    stored = []
+
+    def recording(module):
+        keep = module.keep
+
+        def kept(table, *folder):
+            stored.append(table._jdf.queryExecution().executedPlan().toString())
+            return keep(table, *folder)
+
+        monkeypatch.setattr(module, "keep", kept)
+
+    for module in (graph, jaccard_join, line_dedup):
+        recording(module)
+    words = [f"w{k}" for k in range(30)]
+    texts = [" ".join([*words[:at], "x", *words[at + 1 :]]) for at in range(30)] * 2
+    docs = spark.createDataFrame([(k, text) for k, text in enumerate(texts)], "doc_id bigint, text string")
+    assert jaccard_join.join(docs, block=40).select("component_id").distinct().count() < 30
+    assert line_dedup.repeated_lines(docs).where("size(removed) > 0").count() > 0
+    for plan in stored:
+        stages = plan.split("Exchange")
+        assert all(len(re.findall(r"(?:Map|MapGroups)InArrow", stage)) < 2 for stage in stages), plan
+
+
+def test_forest():
+    u, v = graph.forest(np.array([5, 7, 9, 2], np.int64), np.array([3, 5, 8, 3], np.int64))
+    assert dict(zip(u.tolist(), v.tolist())) == {5: 2, 7: 2, 9: 8, 3: 2}
+    assert [len(column) for column in graph.forest(np.empty(0, np.int64), np.empty(0, np.int64))] == [0, 0]
