@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lintlake.llm import decontaminate, graph, jaccard_join, line_dedup, tokens
+from lintlake.llm import decontaminate, graph, jaccard_join, line_dedup, signature_tree, tokens
 from tests.llm import cases
 
 
@@ -270,6 +270,61 @@ def test_short_lines_are_compared(spark):
     assert left == {1: rows[0][1], 2: "GPL\n\nown words of two", 3: "own words of three"}
 
 
+def test_connected_sets_are_not_compared_again(monkeypatch):
+    """A large group of near copies costs about its size, not its square, and gives one component."""
+    seen, possible = [], signature_tree._possible
+
+    def counted(a, b, i, j, percent):
+        seen.append(len(i) * len(j))
+        return possible(a, b, i, j, percent)
+
+    monkeypatch.setattr(signature_tree, "_possible", counted)
+    rng, n = np.random.default_rng(3), 2000
+    base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
+    sets = []
+    for _ in range(n):
+        own = base.copy()
+        own[rng.choice(200, 8, replace=False)] = rng.integers(0, 1 << 60, 8)
+        sets.append(np.unique(own))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    links = signature_tree.links(sizes, sets, np.zeros(n, np.int8), 75)
+    assert len(links) == n - 1 and len(reach(range(n), links)) == n
+    assert sum(seen) < n * n / 10
+
+
+def test_tree_links_connect_what_all_pairs_connect():
+    rng = np.random.default_rng(4)
+    for n, two in [(1, 0), (2, 0), (3, 0), (4, 0), (4, 1), (5, 0), (90, 0), (90, 1), (300, 0), (300, 1)]:
+        bases = [rng.integers(0, 500, 30).astype(np.uint64) for _ in range(4)]
+        sets = []
+        for k in range(n):
+            own = bases[k % 4].copy()
+            change = rng.random(30) < 0.1
+            own[change] = rng.integers(0, 1 << 60, change.sum())
+            sets.append(np.unique(own))
+        side = (np.arange(n) % 3 == 0).astype(np.int8) * two
+        words = [set(s.tolist()) for s in sets]
+        similar = [(p, q) for q in range(n) for p in range(q) if side[p] != side[q] or not two
+                   if 100 * len(words[p] & words[q]) >= 75 * len(words[p] | words[q])]
+        found = signature_tree.links(np.array([len(s) for s in sets], np.int64), sets, side, 75)
+        assert reach(range(n), found) == reach(range(n), similar)
+
+
+def test_texts_are_read_by_two_python_steps(spark, monkeypatch):
+    """The lines' classes and the texts of candidates come from one pass."""
+    stored, keep = [], line_dedup.keep
+
+    def kept(table, *folder):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        stored.append(len(re.findall(r"MapInArrow (?:_line_classes|_grouped_texts|run)", plan)))
+        return keep(table, *folder)
+
+    monkeypatch.setattr(line_dedup, "keep", kept)
+    table = spark.createDataFrame([(k, f"one line of many words {k}\n\nother") for k in range(9)], "doc_id bigint, text string")
+    assert line_dedup.repeated_lines(table).where("size(removed) > 0").count() == 8
+    assert sum(stored) == 1
+
+
 def test_first_of_each_keeps_unrelated_texts_of_one_id(spark):
     copied, named = cases.prose(22, 50), cases.prose(23, 50)
     rows = [
